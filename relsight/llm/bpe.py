@@ -1,11 +1,14 @@
 """Byte-level BPE over Spark: every distinct pre-token is encoded once.
 
-``encode`` explodes texts into (block, pre-token, positions) rows - the
-positions of a pre-token inside its block of documents travel as one packed
-value, which is the pre-aggregation that keeps " the" from being a hot key -
-encodes the distinct pre-tokens after one global shuffle, joins the ids back
-and reassembles each block by position. ``decode`` looks each id up in the
-token-byte table, whose size is that of the vocabulary.
+``encode`` explodes texts into pre-tokens with their positions, a block of
+documents at a time. Occurrences of a pre-token in a block are one entry
+(pre-aggregation), and the entries of a block whose pre-tokens share a hash
+chunk travel as one packed row. After one global shuffle by chunk, each
+distinct pre-token is encoded once and its ids join the entries of all
+blocks; a second shuffle brings the blocks together again, which are
+reassembled by position. Very frequent pre-tokens (" the") travel in rows of
+their own that are salted by block, so no chunk is hot. ``decode`` looks each
+id up in the token-byte table, whose size is that of the vocabulary.
 
 Nulls and empty texts have no ids. Repeated rows are encoded each. A null
 identifier stays null. Other columns of the input aren't carried.
@@ -14,12 +17,14 @@ identifier stays null. Other columns of the input aren't carried.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +34,13 @@ from relsight.llm import pretokens
 from relsight.llm.arrays import ragged, slices
 
 #: Text that one block of documents holds, about.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 7 << 20
+#: Hash chunks of pre-tokens.
+CHUNKS = 1024
+#: Distinct pre-tokens of a chunk whose ids a task holds at once; a chunk with more encodes some again.
+REMEMBERED = 400_000
+#: A pre-token with more than this share of its block's occurrences is salted by block, SALTS ways.
+HEAVY, SALTS = 1 / 64, 64
 
 
 @cache
@@ -84,34 +95,71 @@ def joined(column: pa.Array) -> np.ndarray:
     return np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and len(column) else np.zeros(0, np.uint8)
 
 
-OCCURRENCES = "block long, key binary, header binary, positions binary"
+def cut(data: np.ndarray, offsets: np.ndarray, groups: np.ndarray) -> pa.Array:
+    """A compressed binary value for each group of consecutive pieces; ``groups`` are piece indices."""
+    squeeze = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
+    raw = memoryview(np.ascontiguousarray(data))
+    at = offsets[groups].tolist()
+    return pa.array([squeeze(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+
+
+def uncut(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a column that ``cut`` made, and row offsets into them."""
+    loosen = zstandard.ZstdDecompressor().decompress
+    parts = [loosen(x) for x in column.to_pylist()]
+    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, count=len(parts)))]).astype(np.int64)
+
+
+ENTRIES = "chunk int, salt int, block long, words binary, shape binary, positions binary"
+ENTRY_SCHEMA = pa.schema([("chunk", pa.int32()), ("salt", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("shape", pa.binary()), ("positions", pa.binary())])
 
 
 def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct pre-token of a block, and one header row with its documents."""
+    """A block's pre-tokens with positions, a row for each chunk, and one row (null words) with its documents.
+
+    ``shape`` holds, for each pre-token, its bytes and the bytes of its positions.
+    """
     task = TaskContext.get().partitionId() << 32
-    schema = pa.schema([("block", pa.int64()), ("key", pa.binary()), ("header", pa.binary()), ("positions", pa.binary())])
     for number, batch in enumerate(slices(batches, "text", BLOCK_BYTES)):
         block = task + number
         words, rows = pretokens.split(batch.column("text"))
         ids = batch.column("doc_id")
         header = b"".join((np.asarray(ids.fill_null(0)).astype("<i8").tobytes(), np.asarray(ids.is_null()).astype("<i8").tobytes(), np.diff(rows).astype("<i8").tobytes()))
-        # A class never mixes control characters and digits, so no pre-token reads as a header's key.
-        yield pa.record_batch([pa.array([block]), pa.array([b"\x00%d" % block], pa.binary()), pa.array([header], pa.binary()), pa.array([b""], pa.binary())], schema=schema)
+        yield pa.record_batch([pa.array([zlib.crc32(b"%d" % block) % CHUNKS], pa.int32()), pa.array([0], pa.int32()), pa.array([block]), pa.nulls(1, pa.binary()), pa.array([b""], pa.binary()), pa.array([header], pa.binary())], schema=ENTRY_SCHEMA)
         if not len(words):
             continue
         table = words.dictionary_encode()
         codes = table.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(codes, kind="stable")
-        starts = np.searchsorted(codes[order], np.arange(len(table.dictionary)))
+        n = len(table.dictionary)
+        chunk = np.fromiter((zlib.crc32(w) % CHUNKS for w in table.dictionary.to_pylist()), np.int64, count=n)
+        heavy = np.bincount(codes, minlength=n) > max(256, HEAVY * len(codes))
+        salt = np.where(heavy, 1 + block % SALTS, 0)
+        place = np.lexsort((np.where(heavy, np.arange(n), -1), salt, chunk))
+        rank = np.empty(n, np.int64)
+        rank[place] = np.arange(n)
+        token = rank[codes]
+        order = np.argsort(token, kind="stable")
+        starts = np.searchsorted(token[order], np.arange(n))
         gaps = np.diff(order, prepend=0)
         gaps[starts] = order[starts]
-        data, offsets = pack(gaps, starts)
-        keys = table.dictionary.cast(pa.binary())
-        values = binary(data, offsets)
-        for lo in range(0, len(keys), 50_000):
-            part = keys.slice(lo, 50_000)
-            yield pa.record_batch([pa.array(np.full(len(part), block)), part, pa.nulls(len(part), pa.binary()), values.slice(lo, 50_000)], schema=schema)
+        packed, at = pack(gaps, starts)
+        dictionary = table.dictionary.take(pa.array(place))
+        lengths = np.asarray(pa.compute.binary_length(dictionary)).astype(np.int64)
+        shape, shape_at = pack(np.column_stack([lengths, np.diff(at)]).ravel(), np.arange(0, 2 * n, 2))
+        c, h = chunk[place], heavy[place]
+        first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | h[1:] | h[:-1]]))
+        groups = np.append(first, n)
+        yield pa.record_batch(
+            [pa.array(c[first].astype(np.int32)), pa.array(salt[place][first].astype(np.int32)), pa.array(np.full(len(first), block)), cut(joined(dictionary), np.concatenate([[0], np.cumsum(lengths)]), groups), cut(shape, shape_at, groups), cut(packed, at, groups)],
+            schema=ENTRY_SCHEMA,
+        )
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All packed integers of a column, and how many each row has."""
+    data, at = uncut(column)
+    done = np.concatenate([[0], np.cumsum(data < 0x80)])
+    return unpack(data), np.diff(done[at])
 
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -119,38 +167,63 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoding(ranks_path).encode_ordinary
+        chunk, known = None, {}
         for batch in batches:
-            ids = [one(w.decode()) for w in batch.column("word").to_pylist()]
+            body = pa.compute.is_valid(batch.column("words"))
+            yield batch.filter(pa.compute.invert(body)).select(["block", "words", "shape", "positions"]).rename_columns(["block", "ids", "shape", "positions"])
+            batch = batch.filter(body)
+            shape, per_row = unpacked(batch.column("shape"))
+            lengths, spans = shape[::2], shape[1::2]
+            ends = np.cumsum(lengths)
+            data = uncut(batch.column("words"))[0].tobytes()
+            chunks = np.repeat(batch.column("chunk").to_numpy(zero_copy_only=False), per_row // 2).tolist()
+            ids = []
+            for c, a, b in zip(chunks, (ends - lengths).tolist(), ends.tolist(), strict=True):
+                if c != chunk or len(known) > REMEMBERED:
+                    chunk, known = c, {}
+                word = data[a:b]
+                found = known.get(word)
+                if found is None:
+                    found = known[word] = one(word.decode())
+                ids.append(found)
             sizes = np.fromiter(map(len, ids), np.int64, count=len(ids))
-            flat = np.fromiter((x for y in ids for x in y), "<i4", count=int(sizes.sum()))
-            yield pa.record_batch([batch.column("word"), binary(flat.view(np.uint8), 4 * np.concatenate([[0], np.cumsum(sizes)]))], names=["word", "ids"])
+            flat = np.fromiter((x for y in ids for x in y), np.int64, count=int(sizes.sum()))
+            groups = np.concatenate([[0], np.cumsum(per_row // 2)])
+            packed, at = pack(flat, np.cumsum(sizes) - sizes)
+            shape, shape_at = pack(np.column_stack([sizes, spans]).ravel(), np.arange(0, 2 * len(sizes), 2))
+            yield pa.record_batch([batch.column("block"), cut(packed, at, groups), cut(shape, shape_at, groups), batch.column("positions")], names=["block", "ids", "shape", "positions"])
 
     def reassembled(table: pa.Table) -> pa.Table:
-        is_head = np.asarray(table.column("header").combine_chunks().is_valid())
-        head = np.frombuffer(table.column("header").combine_chunks().drop_null()[0].as_py(), "<i8").reshape(3, -1)
-        body = table.filter(pa.array(~is_head))
+        table = table.combine_chunks()
+        heads = table.filter(pa.compute.is_null(table["ids"]))
+        head = np.frombuffer(heads["positions"][0].as_py(), "<i8").reshape(3, -1)
+        body = table.filter(pa.compute.is_valid(table["ids"])).combine_chunks()
         counts = head[2]
         total = int(counts.sum())
-        sizes = np.asarray(pa.compute.binary_length(body.column("ids").combine_chunks())).astype(np.int64) // 4
-        flat = joined(body.column("ids")).view("<i4")
-        packed = joined(body.column("positions"))
-        gaps = unpack(packed)
-        ends = np.cumsum(np.asarray(pa.compute.binary_length(body.column("positions").combine_chunks())).astype(np.int64))
-        places = np.concatenate([[0], np.cumsum(packed < 0x80)])[ends] if len(packed) else ends
-        begin = np.concatenate([[0], places[:-1]]).astype(np.int64) if len(places) else np.zeros(0, np.int64)
-        run = np.cumsum(gaps)
-        reps = np.diff(np.append(begin, len(gaps)))
-        position = run - np.repeat(run[begin] - gaps[begin], reps) if len(gaps) else run
-        word = np.empty(total, np.int64)
-        word[position] = np.repeat(np.arange(len(sizes)), reps)
-        out = flat[ragged((np.cumsum(sizes) - sizes)[word], sizes[word])] if total else np.zeros(0, "<i4")
-        edges = np.concatenate([[0], np.cumsum(sizes[word])])[np.concatenate([[0], np.cumsum(counts)])] if total else np.zeros(len(counts) + 1, np.int64)
+        sizes, edges = np.zeros(0, np.int64), np.zeros(len(counts) + 1, np.int64)
+        out = np.zeros(0, np.int64)
+        if total:
+            column = {c: body[c].chunk(0) for c in ("ids", "shape", "positions")}
+            shape, _ = unpacked(column["shape"])
+            sizes, spans = shape[::2], shape[1::2]
+            packed, _ = uncut(column["positions"])
+            gaps = unpack(packed)
+            ends = np.concatenate([[0], np.cumsum(packed < 0x80)])[np.cumsum(spans)]
+            begin = np.concatenate([[0], ends[:-1]])
+            run = np.cumsum(gaps)
+            reps = ends - begin
+            word = np.empty(total, np.int64)
+            word[run - np.repeat(run[begin] - gaps[begin], reps)] = np.repeat(np.arange(len(sizes)), reps)
+            flat, _ = unpacked(column["ids"])
+            each = sizes[word]
+            out = flat[ragged((np.cumsum(sizes) - sizes)[word], each)]
+            edges = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])]
         lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(out.astype(np.int32)))
         return pa.table({"doc_id": pa.array(head[0], mask=head[1].astype(bool)), "ids": lists})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(occurrences, OCCURRENCES)
-    words = rows.where("header is null").select(F.col("key").alias("word")).distinct().mapInArrow(encoded, "word binary, ids binary")
-    both = rows.join(words, F.col("key") == F.col("word"), "left").select("block", "header", "positions", "ids")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(occurrences, ENTRIES)
+    dealt = rows.repartition("chunk", "salt").sortWithinPartitions("chunk", "salt")
+    both = dealt.mapInArrow(encoded, "block long, ids binary, shape binary, positions binary")
     return both.groupBy("block").applyInArrow(reassembled, "doc_id long, ids array<int>")
 
 

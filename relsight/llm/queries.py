@@ -57,7 +57,24 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op8_packing": op8_packing}
+def op1_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings of one label."""
+    from relsight.llm.metric import metric_links
+
+    return metric_links(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document."""
+    from relsight.llm.quality import fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), "quality", ~held_out())
+    scored = score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_metric_join": op1_metric_join, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op8_packing": op8_packing}
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": """
         select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
