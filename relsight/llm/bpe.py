@@ -1,14 +1,17 @@
 """Byte-level BPE over Spark: every distinct pre-token is encoded once.
 
 ``encode`` explodes texts into pre-tokens with their positions, a block of
-documents at a time. Occurrences of a pre-token in a block are one entry
-(pre-aggregation), and the entries of a block whose pre-tokens share a hash
-chunk travel as one packed row. After one global shuffle by chunk, each
-distinct pre-token is encoded once and its ids join the entries of all
-blocks; a second shuffle brings the blocks together again, which are
-reassembled by position. Very frequent pre-tokens (" the") travel in rows of
-their own that are salted by block, so no chunk is hot. ``decode`` looks each
-id up in the token-byte table, whose size is that of the vocabulary.
+documents at a time. A block's distinct pre-tokens go to a global shuffle by
+hash chunk, packed a row for each (block, chunk), where every distinct
+pre-token is encoded once; the ids return to the blocks they came from. The
+positions of each block's pre-tokens go straight to the block's group, which
+joins ids and positions and reassembles the documents by position. No row is
+keyed by a pre-token, so " the" isn't a hot key. ``decode`` looks each id up
+in the token-byte table, whose size is that of the vocabulary.
+
+The input is read twice and must give the same rows in the same order each
+time, as a table does; blocks are named by a digest of their content, so a
+table that doesn't fails instead of giving wrong ids.
 
 Nulls and empty texts have no ids. Repeated rows are encoded each. A null
 identifier stays null. Other columns of the input aren't carried.
@@ -24,8 +27,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -34,13 +37,11 @@ from relsight.llm import pretokens
 from relsight.llm.arrays import ragged, slices
 
 #: Text that one block of documents holds, about.
-BLOCK_BYTES = 7 << 20
+BLOCK_BYTES = 6 << 20
 #: Hash chunks of pre-tokens.
 CHUNKS = 1024
 #: Distinct pre-tokens of a chunk whose ids a task holds at once; a chunk with more encodes some again.
 REMEMBERED = 400_000
-#: A pre-token with more than this share of its block's occurrences is salted by block, SALTS ways.
-HEAVY, SALTS = 1 / 64, 64
 
 
 @cache
@@ -110,49 +111,56 @@ def uncut(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, count=len(parts)))]).astype(np.int64)
 
 
-ENTRIES = "chunk int, salt int, block long, words binary, shape binary, positions binary"
-ENTRY_SCHEMA = pa.schema([("chunk", pa.int32()), ("salt", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("shape", pa.binary()), ("positions", pa.binary())])
+class Block:
+    """A slice of documents: its distinct pre-tokens in chunk order."""
 
-
-def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block's pre-tokens with positions, a row for each chunk, and one row (null words) with its documents.
-
-    ``shape`` holds, for each pre-token, its bytes and the bytes of its positions.
-    """
-    task = TaskContext.get().partitionId() << 32
-    for number, batch in enumerate(slices(batches, "text", BLOCK_BYTES)):
-        block = task + number
-        words, rows = pretokens.split(batch.column("text"))
+    def __init__(self, batch: pa.RecordBatch):
+        words, self.rows = pretokens.split(batch.column("text"))
         ids = batch.column("doc_id")
-        header = b"".join((np.asarray(ids.fill_null(0)).astype("<i8").tobytes(), np.asarray(ids.is_null()).astype("<i8").tobytes(), np.diff(rows).astype("<i8").tobytes()))
-        yield pa.record_batch([pa.array([zlib.crc32(b"%d" % block) % CHUNKS], pa.int32()), pa.array([0], pa.int32()), pa.array([block]), pa.nulls(1, pa.binary()), pa.array([b""], pa.binary()), pa.array([header], pa.binary())], schema=ENTRY_SCHEMA)
-        if not len(words):
-            continue
+        self.header = b"".join((np.asarray(ids.fill_null(0)).astype("<i8").tobytes(), np.asarray(ids.is_null()).astype("<i8").tobytes(), np.diff(self.rows).astype("<i8").tobytes()))
+        content = xxhash.xxh3_128(self.header)
+        content.update(joined(batch.column("text").fill_null("")))
+        self.name = content.digest()
         table = words.dictionary_encode()
-        codes = table.indices.to_numpy(zero_copy_only=False)
-        n = len(table.dictionary)
-        chunk = np.fromiter((zlib.crc32(w) % CHUNKS for w in table.dictionary.to_pylist()), np.int64, count=n)
-        heavy = np.bincount(codes, minlength=n) > max(256, HEAVY * len(codes))
-        salt = np.where(heavy, 1 + block % SALTS, 0)
-        place = np.lexsort((np.where(heavy, np.arange(n), -1), salt, chunk))
-        rank = np.empty(n, np.int64)
-        rank[place] = np.arange(n)
-        token = rank[codes]
+        self.codes = table.indices.to_numpy(zero_copy_only=False)
+        self.n = len(table.dictionary)
+        chunk = np.fromiter((zlib.crc32(w) % CHUNKS for w in table.dictionary.to_pylist()), np.int64, count=self.n)
+        self.place = np.argsort(chunk, kind="stable")
+        self.chunk = chunk[self.place]
+        self.words = table.dictionary.take(pa.array(self.place))
+
+    def word_rows(self) -> list[pa.Array]:
+        """chunk, block, first (place of the row's first pre-token), words, shape (their bytes)."""
+        lengths = np.asarray(pa.compute.binary_length(self.words)).astype(np.int64)
+        shape, shape_at = pack(lengths, np.arange(self.n))
+        first = np.flatnonzero(np.concatenate([[True], self.chunk[1:] != self.chunk[:-1]]))
+        groups = np.append(first, self.n)
+        return [pa.array(self.chunk[first].astype(np.int32)), pa.array([self.name] * len(first), pa.binary()), pa.array(first), cut(joined(self.words), np.concatenate([[0], np.cumsum(lengths)]), groups), cut(shape, shape_at, groups)]
+
+    def position_row(self) -> list[pa.Array]:
+        """block, first (-1), header, shape (bytes of each pre-token's positions), positions as gaps."""
+        rank = np.empty(self.n, np.int64)
+        rank[self.place] = np.arange(self.n)
+        token = rank[self.codes] if self.n else np.zeros(0, np.int64)
         order = np.argsort(token, kind="stable")
-        starts = np.searchsorted(token[order], np.arange(n))
+        starts = np.searchsorted(token[order], np.arange(self.n))
         gaps = np.diff(order, prepend=0)
         gaps[starts] = order[starts]
         packed, at = pack(gaps, starts)
-        dictionary = table.dictionary.take(pa.array(place))
-        lengths = np.asarray(pa.compute.binary_length(dictionary)).astype(np.int64)
-        shape, shape_at = pack(np.column_stack([lengths, np.diff(at)]).ravel(), np.arange(0, 2 * n, 2))
-        c, h = chunk[place], heavy[place]
-        first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | h[1:] | h[:-1]]))
-        groups = np.append(first, n)
-        yield pa.record_batch(
-            [pa.array(c[first].astype(np.int32)), pa.array(salt[place][first].astype(np.int32)), pa.array(np.full(len(first), block)), cut(joined(dictionary), np.concatenate([[0], np.cumsum(lengths)]), groups), cut(shape, shape_at, groups), cut(packed, at, groups)],
-            schema=ENTRY_SCHEMA,
-        )
+        shape, shape_at = pack(np.diff(at), np.arange(self.n))
+        return [pa.array([self.name], pa.binary()), pa.array([-1], pa.int64()), pa.array([self.header], pa.binary()), cut(shape, shape_at, np.array([0, self.n])), cut(packed, at, np.array([0, self.n]))]
+
+
+def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", BLOCK_BYTES):
+        block = Block(batch)
+        if block.n:
+            yield pa.record_batch(block.word_rows(), names=["chunk", "block", "first", "words", "shape"])
+
+
+def position_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", BLOCK_BYTES):
+        yield pa.record_batch(Block(batch).position_row(), names=["block", "first", "ids", "shape", "positions"])
 
 
 def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -169,14 +177,10 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
         one = encoding(ranks_path).encode_ordinary
         chunk, known = None, {}
         for batch in batches:
-            body = pa.compute.is_valid(batch.column("words"))
-            yield batch.filter(pa.compute.invert(body)).select(["block", "words", "shape", "positions"]).rename_columns(["block", "ids", "shape", "positions"])
-            batch = batch.filter(body)
-            shape, per_row = unpacked(batch.column("shape"))
-            lengths, spans = shape[::2], shape[1::2]
+            lengths, per_row = unpacked(batch.column("shape"))
             ends = np.cumsum(lengths)
             data = uncut(batch.column("words"))[0].tobytes()
-            chunks = np.repeat(batch.column("chunk").to_numpy(zero_copy_only=False), per_row // 2).tolist()
+            chunks = np.repeat(batch.column("chunk").to_numpy(zero_copy_only=False), per_row).tolist()
             ids = []
             for c, a, b in zip(chunks, (ends - lengths).tolist(), ends.tolist(), strict=True):
                 if c != chunk or len(known) > REMEMBERED:
@@ -188,42 +192,47 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
                 ids.append(found)
             sizes = np.fromiter(map(len, ids), np.int64, count=len(ids))
             flat = np.fromiter((x for y in ids for x in y), np.int64, count=int(sizes.sum()))
-            groups = np.concatenate([[0], np.cumsum(per_row // 2)])
+            groups = np.concatenate([[0], np.cumsum(per_row)])
             packed, at = pack(flat, np.cumsum(sizes) - sizes)
-            shape, shape_at = pack(np.column_stack([sizes, spans]).ravel(), np.arange(0, 2 * len(sizes), 2))
-            yield pa.record_batch([batch.column("block"), cut(packed, at, groups), cut(shape, shape_at, groups), batch.column("positions")], names=["block", "ids", "shape", "positions"])
+            shape, shape_at = pack(sizes, np.arange(len(sizes)))
+            yield pa.record_batch([batch.column("block"), batch.column("first"), cut(packed, at, groups), cut(shape, shape_at, groups), pa.nulls(batch.num_rows, pa.binary())], names=["block", "first", "ids", "shape", "positions"])
 
     def reassembled(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        heads = table.filter(pa.compute.is_null(table["ids"]))
-        head = np.frombuffer(heads["positions"][0].as_py(), "<i8").reshape(3, -1)
-        body = table.filter(pa.compute.is_valid(table["ids"])).combine_chunks()
+        table = table.sort_by("first").combine_chunks()
+        first = table["first"].to_numpy()
+        times = int((first == -1).sum())
+        if not times:
+            raise ValueError("the input gave other rows when it was read again")
+        # Blocks of equal content have one name; each is given back.
+        table = table.filter(pa.array(np.concatenate([[True], first[1:] != first[:-1]]))).combine_chunks()
+        head = np.frombuffer(table["ids"][0].as_py(), "<i8").reshape(3, -1)
         counts = head[2]
         total = int(counts.sum())
-        sizes, edges = np.zeros(0, np.int64), np.zeros(len(counts) + 1, np.int64)
-        out = np.zeros(0, np.int64)
+        edges, out = np.zeros(len(counts) + 1, np.int64), np.zeros(0, np.int64)
         if total:
-            column = {c: body[c].chunk(0) for c in ("ids", "shape", "positions")}
-            shape, _ = unpacked(column["shape"])
-            sizes, spans = shape[::2], shape[1::2]
-            packed, _ = uncut(column["positions"])
+            spans, _ = unpacked(table["shape"].slice(0, 1))
+            packed, _ = uncut(table["positions"].slice(0, 1))
+            sizes, _ = unpacked(table["shape"].slice(1))
+            flat, _ = unpacked(table["ids"].slice(1))
             gaps = unpack(packed)
             ends = np.concatenate([[0], np.cumsum(packed < 0x80)])[np.cumsum(spans)]
             begin = np.concatenate([[0], ends[:-1]])
             run = np.cumsum(gaps)
             reps = ends - begin
-            word = np.empty(total, np.int64)
-            word[run - np.repeat(run[begin] - gaps[begin], reps)] = np.repeat(np.arange(len(sizes)), reps)
-            flat, _ = unpacked(column["ids"])
+            word = np.empty(total, np.int32)
+            word[run - np.repeat(run[begin] - gaps[begin], reps)] = np.repeat(np.arange(len(sizes), dtype=np.int32), reps)
+            del run, gaps, packed
             each = sizes[word]
-            out = flat[ragged((np.cumsum(sizes) - sizes)[word], each)]
+            out = flat[ragged((np.cumsum(sizes) - sizes)[word], each)].astype(np.int32)
             edges = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])]
         lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(out.astype(np.int32)))
-        return pa.table({"doc_id": pa.array(head[0], mask=head[1].astype(bool)), "ids": lists})
+        return pa.concat_tables([pa.table({"doc_id": pa.array(head[0], mask=head[1].astype(bool)), "ids": lists})] * times)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(occurrences, ENTRIES)
-    dealt = rows.repartition("chunk", "salt").sortWithinPartitions("chunk", "salt")
-    both = dealt.mapInArrow(encoded, "block long, ids binary, shape binary, positions binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    words = rows.mapInArrow(word_rows, "chunk int, block binary, first long, words binary, shape binary")
+    dealt = words.repartition("chunk").sortWithinPartitions("chunk")
+    parts = "block binary, first long, ids binary, shape binary, positions binary"
+    both = dealt.mapInArrow(encoded, parts).union(rows.mapInArrow(position_rows, parts))
     return both.groupBy("block").applyInArrow(reassembled, "doc_id long, ids array<int>")
 
 

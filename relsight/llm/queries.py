@@ -74,7 +74,25 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_metric_join": op1_metric_join, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op8_packing": op8_packing}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every document: the base rules and what the boosted candidates add."""
+    from relsight.llm import pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.named(F.col("base")), 256).alias("base_sha256"), pii.named(F.col("all")).alias("spans"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that earlier documents have, deleted from later ones after alignment."""
+    from relsight.llm.lines import line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "partners", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+QUERIES = {"op1_metric_join": op1_metric_join, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op7_pii": op7_pii, "op8_packing": op8_packing, "op9_line_dedup": op9_line_dedup}
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": """
         select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
