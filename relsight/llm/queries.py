@@ -99,7 +99,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "partners", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES = {"op1_metric_join": op1_metric_join, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_jaccard_join": op6_jaccard_join, "op7_pii": op7_pii, "op8_packing": op8_packing, "op9_line_dedup": op9_line_dedup}
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of at least 50 words that an earlier document or place has, edits allowed."""
+    from relsight.llm.passages import passages
+
+    return passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_metric_join": op1_metric_join, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_jaccard_join": op6_jaccard_join, "op7_pii": op7_pii, "op8_packing": op8_packing, "op9_line_dedup": op9_line_dedup, "op10_passages": op10_passages}
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": """
         select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
