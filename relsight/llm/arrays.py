@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 
 SLICE_BYTES = 4 << 20
 
@@ -137,3 +138,20 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         live = root[a] != root[b]
         a, b = a[live], b[live]
     return root
+
+
+def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, z): texts compressed one by one, for a shuffle that only some of them survive."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    for batch in slices(batches, "text"):
+        texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+        yield pa.record_batch([batch.column("doc_id"), pa.array([press(t) for t in texts], pa.binary())], names=["doc_id", "z"])
+
+
+def loosen(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The texts that ``squeeze`` has compressed, some rows at a time."""
+    free = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            part = batch.slice(lo, rows)
+            yield pa.record_batch([part.column("doc_id"), pa.array([free(z) for z in part.column("z").to_pylist()], pa.binary()).cast(pa.string())], names=["doc_id", "text"])
