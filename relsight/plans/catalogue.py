@@ -1,6 +1,119 @@
-"""The registered queries and their DuckDB equivalents."""
+"""The registered queries and their DuckDB equivalents.
+
+Doubles are rounded to nine digits on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from relsight.functions import iri
+from relsight.operators import interesting, logic, metrics, stats, validate
+from relsight.plans.views import BRC, EDGES, LINES, NODES, view
+from relsight.sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+K, CAP = 8, 5
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def query(name: str, base: str | None, build, oracle: str | None = None) -> None:
+    """Register ``build`` over a view (or over the session when there is none)."""
+    QUERIES[name] = lambda spark, sf_dir: rounded(build(view(spark, sf_dir, base) if base else spark))
+    if oracle:
+        ORACLES[name] = oracle
+
+
+E = f"with e as ({EDGES})"
+COUNTS = "c as (select p, count(*) as n from e group by p), t as (select sum(n) as n from c)"
+DEG = """
+dg{x} as (select p, {x}, count(*) as d from e group by p, {x}),
+gr{x} as (select p, count(*) as u, sum(d) / cast(count(*) as double) as a, sqrt(greatest(sum(d * d) / cast(count(*) as double) - power(sum(d) / cast(count(*) as double), 2), 0)) as sd, min(d) as lo, max(d) as hi from dg{x} group by p)"""
+TOP = f"""top as (select p from e group by p order by count(*) desc, p limit {K}),
+sp as (select s, p from (select s, p, row_number() over (partition by s order by p) as r from (select distinct s, p from e where p in (select p from top))) where r <= {CAP}),
+sup as (select p, count(*) as n from sp group by p), ns as (select count(distinct s) as n from e),
+ab as (select a.p as p_a, b.p as p_b, count(*) as n_ab from sp a join sp b on a.s = b.s and a.p < b.p group by 1, 2)"""
+COOC = """select p_a, p_b, n_ab, x.n as n_a, y.n as n_b, round(n_ab / cast(ns.n as double), 9) as support_ab,
+round(n_ab / cast(x.n + y.n - n_ab as double), 9) as jaccard, round(log2((n_ab / cast(ns.n as double)) / ((x.n / cast(ns.n as double)) * (y.n / cast(ns.n as double)))), 9) as pmi,
+round(n_ab / cast(x.n as double), 9) as conf_ab, round(n_ab / cast(y.n as double), 9) as conf_ba,
+round(n_ab / cast(x.n as double) / (y.n / cast(ns.n as double)), 9) as lift_ab, round(n_ab / cast(y.n as double) / (x.n / cast(ns.n as double)), 9) as lift_ba
+from ab join sup x on x.p = p_a join sup y on y.p = p_b cross join ns"""
+
+query("predicate_distribution", EDGES, stats.distribution, f"{E}, {COUNTS} select p as predicate, c.n as count, round(c.n / cast(t.n as double), 9) as share from c, t")
+query("meta_entropy_gini", EDGES, stats.meta, f"{E}, {COUNTS}, q as (select c.n / cast(t.n as double) as s, c.n as k from c, t) select cast(sum(k) as bigint) as n, count(*) as n_predicates, round(-sum(s * log2(s)), 9) as entropy_bits, round(1 - sum(s * s), 9) as gini from q")
+query("per_predicate_basic", EDGES, stats.per_predicate, f"""{E}, {COUNTS}, {DEG.format(x='s')}, {DEG.format(x='o')}, ns as (select count(distinct s) as n from e),
+pr as (select p, count(*) as u, sum(case when k > 1 then k - 1 end) as x from (select p, s, o, count(*) as k from e group by 1, 2, 3) group by p)
+select c.p as predicate, c.n as count, round(c.n / cast(t.n as double), 9) as share, gs.u as unique_subjects, round(gs.a, 9) as avg_out_degree_p, round(gs.sd, 9) as std_out_degree_p, gs.lo as min_out_degree_p, gs.hi as max_out_degree_p,
+g2.u as unique_objects, round(g2.a, 9) as avg_in_degree_p, round(g2.sd, 9) as std_in_degree_p, g2.lo as min_in_degree_p, g2.hi as max_in_degree_p, pr.u as unique_s_o_pairs, cast(pr.x as bigint) as duplicate_excess, round(100 * (gs.u / cast(ns.n as double)), 9) as pct_subjects_with_p
+from c join grs as gs on gs.p = c.p join gro as g2 on g2.p = c.p join pr on pr.p = c.p cross join t cross join ns""")
+query("unique_pairs_and_duplicates", EDGES, stats.duplicates, f"{E} select p, count(*) as unique_s_o_pairs, cast(sum(case when k > 1 then k - 1 end) as bigint) as duplicate_excess from (select p, s, o, count(*) as k from e group by 1, 2, 3) group by p")
+query("topk_predicates", EDGES, lambda t: stats.top_predicates(t, K), f"{E} select p, count(*) as count from e group by p order by count(*) desc, p limit {K}")
+query("subject_predicate_sets", EDGES, lambda t: stats.subject_predicates(t, K, CAP), f"{E}, {TOP} select s, p from sp")
+query("predicate_support", EDGES, lambda t: stats.support(stats.subject_predicates(t, K, CAP)), f"{E}, {TOP} select p, n from sup")
+query("predicate_cooccurrence", EDGES, lambda t: stats.cooccurrence(t, K, CAP), f"{E}, {TOP} {COOC}")
+query("association_rules", EDGES, lambda t: stats.rules(stats.cooccurrence(t, K, CAP), 0.01, 0.5), f"{E}, {TOP}, z as ({COOC}) select p_a, p_b, support_ab, conf_ab, lift_ab, jaccard, pmi from z where support_ab >= 0.01 and conf_ab >= 0.5")
+query("profile_subset", EDGES, lambda t: stats.distribution(t.where(F.col("p").isin("LIVES_IN", "BASED_IN"))), f"{E}, c as (select p, count(*) as n from e where p in ('LIVES_IN', 'BASED_IN') group by p), t as (select sum(n) as n from c) select p as predicate, c.n as count, round(c.n / cast(t.n as double), 9) as share from c, t")
+query("cooccurrence_interesting_any", EDGES, lambda t: stats.cooccurrence(t, K, CAP).where("p_a = 'LIVES_IN' or p_b = 'LIVES_IN'"), f"{E}, {TOP}, z as ({COOC}) select * from z where p_a = 'LIVES_IN' or p_b = 'LIVES_IN'")
+query("node_min_category", NODES, lambda n: n.groupBy("node_id").agg(F.min("category").alias("category")), f"select node_id, min(category) as category from ({NODES}) group by node_id")
+for _end, _name in (("s", "subject"), ("o", "object")):
+    QUERIES[f"{_name}_category_counts"] = lambda spark, sf_dir, end=_end: rounded(stats.category_counts(view(spark, sf_dir, EDGES), view(spark, sf_dir, NODES), end))
+    ORACLES[f"{_name}_category_counts"] = f"{E}, {COUNTS}, m as (select node_id, min(category) as category from ({NODES}) group by 1), k as (select p, category, count(*) as n from e join m on e.{_end} = m.node_id group by 1, 2) select k.p, category, k.n as count, round(k.n / cast(c.n as double), 9) as share from k join c on c.p = k.p"
+query("heatmap_matrix", EDGES, lambda t: stats.heatmap(t, K, CAP), f"{E}, {TOP} select p_a, p_b, n_ab from ab union all select p_b, p_a, n_ab from ab union all select p, p, n from sup")
+query("count_histogram", EDGES, stats.histogram)
+query("graph_metrics", EDGES, lambda t: metrics.graph_metrics(stats.subject_predicates(t, K, CAP)))
+
+L = f"with l as ({LINES}), v as (select value from l where value <> '' and value not like '#%'), n as (select regexp_extract(value, '(?s)^\\s*(<[^>]*>|_:[^\\s]+)\\s+(<[^>]*>)\\s+(.*)\\s*\\.\\s*$', ['s', 'p', 'o']) as x from v), t as (select x.s as s, x.p as p, x.o as o from n where x.s <> '')"
+query("nt_parse", LINES, readers.triples, f"{L} select s, p, o from t")
+query("nt_bad_line_count", LINES, readers.count_bad_lines, f"{L} select count(*) filter (x.s = '') as bad_lines, count(*) as lines from n")
+query("term_kinds", LINES, lambda v: iri.with_terms(readers.triples(v)).groupBy("p", "s_kind", "o_kind").agg(F.count("*").alias("count")), f"{L} select p, case when s like '<%' then 'IRI' else 'BNODE' end as s_kind, case when o like '<%' then 'IRI' when o like '$_:%' escape '$' then 'BNODE' else 'LITERAL' end as o_kind, count(*) as count from t group by 1, 2, 3")
+query("iri_labels", LINES, lambda v: readers.triples(v).select("p").distinct().select("p", iri.to_curie(F.col("p")).alias("curie"), iri.label(F.col("p")).alias("label"), iri.label(F.col("p"), None, False).alias("local"), iri.variants(F.col("p")).alias("variants")).withColumn("variants", F.array_join("variants", " ")))
+
+
+def _chosen(v: DataFrame) -> DataFrame:
+    names = v.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("schema:url", "dcterms:source", "http://ex.org/click", "foaf:name")])).alias("value"))
+    return interesting.aliases(readers.read_predicates(names))
+
+
+A = L + ", al as (select * from (values ('<http://schema.org/url>', '<http://schema.org/url>'), ('<https://schema.org/url>', '<http://schema.org/url>'), ('<http://purl.org/dc/terms/source>', '<http://purl.org/dc/terms/source>'), ('<http://ex.org/click>', '<http://ex.org/click>'), ('<https://ex.org/click>', '<http://ex.org/click>')) as q(p, display)), at_ as (select t.s, t.o, al.display from t join al on al.p = t.p)"
+for _name, _build in {
+    "interesting_summary": lambda t, a: interesting.summary(t, a),
+    "literal_datatypes": lambda t, a: interesting.literal_counts(t, a, "datatype"),
+    "literal_langs": lambda t, a: interesting.literal_counts(t, a, "lang"),
+    "top_objects": lambda t, a: interesting.top_objects(t, a, 10),
+    "interesting_cooccurrence": lambda t, a: interesting.cooccurrence(t, a, K, CAP),
+    "interesting_rules": lambda t, a: interesting.chosen_rules(interesting.cooccurrence(t, a, K, CAP), a),
+    "interesting_match_report": lambda t, a: interesting.match_report(t, a),
+}.items():
+    query(_name, LINES, lambda v, build=_build: build(readers.triples(v), _chosen(v)))
+ORACLES["top_objects"] = A + ", k as (select display, o, count(*) as n from at_ where o like '<%' group by 1, 2), d as (select display, count(*) as n from at_ group by 1), r as (select *, row_number() over (partition by display order by n desc, o) as r from k) select r.display as predicate, r.o as object_iri, r.n as count, round(r.n / cast(d.n as double), 9) as share_among_predicate from r join d on d.display = r.display where r.r <= 10"
+ORACLES["literal_langs"] = A + ", k as (select display, lower(regexp_extract(o, '@([a-zA-Z0-9-]+)\\s*$', 1)) as lang, count(*) as n from at_ where o like '\"%' group by 1, 2), d as (select display, sum(n) as n from k group by 1) select k.display as predicate, lang, k.n as count, round(k.n / cast(d.n as double), 9) as share_among_literals from k join d on d.display = k.display where lang <> ''"
+
+
+def _edges(e: DataFrame) -> DataFrame:
+    return e.select(F.col("rel"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.array(*[F.lit(x) for x in validate.PROPERTIES]).alias("brc"))
+
+
+B = f"with e as (select rel, cast(src as bigint) as src, cast(dst as bigint) as dst, row_number() over () as id from ({BRC})), r as (select distinct rel from e), h as (select a.rel, a.src as a, b.dst as c from e a join e b on a.rel = b.rel and a.dst = b.src and a.id <> b.id)"
+_VIOLATED = {
+    "REF": "select rel from (select rel, src as n from e union select rel, dst from e) q where not exists (select 1 from e where e.rel = q.rel and e.src = q.n and e.dst = q.n)",
+    "SYM": "select rel from e x where not exists (select 1 from e y where y.rel = x.rel and y.src = x.dst and y.dst = x.src)",
+    "TRA": "select rel from h where not exists (select 1 from e where e.rel = h.rel and e.src = h.a and e.dst = h.c)",
+    "IRF": "select rel from e where src = dst",
+    "ASM": "select x.rel from e x join e y on y.rel = x.rel and y.src = x.dst and y.dst = x.src",
+    "ANS": "select x.rel from e x join e y on y.rel = x.rel and y.src = x.dst and y.dst = x.src and x.src < x.dst",
+    "ITR": "select rel from h where not exists (select 1 from e where e.rel = h.rel and e.src = h.a and e.dst = h.c)",
+    "ANT": "select h.rel from h join e on e.rel = h.rel and e.src = h.a and e.dst = h.c",
+}
+for _tag in validate.PROPERTIES:
+    query(f"val_{_tag.lower()}", BRC, lambda e, tag=_tag: validate.validate(_edges(e), tag), f"{B} select rel as relation, rel {'' if _tag == 'ITR' else 'not '}in ({_VIOLATED[_tag]}) as holds from r" if _tag in _VIOLATED else None)
+ORACLES["val_acc"] = B.replace("with e as", "with recursive e as") + ", w as (select rel, src, dst from e union select w.rel, w.src, e.dst from w join e on e.rel = w.rel and e.src = w.dst) select rel as relation, rel not in (select rel from w where src = dst) as holds from r"
+query("validation_report", BRC, lambda e: validate.validate_all(_edges(e)))
+query("property_closures", None, lambda spark: logic.subsets(spark).select("mask", F.array_join("members", ",").alias("members"), "closure"))
+query("equivalence_classes", None, logic.equivalence_classes)
