@@ -1,0 +1,39 @@
+import pytest
+from pyspark.sql import functions as F
+
+from relsight.operators import logic, stats, validate
+from relsight.sources import readers
+
+LINES = ["<http://e/s1> <http://e/p> <http://e/o1> .", "<http://e/s1> <http://e/p> <http://e/o1> .", '<http://e/s1> <http://e/q> "hi"@EN .', "<http://e/s2> <http://e/p> <http://e/o2> .", '_:b1 <http://e/q> "5"^^<http://www.w3.org/2001/XMLSchema#integer> .', '_:b1 <http://e/r> "x" .', "# comment", "garbage", "", "<http://e/s2> <https://e/p> _:b1 ."]
+
+
+def triples(spark):
+    return readers.triples(spark.createDataFrame([(x,) for x in LINES], "value string"))
+
+
+def test_parse_and_meta(spark):
+    t = triples(spark)
+    assert t.count() == 7
+    m = stats.meta(t).first()
+    assert (m.n, m.n_predicates) == (7, 4)
+    assert m.entropy_bits == pytest.approx(1.842371, abs=1e-6) and m.gini == pytest.approx(34 / 49)
+
+
+def test_cooccurrence(spark):
+    rows = {(r.p_a, r.p_b): r for r in stats.cooccurrence(triples(spark)).collect()}
+    assert len(rows) == 3
+    r = rows["<http://e/p>", "<http://e/q>"]
+    assert (r.n_ab, r.n_a, r.n_b) == (1, 2, 2) and r.pmi == pytest.approx(-0.415037, abs=1e-6)
+
+
+@pytest.mark.parametrize(("edges", "want"), [("aa", "TTTFFTFFT"), ("aa aa", "TTTFFTFFF"), ("ab ba", "FTFTFFFTT"), ("ab bc ac", "FFTTTTTFF"), ("aa ab", "FFTFFTFFF")])
+def test_validators(spark, edges, want):
+    rows = [("r", x[0], x[1], validate.PROPERTIES) for x in edges.split()]
+    df = spark.createDataFrame(rows, "rel string, src string, dst string, brc array<string>")
+    got = {r.property: r.holds for r in validate.validate_all(df).collect()}
+    assert "".join("T" if got[p] else "F" for p in ["REF", "SYM", "TRA", "IRF", "ASM", "ANS", "ACC", "ITR", "ANT"]) == want
+
+
+def test_property_sets(spark):
+    rows = logic.subsets(spark)
+    assert rows.where(F.col("closure").isNotNull()).count() == 117
