@@ -1,0 +1,64 @@
+import random
+
+from relsight.llm import chat, exact, jaccard, lines, packing, passages, pretokens
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_pretokens_follow_the_pattern():
+    import public_tokenizers
+    import pyarrow as pa
+    import regex
+
+    random.seed(0)
+    parts = ["'", "s", "t", "re", "ve", "ll", " ", "  ", "\n", "a", "é", "1", "²", "!", "\x85", "日", "😀", "\x1c", "_"]
+    cases = ["".join(random.choice(parts) for _ in range(random.randint(0, 14))) for _ in range(3000)]
+    words, rows = pretokens.split(pa.array(cases))
+    found = [w.decode() for w in words.to_pylist()]
+    for i, case in enumerate(cases):
+        assert found[rows[i] : rows[i + 1]] == regex.findall(public_tokenizers.PATTERN, case)
+
+
+def test_exact_dedup_with_colliding_keys(spark):
+    rows = [(1, "a"), (2, "b"), (3, "a"), (4, None), (5, ""), (None, "b"), (6, "c")]
+    out = exact.exact_dedup(docs(spark, rows), key_of=lambda t: t.isNull().cast("long"), bucket_bytes=1, owner_bytes=1)
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in out.collect()}
+    assert got == {(1, 3, 2, False), (3, 3, 2, True), (2, 2, 2, True), (None, 2, 2, False), (4, 5, 2, False), (5, 5, 2, True), (6, 6, 1, True)}
+    assert exact.exact_dedup(docs(spark, [])).count() == 0
+
+
+def test_jaccard_edges(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = [*base[:50], "x", *base[51:]]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, ""), (4, None), (5, "A b"), (6, "a  b"), (7, " ".join(base[:60]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(docs(spark, rows)).collect()}
+    assert got == {1: (96, 1), 2: (96, 1), 3: (0, 3), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (56, 7)}
+
+
+def test_chat_round_trip(spark):
+    said = "</s>[INST] <|end|> <\\/s> <\\\\|body|>"
+    rows = spark.createDataFrame([(1, 0, "user", said), (1, 1, "assistant", said), (1, 2, None, None)], "conv_id long, turn long, role string, text string")
+    r = chat.read_back(chat.format_chat(rows)).first()
+    assert [tuple(t) for t in r.turns] == [("user", said), ("assistant", said), ("", "")] and r.loss_text == said
+
+
+def test_lines_and_passages(spark):
+    a = "one two three four five\nshort\nsix seven eight nine ten"
+    got = {r.doc_id: r.text for r in lines.line_dedup(docs(spark, [(1, a), (2, "new first line of this text\n" + a), (3, a), (4, None)])).collect()}
+    assert got == {1: a, 2: "new first line of this text", 3: "", 4: None}
+    random.seed(1)
+    word = lambda n: [f"v{random.randrange(10**6)}" for _ in range(n)]
+    p = word(60)
+    rows = [(i, " ".join(word(30) + p + word(20))) for i in (1, 2)]
+    (r,) = passages.passages(docs(spark, rows)).collect()
+    assert (r.doc_id, r.start, r.end, r.source_id) == (2, 30, 90, 1)
+
+
+def test_bound_and_best_fit():
+    import numpy as np
+
+    lengths = np.array([600, 600, 424, 424, 1000])
+    bins = packing.best_fit(lengths, 1024)
+    assert len(set(bins.tolist())) == 3 == packing.lower_bound(lengths, 1024)
