@@ -47,9 +47,8 @@ def step(m: Column) -> Column:
 
 def subsets(spark: SparkSession) -> DataFrame:
     """mask, members (sorted names), closure (null for contradictory sets). A changing pass sets a bit, so nine passes suffice."""
-    rows = spark.range(512).select(F.col("id").cast("int").alias("mask")).withColumn("c", F.col("mask"))
-    for _ in range(9):
-        rows = rows.withColumn("c", step(F.col("c"))).select("mask", F.col("c").cast("int").alias("c"))
+    rows = spark.range(512).select(F.col("id").cast("int").alias("mask"))
+    rows = rows.withColumn("c", F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.col("mask"), lambda m, _: step(m)))
     bad = contradictory(F.col("mask")) | contradictory(F.col("c"))
     return rows.select("mask", names(F.col("mask")).alias("members"), F.when(~bad, F.col("c")).alias("closure"))
 
