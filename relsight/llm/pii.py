@@ -28,13 +28,14 @@ IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone"]
-# The generators of candidates, and the kind that an added span of each has.
+# The generators of candidates, and the kind that an added span of each has. Runs are
+# possessive and have no upper bound, so that no long value is cut.
 GENERATORS = {
-    "handle": r"[^\s@]{1,64}+@[^\s@]{1,128}",
+    "handle": r"(?:\G|(?<![^\s@]))[^\s@]++@[^\s@]++",
     "address": r"[0-9A-Fa-f]{1,4}(?:[.:][0-9A-Fa-f]{1,4}){3,7}",
-    "number": r"[+(]?[0-9](?:[\x20().-]{0,2}+[0-9]){6,30}+",
-    "secret": r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\x20{0,2}[=:]\x20{0,2}[\"']?[^\s\"']{6,128}[\"']?",
-    "digest": r"\b[0-9a-f]{16,128}\b",
+    "number": r"[+(]?[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+",
+    "secret": r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\x20{0,2}[=:]\x20{0,2}[\"']?[^\s\"']{6,}+[\"']?",
+    "digest": r"\b[0-9a-f]{16,}+\b",
 }
 ADDED = list(GENERATORS)
 #: Documents that training reads at most, and the precision that a threshold must reach.
