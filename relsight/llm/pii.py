@@ -4,8 +4,7 @@ The base rules (email, ip, card, phone) always hold. High-recall generators
 propose further, overlapping candidate spans; binned format and context
 features of each are scored by gradient-boosted trees, and a threshold that
 is calibrated for each generator selects the spans to add. Training counts
-feature patterns over a bounded sample of documents (``sample``); its labels
-are weak: a candidate is positive if it overlaps a base span or gives a
+feature patterns over all documents, at every size; its labels are weak: a candidate is positive if it overlaps a base span or gives a
 secret a value that mixes letters and digits. The trees are small Python
 code over the pattern counts and become one Column expression.
 
@@ -38,8 +37,8 @@ GENERATORS = {
     "digest": r"\b[0-9a-f]{16,}+\b",
 }
 ADDED = list(GENERATORS)
-#: Documents that training reads at most, and the precision that a threshold must reach.
-SAMPLE, PRECISION = 20_000, 0.95
+#: The precision that a threshold must reach.
+PRECISION = 0.95
 SPAN = "struct<kind:int,start:int,end:int,match:string>"
 
 
@@ -200,12 +199,10 @@ def selected(model: dict[int, tuple[float, list]], kind: Column, f: Column) -> C
     return score >= limit
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> dict:
-    """Count feature patterns over at most about ``sample`` documents, boost trees, and calibrate thresholds."""
-    n = docs.count()
-    some = docs if n <= sample else docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(-(-n // sample))) == 0)
+def fit(docs: DataFrame, precision: float = PRECISION) -> dict:
+    """Count feature patterns over all documents, boost trees, and calibrate thresholds."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = some.select(text.alias("text")).withColumn("base", base_spans(F.col("text"))).withColumn("c", candidates(F.col("text")))
+    rows = docs.select(text.alias("text")).withColumn("base", base_spans(F.col("text"))).withColumn("c", candidates(F.col("text")))
     rows = rows.select(F.explode(F.transform("c", lambda c: F.struct(c["f"].alias("f"), (c["mixed"] | overlaps(c, F.col("base"))).alias("y")))).alias("c"))
     counts = rows.groupBy(*[F.col(f"c.f.{f}") for f in FEATURES]).agg(F.count_if("c.y").alias("p"), F.count_if(~F.col("c.y")).alias("n")).collect()
     patterns = sorted((tuple(r[f] for f in FEATURES), float(r.p), float(r.n)) for r in counts)

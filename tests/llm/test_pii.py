@@ -16,3 +16,12 @@ def test_long_values_are_whole(spark):
         if name in cases:
             (r,) = rows.where(F.col("k") == name).select(pii.spans(F.col("text"), pii.GENERATORS[name], i).alias("s")).collect()
             assert [x.match for x in r.s] == [cases[name][1]], name
+
+
+def test_rare_secrets_train_at_any_size(spark):
+    # Secrets only in documents that a hash sample of one in two leaves out.
+    rare = (F.col("id") % 1000 == 5) & (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)) == 1)
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(rare, "password=abc123def").otherwise("plain words").alias("text"))
+    want = {r.id for r in spark.range(40_000).where(rare).collect()}
+    found = pii.find(rows, pii.fit(rows)).where(F.size("all") > 0).select("doc_id", pii.named(F.col("all")).alias("s")).collect()
+    assert want and {(r.doc_id, r.s) for r in found} == {(i, "secret:0:18") for i in want}
