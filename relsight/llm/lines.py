@@ -4,8 +4,10 @@ Documents overlap when they share a line of at least MIN_WORDS words. Each
 such line names one partner: the earliest document that holds it, however
 many hold it, so frequent lines cost one pair a document and no pair is
 missed for a line that any earlier document has. Partners are aligned with
-patience diff over line hashes, and aligned common blocks that contain such a
-line are deleted from the later document.
+patience diff over line hashes; a region without a line that is unique on both
+sides is aligned by longest common subsequences, of its long lines first.
+Aligned common blocks that contain such a line are deleted from the later
+document.
 
 Documents are ordered by (doc_id, digest of the text), a null doc_id first.
 Equal texts are one class, held by its earliest document; its later copies
@@ -19,6 +21,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +32,48 @@ from relsight.llm.shared import written
 MIN_WORDS = 5
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-    """(start in a, start in b, length) of the common blocks, in order."""
+def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence, in order.
+
+    A row of the table of lengths is one number: bit j is clear where b[: j + 1]
+    has more than b[:j]. Each isqrt(len(a))-th row is kept, and those between
+    are made again on the way back.
+    """
+    at: dict[int, int] = {}
+    for j, h in enumerate(b):
+        at[h] = at.get(h, 0) | 1 << j
+    full = (1 << len(b)) - 1
+
+    def below(row: int, h: int) -> int:
+        up = row & at.get(h, 0)
+        return ((row + up) | (row - up)) & full
+
+    step = isqrt(len(a)) + 1
+    kept, row = [full], full
+    for i, h in enumerate(a, 1):
+        row = below(row, h)
+        if i % step == 0:
+            kept.append(row)
+    pairs = []
+    i, j = len(a), len(b)
+    while i and j:
+        top = (i - 1) // step
+        rows = [kept[top]]
+        for h in a[top * step : i]:
+            rows.append(below(rows[-1], h))
+        while i > top * step and j:
+            if rows[i - top * step] >> (j - 1) & 1:
+                j -= 1
+                continue
+            i -= 1
+            if rows[i - top * step] >> (j - 1) & 1:
+                j -= 1
+                pairs.append((i, j))
+    return pairs[::-1]
+
+
+def patience(a: list[int], b: list[int], words: list[bool] | None = None) -> list[tuple[int, int, int]]:
+    """(start in a, start in b, length) of the common blocks, in order; words: which lines of b are long."""
     match: dict[int, int] = {}
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -47,6 +90,18 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
         at = {h: i for i, h in enumerate(a[a0:a1], a0) if in_a[h] == 1}
         both = [(at[h], j) for j, h in enumerate(b[b0:b1], b0) if in_b[h] == 1 and h in at]
         if not both:
+            shared = in_a.keys() & in_b.keys()
+            large = {b[j] for j in range(b0, b1) if words and words[j]} & shared
+            # Long lines first; the regions between them have none in common and are aligned by all lines.
+            use = large or shared
+            p, q = ([k for k in range(lo, hi) if x[k] in use] for x, lo, hi in ((a, a0, a1), (b, b0, b1)))
+            i0, j0 = a0, b0
+            for i, j in [*((p[i], q[j]) for i, j in common([a[i] for i in p], [b[j] for j in q])), (a1, b1)]:
+                if large:
+                    todo.append((i0, i, j0, j))
+                if i < a1:
+                    match[j] = i
+                i0, j0 = i + 1, j + 1
             continue
         tails: list[int] = []
         ends: list[int] = []
@@ -79,7 +134,7 @@ def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list[int]] = []
         for a, b, words in zip(*(batch.column(c).to_pylist() for c in ("a_lines", "b_lines", "b_long")), strict=True):
-            blocks = patience(a, b)
+            blocks = patience(a, b, words)
             out.append([k for _, j, n in blocks if any(words[j : j + n]) for k in range(j, j + n)])
         yield pa.record_batch([batch.column("key"), batch.column("partner"), pa.array(out, pa.list_(pa.int32()))], names=["key", "partner", "gone"])
 
