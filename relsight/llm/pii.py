@@ -4,13 +4,17 @@ The base rules (email, ip, card, phone) always hold. High-recall generators
 propose further, overlapping candidate spans; binned format and context
 features of each are scored by gradient-boosted trees, and a threshold that
 is calibrated for each generator selects the spans to add. Training counts
-feature patterns over all documents, at every size; its labels are weak: a candidate is positive if it overlaps a base span or gives a
-secret a value that mixes letters and digits. The trees are small Python
-code over the pattern counts and become one Column expression.
+feature patterns over all documents, at every size. Its labels are weak: a
+candidate is positive if its text holds a value that a base rule accepts, or
+if it gives a secret a value that mixes letters and digits. Thresholds come
+from texts that the trees weren't grown on. The trees are small Python code
+over the pattern counts and become one Column expression.
 
 Defined cases: null and empty texts have no spans; spans are code points,
-end exclusive; added spans never overlap base spans or each other; repeated
-rows are treated alike; a null doc_id stays null.
+end exclusive; base spans may overlap each other, secrets may hold base
+spans, and other added spans overlap nothing; repeated rows are treated
+alike; a null doc_id stays null; an empty table trains no trees, adds nothing
+and gives no rows; other columns are carried, but for one named as the result.
 """
 
 from __future__ import annotations
@@ -39,21 +43,38 @@ GENERATORS = {
 ADDED = list(GENERATORS)
 #: The precision that a threshold must reach.
 PRECISION = 0.95
-SPAN = "struct<kind:int,start:int,end:int,match:string>"
+SPAN = "struct<kind:int,start:int,end:int,match:string,before:string,after:string>"
+#: Matches whose offsets are summed at a time.
+CHUNK = 128
 
 
 def spans(text: Column, pattern: str, kind: int) -> Column:
-    """array<struct<kind,start,end,match>>: leftmost non-overlapping matches with their code-point offsets."""
+    """array<struct<kind,start,end,match,before,after>>: leftmost non-overlapping matches with their code-point offsets.
+
+    before and after are the text up to the neighbouring matches. Offsets are summed a chunk of
+    matches at a time, so the work grows with the matches, not with their square.
+    """
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
     none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
 
+    def one(start: Column, end: Column, p: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), p["match"].alias("match"), p["gap"].alias("before"), F.lit("").alias("after"))
+
     def step(s: Column, p: Column) -> Column:
         start = s["at"] + F.length(p["gap"])
         end = start + F.length(p["match"])
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), p["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(s["found"], F.array(one)).alias("found"))
-
-    found = F.aggregate(F.filter(parts, lambda p: p["match"].isNotNull()), none, step)["found"]
+        return F.struct(end.alias("at"), F.concat(s["found"], F.array(one(start, end, p))).alias("found"))
+
+    def summed(all_: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(all_) / CHUNK).cast("int")), lambda c: F.aggregate(F.slice(all_, c * CHUNK + 1, F.lit(CHUNK)), none, step))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(chunks, zero, lambda s, c: F.struct((s["at"] + c["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))["starts"]
+        moved = F.zip_with(chunks, starts, lambda c, at: F.transform(c["found"], lambda x: x.withField("start", x["start"] + at).withField("end", x["end"] + at)))
+        return F.flatten(moved)
+
+    found = summed(F.filter(parts, lambda p: p["match"].isNotNull()))
+    after = F.slice(F.split(text, pattern, -1), 2, F.size(parts))
+    found = F.zip_with(found, after, lambda x, a: x.withField("after", a))
     return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -113,8 +134,7 @@ def candidates(text: Column) -> Column:
 
     def one(s: Column) -> Column:
         m, n = s["match"], F.length(digits(s["match"]))
-        before = F.substr(text, F.greatest(s["start"] - 15, F.lit(1)), F.least(s["start"], F.lit(16)))
-        last = F.substr(text, s["start"], F.lit(1))
+        before, after = s["before"], s["after"]
         values = [
             s["kind"],
             binned(F.length(m), [10, 15, 20, 40]),
@@ -124,21 +144,39 @@ def candidates(text: Column) -> Column:
             binned(F.size(F.split(m, r"\.")) - 1, [1, 3, 4]),
             F.regexp_like(m, F.lit("[A-Za-z]")).cast("int"),
             F.when(n.between(14, 19), luhn(digits(m))).otherwise(F.lit(False)).cast("int"),
-            F.regexp_like(before, F.lit("(?i)password|passwd|pwd|token|secret|key|card|phone|tel|mail|ip|call")).cast("int"),
-            F.when(s["start"] == 0, 1).otherwise(F.regexp_like(last, F.lit(r"[\s\"'(]")).cast("int")),
-            F.coalesce(F.regexp_like(F.substr(text, s["end"] + 1, F.lit(1)), F.lit(r"^$|[\s\"').,;]")), F.lit(True)).cast("int"),
+            F.regexp_like(F.right(before, F.lit(16)), F.lit("(?i)password|passwd|pwd|token|secret|key|card|phone|tel|mail|ip|call")).cast("int"),
+            F.regexp_like(before, F.lit(r"^$|[\s\"'(]$")).cast("int"),
+            F.regexp_like(after, F.lit(r"^(?:$|[\s\"').,;])")).cast("int"),
         ]
+        # The labels come from the match alone: it holds a value that a base rule accepts, or it is a secret of letters and digits.
         mixed = (s["kind"] == ADDED.index("secret")) & F.regexp_like(m, F.lit(r"[=:].*[a-z].*[0-9]|[=:].*[0-9].*[a-z]"))
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.struct(*[v.alias(f) for v, f in zip(values, FEATURES, strict=True)]).alias("f"), mixed.alias("mixed"))
+        sure = F.regexp_like(m, F.lit(EMAIL)) | (F.regexp_like(m, F.lit(f"^{IP}$")) & is_ip(m)) | is_card(m) | (F.regexp_like(m, F.lit(f"^{PHONE}$")) & n.between(10, 15))
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.struct(*[v.alias(f) for v, f in zip(values, FEATURES, strict=True)]).alias("f"), (mixed | sure).alias("y"))
 
     return F.transform(F.concat(*found), one)
 
 
-def overlaps(s: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
+def settled(fixed: Column, chosen: Column) -> Column:
+    """The chosen spans that overlap no fixed one and no earlier chosen one, in one pass over both by start."""
+    span = "struct<start:int,kind:int,end:int>"
+    item = lambda x, own: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["kind"].alias("kind"), x["end"].alias("end"))
+    rows = F.array_sort(F.concat(F.transform(fixed, lambda x: item(x, 0)), F.transform(chosen, lambda x: item(x, 1))))
+    # end: of all fixed spans so far; open: the last chosen span, until nothing that begins later can meet it.
+    none = F.struct(F.lit(0).alias("end"), F.lit(None).cast(span).alias("open"), F.array().cast(f"array<{span}>").alias("out"))
 
+    def step(s: Column, x: Column) -> Column:
+        meets = s["open"].isNotNull() & (x["start"] < s["open"]["end"])
+        out = F.when(s["open"].isNull() | meets, s["out"]).otherwise(F.concat(s["out"], F.array(s["open"])))
+        new = F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
+        fixed_step = F.struct(F.greatest(s["end"], x["end"]).alias("end"), F.lit(None).cast(span).alias("open"), out.alias("out"))
+        blocked = meets | (x["start"] < s["end"])
+        chosen_step = F.when(blocked, s).otherwise(F.struct(s["end"].alias("end"), new.alias("open"), out.alias("out")))
+        return F.when(x["own"] == 0, fixed_step).otherwise(chosen_step)
 
-def boost(patterns: list[tuple[tuple[int, ...], float, float]], rounds: int = 30, rate: float = 0.4) -> tuple[float, list]:
+    return F.aggregate(rows, none, step, lambda s: F.when(s["open"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["open"]))))
+
+
+def boost(patterns: list[tuple[tuple[int, ...], float, float]], rounds: int = 20, rate: float = 0.4) -> tuple[float, list]:
     """Boosted trees of depth 2 over (bins, positives, negatives): the first log odds, and trees of nested tests."""
     pos, neg = sum(p for _, p, _ in patterns), sum(n for _, _, n in patterns)
     start = math.log((pos + 1) / (neg + 1))
@@ -183,7 +221,7 @@ def leaf(tree, bins: tuple[int, ...]) -> float:
     return tree
 
 
-def selected(model: dict[int, tuple[float, list]], kind: Column, f: Column) -> Column:
+def selected(model: dict, kind: Column, f: Column) -> Column:
     """Whether a candidate's score reaches the threshold of its generator."""
     names = list(FEATURES)
 
@@ -200,14 +238,22 @@ def selected(model: dict[int, tuple[float, list]], kind: Column, f: Column) -> C
 
 
 def fit(docs: DataFrame, precision: float = PRECISION) -> dict:
-    """Count feature patterns over all documents, boost trees, and calibrate thresholds."""
+    """Count feature patterns over all documents, boost trees, and calibrate thresholds on rows that a tree wasn't grown on.
+
+    Texts fall into two folds by their hash. Each fold grows trees; the model's score is the mean of
+    both, and the thresholds come from the scores that each fold's trees give the other fold.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(text.alias("text")).withColumn("base", base_spans(F.col("text"))).withColumn("c", candidates(F.col("text")))
-    rows = rows.select(F.explode(F.transform("c", lambda c: F.struct(c["f"].alias("f"), (c["mixed"] | overlaps(c, F.col("base"))).alias("y")))).alias("c"))
-    counts = rows.groupBy(*[F.col(f"c.f.{f}") for f in FEATURES]).agg(F.count_if("c.y").alias("p"), F.count_if(~F.col("c.y")).alias("n")).collect()
-    patterns = sorted((tuple(r[f] for f in FEATURES), float(r.p), float(r.n)) for r in counts)
-    start, trees = boost(patterns) if patterns else (0.0, [])
-    scored = [(start + sum(leaf(t, bins) for t in trees), bins[0], p, n) for bins, p, n in patterns]
+    rows = docs.select(text.alias("text")).select(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2)).cast("int").alias("fold"), candidates(F.col("text")).alias("c"))
+    rows = rows.select("fold", F.explode("c").alias("c"))
+    counts = rows.groupBy("fold", *[F.col(f"c.f.{f}") for f in FEATURES]).agg(F.count_if("c.y").alias("p"), F.count_if(~F.col("c.y")).alias("n")).collect()
+    folds = [sorted((tuple(r[f] for f in FEATURES), float(r.p), float(r.n)) for r in counts if r.fold == k) for k in (0, 1)]
+    grown = [boost(patterns) if patterns else (0.0, []) for patterns in folds]
+    scored = [(grown[1 - k][0] + sum(leaf(t, bins) for t in grown[1 - k][1]), bins[0], p, n) for k in (0, 1) for bins, p, n in folds[k]]
+    # A fold without patterns has no trees, and the other one's are the model.
+    own = [(m, patterns) for m, patterns in zip(grown, folds, strict=True) if patterns] or [(grown[0], [])]
+    start = sum(m[0] for m, _ in own) / len(own)
+    trees = [halved(t, len(own)) for m, _ in own for t in m[1]]
     limits = {}
     for g in range(len(ADDED)):
         p = n = 0.0
@@ -215,18 +261,34 @@ def fit(docs: DataFrame, precision: float = PRECISION) -> dict:
             p, n = p + a, n + b
             if p >= precision * (p + n):
                 limits[g] = s - 1e-9
+        # A limit above every mean score would select nothing; the best positive's mean score is the limit then.
+        mean = [(start + sum(leaf(t, bins) for t in trees), q) for _, patterns in own for bins, q, _ in patterns if bins[0] == g and q]
+        if g in limits and mean:
+            limits[g] = min(limits[g], max(s for s, _ in mean))
     return {"start": start, "trees": trees, "limits": limits}
 
 
-def find(docs: DataFrame, model: dict) -> DataFrame:
-    """The columns of ``docs``, base (array<struct<start,kind,end>>) and all (array<struct<start,kind,end>>, added kinds from 4)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("_t", text).withColumn("base", base_spans(F.col("_t"))).withColumn("_c", candidates(F.col("_t")))
-    chosen = F.filter("_c", lambda c: selected(model, c["kind"], c["f"]) & ~overlaps(c, F.col("base")))
-    chosen = F.array_sort(F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), (c["kind"] + len(KINDS)).alias("kind"), c["end"].alias("end"))))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    apart = F.aggregate(chosen, none, lambda a, c: F.when(F.exists(a, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"])), a).otherwise(F.concat(a, F.array(c))))
-    return rows.withColumn("_all", F.array_sort(F.concat("base", apart))).select(*docs.columns, "base", F.col("_all").alias("all"))
+def halved(tree, n: int):
+    """A tree whose leaves count one n-th."""
+    return (tree[0], tree[1], halved(tree[2], n), halved(tree[3], n)) if isinstance(tree, tuple) else tree / n
+
+
+def find(docs: DataFrame, model: dict, into: str = "pii") -> DataFrame:
+    """The columns of ``docs`` and the struct ``into`` (in place of a column of that name).
+
+    Its fields are base and all, both array<struct<start,kind,end>>; added kinds count from 4.
+    Secrets are added whole, even around a base span; other added spans overlap nothing.
+    """
+    row = F.struct(*docs.columns).alias("row")
+    rows = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    rows = rows.select("row", base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("c"))
+    picked = F.transform(F.filter("c", lambda c: selected(model, c["kind"], c["f"])), lambda c: F.struct(c["start"].alias("start"), (c["kind"] + len(KINDS)).alias("kind"), c["end"].alias("end")))
+    rows = rows.select("row", "base", picked.alias("c"))
+    secret = len(KINDS) + ADDED.index("secret")
+    secrets, others = F.filter("c", lambda c: c["kind"] == secret), F.filter("c", lambda c: c["kind"] != secret)
+    rows = rows.select("row", "base", secrets.alias("s"), others.alias("o")).select("row", "base", "s", settled(F.concat("base", "s"), F.col("o")).alias("o"))
+    found = F.struct("base", F.array_sort(F.concat("base", "s", "o")).alias("all")).alias(into)
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != into], found)
 
 
 def named(found: Column) -> Column:
@@ -236,13 +298,21 @@ def named(found: Column) -> Column:
 
 
 def redact(text: Column, found: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; overlapping spans become the first one's."""
+    """The text with each span replaced by its kind in brackets; overlapping spans become the first one's.
+
+    The text is cut into code points once, so the work grows with its length and its spans.
+    """
     names = F.array(*[F.lit(k.upper()) for k in [*KINDS, *ADDED]])
-    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int,kind:int>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        gap = F.substr(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        new = F.concat(s["out"], gap, F.lit("["), F.get(names, x["kind"]), F.lit("]"))
+        new = F.concat(s["out"], F.array(F.struct(s["at"].alias("from"), x["start"].alias("to"), x["kind"].alias("kind"))))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], new).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(found, none, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
+    def joined(s: Column) -> Column:
+        chars = F.split(text, "", -1)
+        cut = lambda a, n: F.array_join(F.slice(chars, a + 1, n), "")
+        last = cut(s["at"], F.greatest(F.length(text) - s["at"], F.lit(0)))
+        return F.concat(F.array_join(F.transform(s["out"], lambda x: F.concat(cut(x["from"], x["to"] - x["from"]), F.lit("["), F.get(names, x["kind"]), F.lit("]"))), ""), last)
+
+    return F.aggregate(found, none, step, joined)

@@ -87,8 +87,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, pii.fit(docs))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(pii.named(F.col("base")), 256).alias("base_sha256"), pii.named(F.col("all")).alias("spans"))
+    # The lambda has one parameter: a second one would be the element's position.
+    number = lambda kind: F.size(F.filter("pii.base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [number(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.named(F.col("pii.base")), 256).alias("base_sha256"), pii.named(F.col("pii.all")).alias("spans"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
