@@ -1,19 +1,22 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap when they share a line of at least MIN_WORDS words. Each
-such line names one partner: the earliest document that holds it, however
-many hold it, so frequent lines cost one pair a document and no pair is
-missed for a line that any earlier document has. Partners are aligned with
-patience diff over line hashes; a region without a line that is unique on both
-sides is aligned by longest common subsequences, of its long lines first.
-Aligned common blocks that contain such a line are deleted from the later
-document.
+Documents overlap when they share a line of at least MIN_WORDS words. A rare
+line, one that at most RARE different texts hold, pairs each of them with all
+earlier ones. A more frequent line pairs a document with its earliest holder
+and with the holder before it in one of several hashed runs of about RUN
+holders, so it costs at most two pairs a document however many hold it, and
+no document that shares a line with an earlier one is without a partner.
+Partners are aligned with patience diff over line hashes; a region without a
+line that is unique on both sides is aligned by longest common subsequences,
+of its long lines first. Aligned common blocks that contain such a line are
+deleted from the later document.
 
 Documents are ordered by (doc_id, digest of the text), a null doc_id first.
 Equal texts are one class, held by its earliest document; its later copies
 align with it whole and lose all lines if any has MIN_WORDS words. Rows that
 repeat both id and text are treated alike. A null text is empty and has one
-empty line; an empty table gives no rows; other columns are carried.
+empty line; an empty table gives no rows; other columns are carried, but for
+one named as the result.
 """
 
 from __future__ import annotations
@@ -24,12 +27,16 @@ from collections.abc import Iterator
 from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from relsight.llm.shared import written
+from relsight.llm.arrays import slices
+from relsight.llm.shared import drop_written, fresh, salted_join, settings, written
 
-MIN_WORDS = 5
+#: Words of a line that makes documents overlap, holders of a rare line, and of a run of a frequent one.
+MIN_WORDS, RARE, RUN = 5, 8, 64
 
 
 def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -140,35 +147,81 @@ def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """key (digest of a text), first_id (its earliest document), gone (line numbers), partners (doc_ids)."""
+    """What changes: key (digest of a text), first_id (its earliest document), copies (whether later rows lose all), gone (line numbers), partners (doc_ids)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= min_words).alias("long")))
     rows = rows.select("doc_id", F.unhex(F.md5("text")).alias("key"), lines.alias("lines"))
-    own = rows.groupBy("key").agg(F.min(F.struct("doc_id")).alias("d"), F.first("lines").alias("lines"))
-    own = written(own.select(F.struct(F.col("d.doc_id").alias("doc_id"), "key").alias("id"), "key", F.col("lines.h").alias("h"), F.col("lines.long").alias("long")), "lines")
-    held = own.select("id", F.explode(F.arrays_zip("h", "long")).alias("x")).where("x.long").select("id", F.col("x.h").alias("h"))
-    first = held.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last")
-    pairs = held.join(first, "h").where("id <> first").select("first", "id").distinct()
+    own = rows.groupBy("key").agg(F.min(F.struct("doc_id")).alias("d"), F.count("*").alias("rows"), F.first("lines").alias("lines"))
+    own = written(own.select(F.struct(F.col("d.doc_id").alias("doc_id"), "key").alias("id"), "rows", F.col("lines.h").alias("h"), F.col("lines.long").alias("long")), "lines")
+
+    held = own.select("id", F.explode(F.array_distinct(F.arrays_zip("h", "long"))).alias("x")).where("x.long").select("id", F.col("x.h").alias("h"))
+    held = written(held, "held")
+    shared = held.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = salted_join(held, shared, "h")
+    # Each run is ordered by itself: a rare line is one run, a frequent one is split by a hash of its holders.
+    run = F.when(F.col("n") > RARE, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / RUN))).otherwise(F.lit(0))
+    order = Window.partitionBy("h", "run").orderBy("id")
+    earlier = F.when(F.col("n") <= RARE, F.collect_list("id").over(order.rowsBetween(-RARE, -1))).otherwise(F.array_compact(F.array("first", F.lag("id").over(order))))
+    pairs = met.withColumn("run", run).withColumn("earlier", earlier).select("id", F.explode("earlier").alias("first")).where("first <> id").distinct()
+    pairs = written(pairs, "pairs")
     a = own.select(F.col("id").alias("first"), F.col("h").alias("a_lines"))
-    b = own.select("id", "key", F.col("h").alias("b_lines"), F.col("long").alias("b_long"))
-    both = pairs.join(a, "first").join(b, "id").select("key", F.col("first.doc_id").alias("partner"), "a_lines", "b_lines", "b_long")
-    gone = both.mapInArrow(aligned, "key binary, partner long, gone array<int>").where(F.size("gone") > 0)
-    gone = gone.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.array_sort(F.collect_set("partner")).alias("partners"))
-    return own.select("key", F.col("id.doc_id").alias("first_id"), F.exists("long", lambda x: x).alias("any_long")).join(gone, "key", "left")
-
-
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of ``docs`` with deduplicated text, and n_lines, removed (line numbers) and partners (doc_ids)."""
-    found = deletions(docs, min_words).select(F.col("key").alias("_key"), "first_id", "any_long", "gone", "partners")
-    rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_key", F.unhex(F.md5("_text")))
-    rows = rows.join(found, "_key").withColumn("_lines", F.split("_text", "\n", -1))
-    copy = ~F.col("doc_id").cast("long").eqNullSafe(F.col("first_id"))
-    everything = F.sequence(F.lit(0), F.size("_lines") - 1)
+    b = own.select("id", F.col("h").alias("b_lines"), F.col("long").alias("b_long"))
+    both = salted_join(pairs, a, "first").join(b, "id").select(F.col("id.key").alias("key"), F.col("first.doc_id").alias("partner"), "a_lines", "b_lines", "b_long")
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=500):
+        gone = written(both.mapInArrow(aligned, "key binary, partner long, gone array<int>").where(F.size("gone") > 0), "gone")
+    gone_of = gone.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.array_sort(F.collect_set("partner")).alias("partners"))
+    changed = own.select(F.col("id.key").alias("key"), F.col("id.doc_id").alias("first_id"), ((F.col("rows") > 1) & F.exists("long", lambda x: x)).alias("copies")).join(gone_of, "key", "left")
+    out = written(changed.where("copies or gone is not null"), "changed")
+    for table in (own, held, pairs, gone):
+        drop_written(table)
+    return out
+
+
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, into: str = "dedup") -> DataFrame:
+    """The rows of ``docs`` with deduplicated text, and the struct ``into``: n_lines, removed (line numbers), partners (doc_ids).
+
+    Texts travel compressed to what changes in them.
+    """
+    found = deletions(docs, min_words)
+    names = [c for c in docs.columns if c != into]
+    row, z, key = (fresh(docs.columns, c) for c in ("row", "z", "key"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[c for c in names if c != "text"]).alias(row), F.col("text").cast("string").alias("text"), F.unhex(F.md5(text)).alias(key))
+
+    def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
+        for batch in slices(batches, "text"):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            yield pa.record_batch([batch.column(row), batch.column(key), pa.array([None if t is None else press(t) for t in texts], pa.binary())], names=[row, key, z])
+
+    kept = StructType([rows.schema[row], rows.schema[key]])
+    joined = rows.mapInArrow(pressed, StructType([*kept, StructField(z, BinaryType())]))
+    joined = joined.join(found.withColumnRenamed("key", key).hint("merge"), key, "left")
+    copy = F.coalesce(F.col("copies"), F.lit(False)) & ~F.col(f"{row}.doc_id").cast("long").eqNullSafe(F.col("first_id"))
     none = F.array().cast("array<int>")
-    removed = F.when(copy & F.col("any_long"), everything).otherwise(F.coalesce("gone", none))
-    partners = F.when(copy & F.col("any_long"), F.array("first_id")).otherwise(F.coalesce("partners", F.array().cast("array<long>")))
-    rows = rows.withColumn("removed", removed).withColumn("partners", partners).withColumn("n_lines", F.size("_lines"))
-    left = F.filter("_lines", lambda x, i: ~F.array_contains("removed", i))
-    new = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.concat_ws("\n", left))
-    return rows.withColumn("text", new).select(*docs.columns, "n_lines", "removed", "partners")
+    joined = joined.select(row, z, copy.alias("copy"), F.when(copy, none).otherwise(F.coalesce("gone", none)).alias("gone"), F.when(copy, F.array("first_id")).otherwise(F.coalesce("partners", F.array().cast("array<long>"))).alias("partners"))
+
+    def cut(batches: Iterator[pa.RecordBatch], most: int = 200) -> Iterator[pa.RecordBatch]:
+        free = zstandard.ZstdDecompressor().decompress
+        for whole in batches:
+            for at in range(0, whole.num_rows, most):
+                batch = whole.slice(at, most)
+                texts, numbers, gone = [], [], []
+                for t, copied, lost in zip(*(batch.column(c).to_pylist() for c in (z, "copy", "gone")), strict=True):
+                    t = None if t is None else free(t)
+                    lines = (t or b"").split(b"\n")
+                    lost = list(range(len(lines))) if copied else lost
+                    if lost:
+                        drop = set(lost)
+                        t = b"\n".join(x for i, x in enumerate(lines) if i not in drop)
+                    texts.append(t)
+                    numbers.append(len(lines))
+                    gone.append(lost)
+                yield pa.record_batch([batch.column(row), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int32()), pa.array(gone, pa.list_(pa.int32())), batch.column("partners")], names=[row, "text", "n_lines", "removed", "partners"])
+
+    added = [StructField("n_lines", IntegerType()), StructField("removed", ArrayType(IntegerType())), StructField("partners", ArrayType(LongType()))]
+    out = StructType([rows.schema[row], rows.schema["text"], *added])
+    done = joined.mapInArrow(cut, out)
+    result = F.struct("n_lines", "removed", "partners").alias(into)
+    return done.select(*[F.col("text") if c == "text" else F.col(row).getField(c).alias(c) for c in names], result)

@@ -9,7 +9,8 @@ the smallest hash of their id, at every size. Scoring covers whole texts.
 Defined cases: null and empty texts have the constant feature alone; null or
 other labels than 0 and 1 aren't learned from; a document with several labels
 is learned with each; no labels give the score 0.5; repeated rows are scored
-each; a null doc_id isn't held out and stays null.
+each; a null doc_id isn't held out and stays null; an empty table gives no
+rows; other columns are carried and never features.
 """
 
 from __future__ import annotations
@@ -123,10 +124,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: i
     return Model(np.frombuffer(found.vectors, np.float32).reshape(-1, dim), np.frombuffer(found.weights, np.float32).reshape(2, dim))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and a double, ``quality_score``: how likely label 1 is."""
+def score(docs: DataFrame, model: Model, into: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` and the double ``into`` (in place of a column of that name): how likely label 1 is."""
     logits = model.logits()
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() != into.lower()]
+    docs = docs.select(*names)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -139,9 +141,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             total = np.bincount(doc, weights=value[codes], minlength=batch.num_rows) if len(codes) else np.zeros(batch.num_rows)
             n = np.bincount(doc, weights=count[codes], minlength=batch.num_rows) if len(codes) else np.zeros(batch.num_rows)
             odds = (total + logits[BUCKETS]) / (n + 1)
-            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(1 / (1 + np.exp(-odds)))], names=[*names, "quality_score"])
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(1 / (1 + np.exp(-odds)))], names=[*names, into])
 
-    return docs.mapInArrow(scored, docs.select("*", F.lit(0.0).alias("quality_score")).schema)
+    return docs.mapInArrow(scored, docs.select("*", F.lit(0.0).alias(into)).schema)
 
 
 def held_out() -> Column:

@@ -98,7 +98,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from relsight.llm.lines import line_dedup
 
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "partners", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return out.select("doc_id", "dedup.n_lines", F.size("dedup.removed").alias("n_removed"), "dedup.removed", "dedup.partners", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

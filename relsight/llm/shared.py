@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the setting is unset, as in tests."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    found = conf or spark.conf.get("spark.relsight.shared", None)
+    """The folder that driver and executors share.
+
+    It is the cluster's spark.checkpoint.dir, else the context's checkpoint
+    folder, else the warehouse: a local one only where the session is local.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = given.get() if given.isDefined() else None
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.relsight.shared", found)
+        found = spark.conf.get("spark.sql.warehouse.dir")
+        if found.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -37,11 +45,47 @@ def drop_written(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows from here on, for operators whose rows hold whole texts and arrays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
+@contextmanager
+def settings(spark: SparkSession, **values) -> Iterator[None]:
+    """SQL settings (dots written as two underscores) that hold inside the block and are as before after it."""
+    before = {k.replace("__", "."): spark.conf.get(k.replace("__", "."), None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k.replace("__", "."), v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def fresh(names: list[str], wanted: str) -> str:
+    """A column name that none of ``names`` has, whatever its case."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+#: A key is hot with more than one of HOT rows, so there are fewer than HOT such keys; its rows are dealt to SALTS tasks.
+HOT, SALTS = 512, 32
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (one row a key) by ``key``, where a key may hold any share of ``left``.
+
+    Rows of hot keys are dealt to SALTS tasks, and the right rows of those
+    keys, fewer than HOT, are copied to each. ``left`` is read twice, so it
+    should be a table.
+    """
+    total = left.agg(F.count("*").alias("n"))
+    counts = left.groupBy(key).agg(F.count("*").alias("n"))
+    bound = F.broadcast(total.select((F.col("n") / HOT).alias("bound")))  # one row
+    hot = written(counts.crossJoin(bound).where("n > bound").select(key, F.lit(True).alias("hot_")), "hot")
+    salt = F.when(F.col("hot_").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    every = F.explode(F.when(F.col("hot_").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("salt_", salt).drop("hot_")
+    copied = right.join(F.broadcast(hot), key, "left").withColumn("salt_", every).drop("hot_")
+    return dealt.join(copied.hint("merge"), [key, "salt_"], how).drop("salt_")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
