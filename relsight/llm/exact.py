@@ -2,12 +2,13 @@
 
 Keys are 64-bit hashes of whole texts. A directory of 2^depth slots starts
 with one bucket; while a bucket is overfull it splits by its next key bit,
-and the directory doubles when a bucket's depth passes its own. Only the
-slots' byte counts reach the driver, never keys. Owner tasks then take
-contiguous ranges of directory slots, chain the entries of equal keys,
-compare their bytes, and write their part of the index to the shared folder.
-Rows look their key up in the index; bytes are compared again only for keys
-that hold several different texts.
+and the directory doubles when a bucket's local depth passes its own. Only
+byte counts of key prefixes reach the driver, never keys; the directory, a
+number a slot, goes to every task. Owner tasks then take contiguous ranges of
+directory slots, chain the entries of equal keys, compare their bytes, and
+write their part of the index to the shared folder. Rows find their bucket in
+the directory and their key in that bucket of the index; bytes are compared
+again only for keys that hold several different texts.
 
 Defined cases: a null text is the empty text; the row with the largest
 doc_id of equal texts stays (repeated rows with that doc_id all count as
@@ -21,10 +22,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from relsight.llm.shared import written
+from relsight.llm.shared import drop_written, written
 
 #: Text bytes that a bucket may hold before it splits; more where a directory would pass MOST_BUCKETS.
 BUCKET_BYTES = 4 << 20
@@ -33,70 +36,151 @@ MOST_BUCKETS = 1 << 16
 OWNER_BYTES = 32 << 20
 #: Directory bits that one counting pass looks ahead.
 BITS = 8
+#: Copies in a batch that make a text hot, and bytes of hot texts that a task holds before it passes them on.
+HOT, HOT_BYTES = 8, 16 << 20
 INDEX = "key long, slot int, chain_text string, keep_id long, group_size long"
 
 
-def prefix(key: Column, bits: int) -> Column:
-    """The first bits of a key, counted from the smallest long."""
-    return F.shiftrightunsigned(key.bitwiseXOR(F.lit(-(1 << 63))), 64 - bits)
+class Directory:
+    """2^depth slots that name buckets; a bucket of local depth d fills 2^(depth - d) of them, side by side."""
 
+    def __init__(self) -> None:
+        self.depth = 0
+        self.slots = np.zeros(1, np.int32)
+        self.local = [0]
+        self.size = [0]
 
-def directory(keys: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> list[tuple[int, int]]:
-    """(first key, bytes) of every bucket in key order.
+    def double(self) -> None:
+        """Every slot becomes two that name its bucket."""
+        self.slots = np.repeat(self.slots, 2)
+        self.depth += 1
 
-    ``keys`` has ``key`` and ``bytes`` of each distinct key. Overfull buckets
-    split bit by bit; a pass counts the next BITS bits of overfull buckets
-    only, so the driver gets at most 2^BITS counts for each of those.
+    def span(self, bucket: int, slot: int) -> tuple[int, int]:
+        """The slots of a bucket, from one of them."""
+        width = 1 << (self.depth - self.local[bucket])
+        return slot // width * width, width
+
+    def split(self, bucket: int, slot: int) -> int:
+        """A new bucket takes the upper half of an overfull one's keys; the directory doubles where one slot names it."""
+        if self.local[bucket] == self.depth:
+            self.double()
+            slot *= 2
+        at, width = self.span(bucket, slot)
+        new = len(self.local)
+        self.slots[at + width // 2 : at + width] = new
+        self.local[bucket] += 1
+        self.local.append(self.local[bucket])
+        self.size.append(0)
+        return new
+
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """The bucket of each key."""
+        if not self.depth:
+            return np.zeros(len(keys), np.int32)
+        return self.slots[((keys.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - self.depth)).astype(np.int64)]
+
+
+def directory(keys: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Directory:
+    """The directory of a table of distinct keys (``key``, ``bytes``).
+
+    A pass counts BITS bits beyond the local depth of overfull buckets, which
+    then split until each fits or a next pass is needed; the driver gets at
+    most 2^BITS counts for each of those. A single key never splits further.
     """
-    total = keys.agg(F.sum("bytes")).first()[0] or 0
-    most = max(bucket_bytes, total // MOST_BUCKETS)
-    done: dict[tuple[int, int], int] = {}
-    overfull = {(0, 0): total}
+    found = Directory()
+    total, n = keys.agg(F.sum("bytes"), F.count("*")).first()
+    most = max(bucket_bytes, (total or 0) // MOST_BUCKETS)
+    found.size[0] = total or 0
+    overfull = {0} if found.size[0] > most and n > 1 else set()
     while overfull:
-        depths = {d for d, _ in overfull}
-        deeper: dict[tuple[int, int], int] = {}
-        for d in depths:
-            deep = d + BITS
-            p = prefix(F.col("key"), deep)
-            some = keys if d == 0 else keys.where(prefix(F.col("key"), d).isin([q for e, q in overfull if e == d]))
-            leaves = {r.p: r.n for r in some.groupBy(p.alias("p")).agg(F.sum("bytes").alias("n")).collect()}
-            for bucket in [b for b in overfull if b[0] == d]:
-                open_ = [bucket]
-                while open_:
-                    e, q = open_.pop()
-                    shift = deep - e
-                    size = sum(leaves.get(x, 0) for x in range(q << shift, (q + 1) << shift))
-                    if size <= most or e >= 64:
-                        done[(e, q)] = size
-                    elif e == deep:
-                        (deeper if deep + BITS <= 64 else done)[(e, q)] = size
-                    else:
-                        open_ += [(e + 1, 2 * q), (e + 1, 2 * q + 1)]
-        overfull = deeper
-    return sorted(((q << (64 - d)) - (1 << 63), size) for (d, q), size in done.items())
-
-
-def owners(buckets: list[tuple[int, int]], owner_bytes: int = OWNER_BYTES) -> np.ndarray:
-    """The first key of each owner's range of whole buckets."""
-    starts, held = [], None
-    for first, size in buckets:
-        if held is None or held + size > owner_bytes:
-            starts.append(first)
-            held = 0
-        held += size
-    return np.array(starts, dtype=np.int64)
-
-
-def gathered(starts: np.ndarray):
-    """Copies within a batch become one entry, and each entry gets the owner of its key."""
+        shared = keys.sparkSession.sparkContext.broadcast(found)
+        wanted = np.array(sorted(overfull), np.int32)
+        local = np.array(found.local)
+
+        def counted(batches: Iterator[pa.RecordBatch], shared=shared, wanted=wanted, local=local) -> Iterator[pa.RecordBatch]:
+            """bucket, the next bits of its keys, and their bytes."""
+            for batch in batches:
+                key = batch.column("key").to_numpy()
+                bucket = shared.value.lookup(key)
+                keep = np.isin(bucket, wanted)
+                high = key[keep].view(np.uint64) ^ np.uint64(1 << 63)
+                bits = (high << local[bucket[keep]].astype(np.uint64)) >> np.uint64(64 - BITS)
+                yield pa.record_batch([pa.array(bucket[keep]), pa.array(bits.astype(np.int32)), pa.array(np.asarray(batch.column("bytes"))[keep])], names=["bucket", "bits", "bytes"])
+
+        rows = keys.mapInArrow(counted, "bucket int, bits int, bytes long").groupBy("bucket", "bits").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).collect()
+        leaves: dict[int, np.ndarray] = {}
+        for r in rows:
+            leaves.setdefault(r.bucket, np.zeros((2, 1 << BITS), np.int64))[:, r.bits] = r.bytes, r.n
+        overfull = set()
+        for first, counts in leaves.items():
+            open_ = [(first, counts)]
+            while open_:
+                bucket, under = open_.pop()
+                size, keys_ = under.sum(axis=1).tolist()
+                found.size[bucket] = size
+                if size <= most or keys_ <= 1 or found.local[bucket] >= 64 - BITS:
+                    continue
+                if under.shape[1] == 1:
+                    overfull.add(bucket)
+                    continue
+                new = found.split(bucket, int(np.flatnonzero(found.slots == bucket)[0]))
+                half = under.shape[1] // 2
+                open_ += [(bucket, under[:, :half]), (new, under[:, half:])]
+    return found
+
+
+def owners(found: Directory, owner_bytes: int = OWNER_BYTES) -> np.ndarray:
+    """The owner of each bucket: contiguous directory ranges of whole buckets."""
+    out = np.zeros(len(found.local), np.int32)
+    owner, held = 0, None
+    _, order = np.unique(found.slots, return_index=True)
+    for bucket in found.slots[np.sort(order)].tolist():
+        if held is not None and held + found.size[bucket] > owner_bytes:
+            owner, held = owner + 1, None
+        held = (held or 0) + found.size[bucket]
+        out[bucket] = owner
+    return out
+
+
+def gathered(shared, owner_of: np.ndarray):
+    """Each entry gets the owner that the directory names for its key.
+
+    Copies within a batch become one entry, and those of a text that a batch
+    holds HOT times or more one entry a task.
+    """
+
+    def entries(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        owner = owner_of[shared.value.lookup(t["key"].to_numpy())] if t.num_rows else np.zeros(0, np.int32)
+        yield from t.add_column(0, "owner", pa.array(owner.astype(np.int32))).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: dict[tuple[int, str], list] = {}
+        held = 0
+        schema = pa.schema([("key", pa.int64()), ("text", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64())])
         for batch in batches:
-            if batch.num_rows:
-                t = pa.Table.from_batches([batch]).group_by(["key", "text"]).aggregate([("doc_id", "max"), ("n", "sum")])
-                owner = np.searchsorted(starts, t["key"].to_numpy(), side="right") - 1
-                t = pa.table({"owner": pa.array(owner.astype(np.int32)), "key": t["key"], "text": t["text"], "doc_id": t["doc_id_max"], "n": t["n_sum"]})
-                yield from t.combine_chunks().to_batches()
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch]).group_by(["key", "text"]).aggregate([("doc_id", "max"), ("n", "sum")])
+            t = t.rename_columns(["key", "text", "doc_id", "n"]).select(["key", "text", "doc_id", "n"])
+            many = pc.greater_equal(t["n"], HOT)
+            for key, text, doc_id, n in zip(*(t.filter(many)[c].to_pylist() for c in t.column_names), strict=True):
+                one = hot.get((key, text))
+                if one is None:
+                    hot[key, text] = [doc_id, n]
+                    held += len(text)
+                else:
+                    one[0] = max((x for x in (one[0], doc_id) if x is not None), default=None)
+                    one[1] += n
+            yield from entries(t.filter(pc.invert(many)))
+            if held > HOT_BYTES:
+                yield from entries(flush(hot, schema))
+                hot, held = {}, 0
+        if hot:
+            yield from entries(flush(hot, schema))
+
+    def flush(hot: dict, schema: pa.Schema) -> pa.Table:
+        columns = zip(*((key, text, doc_id, n) for (key, text), (doc_id, n) in hot.items()), strict=True)
+        return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
@@ -146,24 +230,42 @@ def keyed(docs: DataFrame, key_of: Callable[[Column], Column]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", key_of(F.col("text")))
 
 
-def build_index(docs: DataFrame, key_of: Callable[[Column], Column] = F.xxhash64, bucket_bytes: int = BUCKET_BYTES, owner_bytes: int = OWNER_BYTES) -> DataFrame:
-    """The index in shared files: key, slot in its chain, chain_text (only in chains of several), keep_id, group_size."""
+def build_index(docs: DataFrame, key_of: Callable[[Column], Column] = F.xxhash64, bucket_bytes: int = BUCKET_BYTES, owner_bytes: int = OWNER_BYTES) -> tuple[DataFrame, Directory]:
+    """The index in shared files and its directory: bucket, key, slot in its chain, chain_text (only in chains of several), keep_id, group_size."""
     rows = keyed(docs, key_of)
-    keys = rows.groupBy("key").agg(F.max(F.octet_length("text")).cast("long").alias("bytes"))
-    starts = owners(directory(keys, bucket_bytes), owner_bytes)
-    entries = rows.select("key", "text", "doc_id", F.lit(1).cast("long").alias("n")).mapInArrow(gathered(starts), "owner int, key long, text string, doc_id long, n long")
-    owned = entries.repartitionById(len(starts), "owner").drop("owner")
-    return written(owned.sortWithinPartitions("key").mapInArrow(chained, INDEX), "index")
+    # Each pass counts this table of numbers; texts are read once for it and once for the index.
+    keys = written(rows.groupBy("key").agg(F.max(F.octet_length("text")).cast("long").alias("bytes")), "keys")
+    found = directory(keys, bucket_bytes)
+    drop_written(keys)
+    owner_of = owners(found, owner_bytes)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+    entries = rows.select("key", "text", "doc_id", F.lit(1).cast("long").alias("n")).mapInArrow(gathered(shared, owner_of), "owner int, key long, text string, doc_id long, n long")
+    owned = entries.repartitionById(int(owner_of.max()) + 1, "owner").drop("owner")
+    index = owned.sortWithinPartitions("key").mapInArrow(chained, INDEX)
+    return written(addressed(index, shared), "index"), found
+
+
+def addressed(rows: DataFrame, shared) -> DataFrame:
+    """``rows`` with the bucket that the directory (a broadcast one) names for ``key``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = shared.value.lookup(batch.column("key").to_numpy()).astype(np.int32)
+            yield pa.record_batch([pa.array(bucket), *batch.columns], names=["bucket", *batch.schema.names])
+
+    return rows.mapInArrow(run, StructType([StructField("bucket", IntegerType()), *rows.schema]))
 
 
 def exact_dedup(docs: DataFrame, key_of: Callable[[Column], Column] = F.xxhash64, bucket_bytes: int = BUCKET_BYTES, owner_bytes: int = OWNER_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
-    index = build_index(docs, key_of, bucket_bytes, owner_bytes)
+    index, found = build_index(docs, key_of, bucket_bytes, owner_bytes)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
     rows = keyed(docs, key_of).select("doc_id", "key", "text", F.sha2("text", 256).alias("text_sha256"))
-    found = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
+    columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
+    at = ["bucket", "key"]
     alone = index.where("chain_text is null").drop("chain_text", "slot")
-    result = rows.drop("text").join(alone, "key").select(*found)
+    result = addressed(rows.drop("text"), shared).join(alone, at).select(*columns)
     chains = index.where("chain_text is not null")
     if chains.isEmpty():
         return result
-    return result.union(rows.join(chains.drop("slot"), "key").where("text = chain_text").select(*found))
+    return result.union(addressed(rows, shared).join(chains.drop("slot"), at).where("text = chain_text").select(*columns))

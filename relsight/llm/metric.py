@@ -10,13 +10,15 @@ a spanning forest of its links, never all pairs. Equal vectors are one class.
 Defined cases: a vector that is null, empty, zero, or has null or non-finite
 components, or whose label is null, links with nothing; vectors of different
 lengths don't link; repeated rows are vectors of their own; a null vec_id
-counts as a link of others but names no component.
+counts as a link of others but names no component; an empty table gives no
+rows; other columns aren't read.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relsight.llm.arrays import forest
-from relsight.llm.shared import components, written
+from relsight.llm.shared import components, drop_written, written
 
-#: Vectors that a cell has on average, pivots at most, and rows of a tile.
-CELL, MOST_PIVOTS, TILE = 1024, 4096, 2048
+#: Vectors that a cell has on average, and rows of a tile.
+CELL, TILE = 1024, 2048
+#: Pivots grow with the size until they are these bytes, which every task can hold; beyond, cells grow.
+PIVOT_BYTES = 64 << 20
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -47,9 +51,10 @@ def by_space(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
         yield space, np.array(rows)
 
 
-def metric_links(vectors: DataFrame, min_cosine: float = 0.93, cell: int = CELL, most_pivots: int = MOST_PIVOTS, tile: int = TILE) -> DataFrame:
+def metric_links(vectors: DataFrame, min_cosine: float = 0.93, cell: int = CELL, pivot_bytes: int = PIVOT_BYTES, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept of all rows of (vec_id, embedding, label)."""
-    eps = float(np.sqrt(2 - 2 * min_cosine)) + 1e-9
+    # The slack covers the rounding of a distance near 0, the root of that of a product.
+    eps = float(np.sqrt(2 - 2 * min_cosine)) + 1e-6
     e = F.col("embedding")
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce(F.col("label").isNotNull() & ~bad & F.exists(e, lambda x: x != 0), F.lit(False))
@@ -58,8 +63,9 @@ def metric_links(vectors: DataFrame, min_cosine: float = 0.93, cell: int = CELL,
     # Only a class of rows without ids has no rep; its number is below all ids in use.
     named = classes.select(F.coalesce("rep", F.xxhash64("label", "embedding").bitwiseOR(F.lit(-(1 << 63)))).alias("rep"), "label", F.size("embedding").alias("dim"), "n", "embedding")
     named = written(named, "vectors")
-    total = named.count()
-    wanted = min(most_pivots, -(-total // cell)) if total else 0
+    total, widest = named.agg(F.count("*"), F.max("dim")).first()
+    # Enough for cells of the wanted size, but no more than balances the work in cells with that of finding them.
+    wanted = max(1, min(-(-total // cell), 8 * isqrt(total), pivot_bytes // (8 * widest))) if total else 0
     chosen = named.select("label", "dim", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(wanted).toArrow() if wanted else None
     pivots: dict[tuple, np.ndarray] = {}
     if chosen is not None:
@@ -68,12 +74,14 @@ def metric_links(vectors: DataFrame, min_cosine: float = 0.93, cell: int = CELL,
                 found = matrix(batch.column("embedding").take(pa.array(at)))
                 pivots[space] = np.vstack([pivots[space], found]) if space in pivots else found
 
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for (_, _), at in by_space(batch):
                 part = batch.take(pa.array(at))
                 space = (part.column("label")[0].as_py(), part.column("dim")[0].as_py())
-                p = pivots.get(space)
+                p = shared.value.get(space)
                 if p is None:
                     take, cells, guest = np.arange(len(at)), np.zeros(len(at), np.int32), np.zeros(len(at), bool)
                 else:
@@ -126,6 +134,7 @@ def metric_links(vectors: DataFrame, min_cosine: float = 0.93, cell: int = CELL,
     found = written(tiled.groupBy("label", "dim", "cell", "s", "t").applyInArrow(linked, "rep long, links long, low long"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.where("rep <> low"), "rep", "low")
+    drop_written(cells)
     result = named.join(links, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
     result = result.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     one = rows.where(good).join(result, ["label", "embedding"]).select("vec_id", "n_links", "component_id")

@@ -10,18 +10,21 @@ packed anew, until nothing is open, one group is left, or a round gains
 nothing. Only per-round totals reach the driver.
 
 Defined cases: null and empty texts are the end id alone; repeated rows are
-packed each; a null doc_id stays null; an empty table gives no rows.
+packed each; a null doc_id stays null; an empty table gives no rows; the
+string of an added token in a text is that token; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,28 +34,46 @@ from relsight.llm.shared import drop_written, written
 
 GROUP_ITEMS = 20_000
 #: Pre-tokens whose ids a task remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @cache
 def encoder(tokenizer_path: str):
-    """Ids of one pre-token, by the merges of a tokenizer file (its ids are the merge ranks)."""
+    """Ids of one pre-token, by the merges of a tokenizer file (its ids are the merge ranks), and its added tokens' ids."""
     import json
 
     import public_tokenizers
     import tiktoken
 
     with open(tokenizer_path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        found = json.load(f)
+    added = {t["content"].encode(): t["id"] for t in found["added_tokens"]}
     plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and token != "<|endoftext|>"}
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-
-def token_ids(column: pa.Array, encode, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts of a slice, and row offsets into them."""
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in found["model"]["vocab"].items() if all(c in byte_of for c in token) and token.encode() not in added}
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, added
+
+
+def token_ids(column: pa.Array, encode, added: dict[bytes, int], known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts of a slice, and row offsets into them. Strings of added tokens stand apart in a text, with their own ids."""
+    texts = column.cast(pa.large_binary()).fill_null(b"")
+    apart = np.zeros(len(texts), bool)
+    for token in added:
+        apart |= np.asarray(pc.match_substring(texts, token))
+    if apart.any():
+        mark = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + b")")
+        cut = [mark.split(t.as_py()) if x else [t.as_py()] for t, x in zip(texts, apart, strict=True)]
+        ids, rows = token_ids(pa.array([y for x in cut for y in x[::2]], pa.large_binary()), encode, {}, known)
+        out, sizes, at = [], [], 0
+        for x in cut:
+            own = []
+            for k, part in enumerate(x):
+                own.append(np.array([added[part]], np.uint32) if k % 2 else ids[rows[at] : rows[at + 1]])
+                at += 1 - k % 2
+            out += own
+            sizes.append(sum(map(len, own)))
+        return np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)])
     words, rows = pretokens.split(column)
     table = words.dictionary_encode()
     if len(known) > REMEMBERED:
@@ -76,9 +97,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, list[int]] = {}
-        encode = encoder(tokenizer_path)
+        encode, added = encoder(tokenizer_path)
         for batch in slices(batches, "text"):
-            ids, rows = token_ids(batch.column("text"), encode, known)
+            ids, rows = token_ids(batch.column("text"), encode, added, known)
             out: list[tuple] = []
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), rows[:-1].tolist(), rows[1:].tolist(), strict=True):
                 own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
@@ -126,7 +147,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def pack(items: DataFrame, capacity: int, group_items: int = GROUP_ITEMS) -> DataFrame:
-    """Adds sequence_id and offset to pieces (rows of ``length``)."""
+    """Adds sequence_id and offset to pieces (rows of ``length``, a table that gives the same rows each time)."""
     columns = items.columns
     names = [*columns, "sequence_id", "offset", "open"]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long, open boolean"
@@ -157,7 +178,8 @@ def pack(items: DataFrame, capacity: int, group_items: int = GROUP_ITEMS) -> Dat
     n, round_, before = open_.count(), 0, None
     while n:
         groups = -(-n // group_items)
-        deal = F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_)), F.lit(groups))
+        # By the row's place in its table, so that rows of one id, or of none, aren't one group.
+        deal = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(round_)), F.lit(groups))
         result = written(open_.withColumn("g", deal).groupBy("g").applyInArrow(packed(round_ << 52), types), "packed")
         left = result.where("open")
         m, sequences = left.agg(F.count("*"), F.countDistinct("sequence_id")).first()

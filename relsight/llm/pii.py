@@ -20,6 +20,7 @@ and gives no rows; other columns are carried, but for one named as the result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,30 +55,38 @@ def spans(text: Column, pattern: str, kind: int) -> Column:
     before and after are the text up to the neighbouring matches. Offsets are summed a chunk of
     matches at a time, so the work grows with the matches, not with their square.
     """
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
     none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
 
-    def one(start: Column, end: Column, p: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), p["match"].alias("match"), p["gap"].alias("before"), F.lit("").alias("after"))
-
     def step(s: Column, p: Column) -> Column:
-        start = s["at"] + F.length(p["gap"])
+        start = s["at"] + F.length(p["before"])
         end = start + F.length(p["match"])
-        return F.struct(end.alias("at"), F.concat(s["found"], F.array(one(start, end, p))).alias("found"))
+        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), p["match"].alias("match"), p["before"].alias("before"), p["after"].alias("after"))
+        return F.struct(end.alias("at"), F.concat(s["found"], F.array(one)).alias("found"))
+
+    def chunked(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / CHUNK).cast("int")), lambda c: F.aggregate(F.slice(parts, c * CHUNK + 1, F.lit(CHUNK)), none, step))
 
-    def summed(all_: Column) -> Column:
-        chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(all_) / CHUNK).cast("int")), lambda c: F.aggregate(F.slice(all_, c * CHUNK + 1, F.lit(CHUNK)), none, step))
+    def summed(chunks: Column) -> Column:
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
         starts = F.aggregate(chunks, zero, lambda s, c: F.struct((s["at"] + c["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))["starts"]
         moved = F.zip_with(chunks, starts, lambda c, at: F.transform(c["found"], lambda x: x.withField("start", x["start"] + at).withField("end", x["end"] + at)))
         return F.flatten(moved)
 
-    found = summed(F.filter(parts, lambda p: p["match"].isNotNull()))
-    after = F.slice(F.split(text, pattern, -1), 2, F.size(parts))
-    found = F.zip_with(found, after, lambda x, a: x.withField("after", a))
+    def parted(both: Column) -> Column:
+        gaps, matches = both["gaps"], both["matches"]
+        n = F.size(matches)
+        return F.arrays_zip(F.slice(gaps, 1, n).alias("before"), matches.alias("match"), F.slice(gaps, 2, n).alias("after"))
+
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"))
+    found = let(let(let(both, parted), chunked), summed)
     return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
@@ -125,15 +134,16 @@ def binned(value: Column, edges: list[int]) -> Column:
 FEATURES = {"gen": 5, "size": 5, "numerals": 6, "plus": 2, "at": 2, "dots": 4, "letters": 2, "checked": 2, "cue": 2, "open": 2, "shut": 2}
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<kind,start,end,f>>: all generators' spans with their feature bins."""
+def candidates(text: Column, labels: bool = False) -> Column:
+    """array<struct<kind,start,end,f>>: all generators' spans with their feature bins; y: whether it is positive, if asked for."""
     found = []
     for i, (name, pattern) in enumerate(GENERATORS.items()):
         cheap = {"handle": F.contains(text, F.lit("@")), "secret": F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))}.get(name, F.lit(True))
         found.append(F.when(cheap, spans(text, pattern, i)).otherwise(F.array().cast(f"array<{SPAN}>")))
 
-    def one(s: Column) -> Column:
-        m, n = s["match"], F.length(digits(s["match"]))
+    def one(x: Column) -> Column:
+        s, n = x["s"], x["n"]
+        m = s["match"]
         before, after = s["before"], s["after"]
         values = [
             s["kind"],
@@ -151,9 +161,10 @@ def candidates(text: Column) -> Column:
         # The labels come from the match alone: it holds a value that a base rule accepts, or it is a secret of letters and digits.
         mixed = (s["kind"] == ADDED.index("secret")) & F.regexp_like(m, F.lit(r"[=:].*[a-z].*[0-9]|[=:].*[0-9].*[a-z]"))
         sure = F.regexp_like(m, F.lit(EMAIL)) | (F.regexp_like(m, F.lit(f"^{IP}$")) & is_ip(m)) | is_card(m) | (F.regexp_like(m, F.lit(f"^{PHONE}$")) & n.between(10, 15))
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.struct(*[v.alias(f) for v, f in zip(values, FEATURES, strict=True)]).alias("f"), (mixed | sure).alias("y"))
+        f = F.struct(*[v.alias(f) for v, f in zip(values, FEATURES, strict=True)])
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), f.alias("f"), *([(mixed | sure).alias("y")] if labels else []))
 
-    return F.transform(F.concat(*found), one)
+    return F.transform(F.transform(F.concat(*found), lambda s: F.struct(s.alias("s"), F.length(digits(s["match"])).alias("n"))), one)
 
 
 def settled(fixed: Column, chosen: Column) -> Column:
@@ -244,7 +255,7 @@ def fit(docs: DataFrame, precision: float = PRECISION) -> dict:
     both, and the thresholds come from the scores that each fold's trees give the other fold.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(text.alias("text")).select(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2)).cast("int").alias("fold"), candidates(F.col("text")).alias("c"))
+    rows = docs.select(text.alias("text")).select(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2)).cast("int").alias("fold"), candidates(F.col("text"), True).alias("c"))
     rows = rows.select("fold", F.explode("c").alias("c"))
     counts = rows.groupBy("fold", *[F.col(f"c.f.{f}") for f in FEATURES]).agg(F.count_if("c.y").alias("p"), F.count_if(~F.col("c.y")).alias("n")).collect()
     folds = [sorted((tuple(r[f] for f in FEATURES), float(r.p), float(r.n)) for r in counts if r.fold == k) for k in (0, 1)]

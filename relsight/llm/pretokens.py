@@ -20,23 +20,53 @@ from relsight.llm.arrays import text_buffers
 
 # The code points of the pattern's white-space class.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-OTHER, LETTER, NUMBER, SPACE = range(4)
+OTHER, LETTER, NUMBER, SPACE, UNKNOWN = range(5)
 
 
 @cache
 def classes() -> np.ndarray:
-    """The class of each code point."""
+    """The class of each code point; UNKNOWN where Python's tables, which may be old, have no character."""
     table = np.zeros(sys.maxunicode + 1, np.uint8)
     for i in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(i))[0]
-        if kind == "L":
+        kind = unicodedata.category(chr(i))
+        if kind[0] == "L":
             table[i] = LETTER
-        elif kind == "N":
+        elif kind[0] == "N":
             table[i] = NUMBER
+        elif kind == "Cn":
+            table[i] = UNKNOWN
     table[WHITE_SPACE] = SPACE
     return table
 
 
+def kinds(points: np.ndarray) -> np.ndarray:
+    """The class of each character of a text; the library that applies the pattern is asked about unknown ones."""
+    table = classes()
+    found = table[points]
+    unknown = np.unique(points[found == UNKNOWN])
+    if len(unknown):
+        table[unknown] = OTHER
+        for mark, kind in (("a", LETTER), ("1", NUMBER)):
+            table[unknown[like(mark, unknown)]] = kind
+        found = table[points]
+    return found
+
+
+def like(mark: str, points: np.ndarray) -> np.ndarray:
+    """Whether each code point is one pre-token together with ``mark``.
+
+    The vocabulary merges ``mark`` with any first byte of a character, so a
+    merge shows where the library has not split.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {bytes([b]): b for b in range(256)} | {mark.encode() + bytes([b]): 256 + b for b in range(0xC2, 0xF5)}
+    encode = tiktoken.Encoding("marks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ids = np.array(encode("".join(f"{mark}{chr(i)}\n" for i in points.tolist())))
+    return ids[np.concatenate([[0], np.flatnonzero(ids == 10)[:-1] + 1])] >= 256
+
+
 def split(column: pa.Array) -> tuple[pa.LargeBinaryArray, np.ndarray]:
     """All pre-tokens of a column's texts in order, and row offsets into them."""
     data, offsets = text_buffers(column)
@@ -47,7 +77,7 @@ def split(column: pa.Array) -> tuple[pa.LargeBinaryArray, np.ndarray]:
     cps = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     n = len(cps)
     rows = np.searchsorted(at, offsets)
-    kind = classes()[cps]
+    kind = kinds(cps)
     row_start = np.zeros(n + 1, bool)
     row_start[rows] = True
     row_start[n] = True

@@ -64,7 +64,7 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The distinct buckets of each document and their counts."""
+    """The distinct buckets of each document and their shares, in four bytes each."""
     table, rows = word_table(column, lower=False)
     codes = table.indices.to_numpy(zero_copy_only=False)
     owner, bucket = word_features(table.dictionary.to_pylist())
@@ -78,7 +78,8 @@ def document_features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         counts = [np.full(len(p), t) for p, t in zip(parts, times.tolist(), strict=True)]
         parts, counts = [*parts, np.array([BUCKETS])], [*counts, np.array([1])]
         found, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        out.append((found, np.bincount(inverse, weights=np.concatenate(counts))))
+        total = np.bincount(inverse, weights=np.concatenate(counts))
+        out.append((found.astype(np.int32), (total / total.sum()).astype(np.float32)))
     return out
 
 
@@ -91,8 +92,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim
     steps, step = epochs * len(labels), 0
     for _ in range(epochs):
         for i in rng.permutation(len(labels)).tolist():
-            found, counts = features[i]
-            share = (counts / counts.sum()).astype(np.float32)
+            found, share = features[i]
             hidden = share @ model.vectors[found]
             z = model.weights @ hidden
             p = np.exp(z - z.max())

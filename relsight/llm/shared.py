@@ -70,22 +70,22 @@ def fresh(names: list[str], wanted: str) -> str:
 HOT, SALTS = 512, 32
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right`` (one row a key) by ``key``, where a key may hold any share of ``left``.
 
     Rows of hot keys are dealt to SALTS tasks, and the right rows of those
-    keys, fewer than HOT, are copied to each. ``left`` is read twice, so it
+    keys, fewer than HOT, are copied to each. ``counts`` are the keys' numbers
+    of rows (``n``), where they are known; else ``left`` is read twice, so it
     should be a table.
     """
-    total = left.agg(F.count("*").alias("n"))
-    counts = left.groupBy(key).agg(F.count("*").alias("n"))
-    bound = F.broadcast(total.select((F.col("n") / HOT).alias("bound")))  # one row
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts.select(key, "n")
+    bound = F.broadcast(counts.agg((F.sum("n") / HOT).alias("bound")))  # one row
     hot = written(counts.crossJoin(bound).where("n > bound").select(key, F.lit(True).alias("hot_")), "hot")
     salt = F.when(F.col("hot_").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     every = F.explode(F.when(F.col("hot_").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     dealt = left.join(F.broadcast(hot), key, "left").withColumn("salt_", salt).drop("hot_")
     copied = right.join(F.broadcast(hot), key, "left").withColumn("salt_", every).drop("hot_")
-    return dealt.join(copied.hint("merge"), [key, "salt_"], how).drop("salt_")
+    return dealt.join(copied.hint("merge"), [key, "salt_"]).drop("salt_")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
