@@ -3,12 +3,15 @@
 A visitor turns each part into a column: text is escaped, every attachment
 becomes an ordered placeholder and a record (kind, ordinal, reference,
 offset of its turn's body, expanded tokens). Turns are marked by control
-strings; control strings inside roles and texts are escaped reversibly, so
-``read_back`` gets the exact turns again.
+strings; control strings inside roles and texts are escaped reversibly, a
+placeholder's own string too, so ``read_back`` gets the exact turns again:
+their texts, and their parts with what each attachment refers to.
 
 Defined cases: null role, text or part reads as empty; turns are ordered by
 (turn, role, content), nulls first; repeated rows stay repeated turns; a null
-conversation id is one conversation; an empty table gives no rows.
+conversation id is one conversation; a part of no known type is text; texts
+that stand side by side in a turn read back as one, empty ones as none; an
+empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 # The template's own marks and foreign templates' control strings.
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
-CONTROL = ["<|turn|>", "<|body|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|image|>", "<|audio|>", "<|document|>"]
+HOLDER = r"<\|(?:image|audio|document)\|>"
 #: The first character of each control string, any number of escapes, its rest.
 _GUARD = r"(<\\*)(\|(?:turn|body|end|image|audio|document)\|>|/?s>|<SYS>>|</SYS>>)|(\[\\*)(/?INST\])"
 _UNGUARD = r"(<\\*)\\(\|(?:turn|body|end|image|audio|document)\|>|/?s>|<SYS>>|</SYS>>)|(\[\\*)\\(/?INST\])"
@@ -87,9 +90,7 @@ def format_chat(rows: DataFrame, visitor: PartVisitor | None = None) -> DataFram
     turns = turns.withColumn("piece", F.struct("turn", "role", "body", "head", "found"))
     convs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("piece")).alias("t"))
     convs = convs.withColumn("sizes", F.transform("t", lambda x: F.length(x["head"]) + F.length(x["body"]) + len(END)))
-    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"))
-    starts = F.aggregate("sizes", zero, lambda a, n: F.struct(F.concat(a["starts"], F.array(a["at"])).alias("starts"), (a["at"] + n).alias("at")))["starts"]
-    convs = convs.withColumn("z", F.arrays_zip(F.col("t").alias("t"), starts.alias("s")))
+    convs = convs.withColumn("starts", starts_of(F.col("sizes"))).withColumn("z", F.arrays_zip(F.col("t").alias("t"), F.col("starts").alias("s")))
     body_at = lambda x: x["s"] + F.length(x["t"]["head"])
     loss = F.transform(F.filter("z", lambda x: x["t"]["role"] == "assistant"), lambda x: F.struct(body_at(x).alias("start"), F.length(x["t"]["body"]).alias("length")))
     files = F.flatten(F.transform("z", lambda x: F.transform(x["t"]["found"], lambda f: F.struct(f["kind"].alias("kind"), f["ref"].alias("ref"), body_at(x).alias("body_start"), f["tokens"].alias("tokens")))))
@@ -98,10 +99,42 @@ def format_chat(rows: DataFrame, visitor: PartVisitor | None = None) -> DataFram
     return convs.select("conv_id", F.size("t").cast("long").alias("n_turns"), text.alias("formatted"), loss.alias("loss"), files.alias("attachments"))
 
 
+def starts_of(sizes: Column, chunk: int = 128) -> Column:
+    """Where each of a row of pieces begins, summed a chunk at a time: linear work for any number of turns but enormous ones."""
+    none = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"))
+    add = lambda a, n: F.struct(F.concat(a["starts"], F.array(a["at"])).alias("starts"), (a["at"] + n).alias("at"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / chunk).cast("int")), lambda c: F.aggregate(F.slice(sizes, c * chunk + 1, F.lit(chunk)), none, add))
+    summed = lambda c: F.flatten(F.zip_with(c, F.aggregate(F.transform(c, lambda x: x["at"]), none, add)["starts"], lambda x, at: F.transform(x["starts"], lambda s: s + at)))
+    return F.transform(F.array(chunks), summed)[0]
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns array<struct<role,text>> and loss_text, from ``formatted`` and its mask alone."""
+    """conv_id, turns array<struct<role,text,parts>> and loss_text, from ``formatted``, its mask and its attachments alone.
+
+    A turn's text has the placeholders of its attachments in it; its parts
+    (array<struct<type,text,ref,tokens>>) tell those from texts that look the same.
+    """
     marks = lambda x: F.split(x, F.lit(r"\Q" + BODY + r"\E"), 2)
     cut = F.filter(F.split("formatted", r"\Q" + TURN + r"\E"), lambda x: x != "")
-    turns = F.transform(cut, lambda x: F.struct(unescape(marks(x)[0]).alias("role"), unescape(F.substring(marks(x)[1], F.lit(1), F.length(marks(x)[1]) - len(END))).alias("text")))
+    split = F.transform(cut, lambda x: F.struct(marks(x)[0].alias("role"), F.substring(marks(x)[1], F.lit(1), F.length(marks(x)[1]) - len(END)).alias("body")))
+    rows = formatted.select("conv_id", "formatted", "loss", "attachments", split.alias("split"))
+    sizes = F.transform("split", lambda x: F.length(x["role"]) + F.length(x["body"]) + len(TURN + BODY + END))
+    rows = rows.withColumn("starts", starts_of(sizes))
+    part = "struct<type:string,text:string,ref:string,tokens:bigint>"
+
+    def parts(body: Column, start: Column) -> Column:
+        """Texts between placeholders, and for the k-th placeholder of the turn its k-th attachment."""
+        texts = F.transform(F.split(body, HOLDER, -1), lambda x: F.struct(F.lit("text").alias("type"), unescape(x).alias("text"), F.lit(None).alias("ref"), F.lit(None).alias("tokens")).cast(part))
+        files = F.transform(F.filter("attachments", lambda a: a["body_start"] == start), lambda a: F.struct(a["kind"].alias("type"), F.lit(None).alias("text"), a["ref"].alias("ref"), a["tokens"].alias("tokens")).cast(part))
+        both = F.flatten(F.zip_with(texts, files, lambda t, f: F.array(t, f)))
+        return F.filter(both, lambda p: p.isNotNull() & F.coalesce(p["text"] != "", F.lit(True)))
+
+    def turn(x: Column, start: Column) -> Column:
+        at = start + len(TURN + BODY) + F.length(x["role"])
+        has = F.regexp_like(x["body"], F.lit(HOLDER))
+        alone = F.filter(F.array(F.struct(F.lit("text").alias("type"), unescape(x["body"]).alias("text"), F.lit(None).alias("ref"), F.lit(None).alias("tokens")).cast(part)), lambda p: p["text"] != "")
+        return F.struct(unescape(x["role"]).alias("role"), unescape(x["body"]).alias("text"), F.when(has, parts(x["body"], at)).otherwise(alone).alias("parts"))
+
+    turns = F.zip_with("split", "starts", turn)
     loss = F.concat_ws("", F.transform("loss", lambda m: unescape(F.substring(F.col("formatted"), m["start"] + 1, m["length"]))))
-    return formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), turns.alias("turns"), loss.alias("loss_text"))
+    return rows.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), turns.alias("turns"), loss.alias("loss_text"))
