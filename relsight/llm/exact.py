@@ -161,7 +161,7 @@ def gathered(shared, owner_of: np.ndarray):
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch]).group_by(["key", "text"]).aggregate([("doc_id", "max"), ("n", "sum")])
-            t = t.rename_columns(["key", "text", "doc_id", "n"]).select(["key", "text", "doc_id", "n"])
+            t = pa.table([t["key"], t["text"], t["doc_id_max"], t["n_sum"]], schema=schema)
             many = pc.greater_equal(t["n"], HOT)
             for key, text, doc_id, n in zip(*(t.filter(many)[c].to_pylist() for c in t.column_names), strict=True):
                 one = hot.get((key, text))

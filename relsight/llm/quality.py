@@ -1,8 +1,9 @@
 """Quality classifier: averaged hashed word and character n-gram vectors, softmax output.
 
 A document's features are its words and the character n-grams of each word
-between marks, all hashed to BUCKETS rows, and one constant feature. Their
-vectors are averaged; two softmax outputs are trained with stochastic
+between marks, all hashed to BUCKETS rows, the form of each word n-gram that
+repeats a word (three rows: the word before, the one before that, both), and
+one constant feature. Their vectors are averaged; two softmax outputs are trained with stochastic
 gradient descent in numpy on at most ``sample`` labelled rows - the ones with
 the smallest hash of their id, at every size. Scoring covers whole texts.
 
@@ -34,7 +35,7 @@ SAMPLE = 6000
 
 @dataclass
 class Model:
-    """Vectors of the buckets (the constant feature comes last) and softmax weights."""
+    """Vectors of the buckets, the constant feature and the forms of repeats, and softmax weights."""
 
     vectors: np.ndarray
     weights: np.ndarray
@@ -63,6 +64,15 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(buckets).astype(np.int64)
 
 
+def repeats(codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each word: 1 if it is the word before, 2 if the one before that, 3 if both, else 0."""
+    place = np.arange(len(codes)) - np.repeat(rows[:-1], np.diff(rows))
+    out = np.zeros(len(codes), np.int64)
+    for back, value in ((1, 1), (2, 2)):
+        out[back:] += value * ((codes[back:] == codes[:-back]) & (place[back:] >= back))
+    return out
+
+
 def document_features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """The distinct buckets of each document and their shares, in four bytes each."""
     table, rows = word_table(column, lower=False)
@@ -71,12 +81,15 @@ def document_features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     order = np.argsort(owner, kind="stable")
     owner, bucket = owner[order], bucket[order]
     at = np.searchsorted(owner, np.arange(len(table.dictionary) + 1))
+    again = repeats(codes, rows)
     out = []
     for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
         used, times = np.unique(codes[a:b], return_counts=True)
         parts = [bucket[at[w] : at[w + 1]] for w in used.tolist()]
         counts = [np.full(len(p), t) for p, t in zip(parts, times.tolist(), strict=True)]
-        parts, counts = [*parts, np.array([BUCKETS])], [*counts, np.array([1])]
+        forms = np.bincount(again[a:b], minlength=4)
+        forms[0] = 1
+        parts, counts = [*parts, BUCKETS + np.flatnonzero(forms)], [*counts, forms[forms > 0]]
         found, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate(counts))
         out.append((found.astype(np.int32), (total / total.sum()).astype(np.float32)))
@@ -86,7 +99,7 @@ def document_features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int, epochs: int, rate: float, seed: int) -> Model:
     """Stochastic gradient descent, one document a step, with a falling rate."""
     rng = np.random.default_rng(seed)
-    model = Model(rng.uniform(-1 / dim, 1 / dim, (BUCKETS + 1, dim)).astype(np.float32), np.zeros((2, dim), np.float32))
+    model = Model(rng.uniform(-1 / dim, 1 / dim, (BUCKETS + 4, dim)).astype(np.float32), np.zeros((2, dim), np.float32))
     if not len(labels):
         return model
     steps, step = epochs * len(labels), 0
@@ -140,6 +153,9 @@ def score(docs: DataFrame, model: Model, into: str = "quality_score") -> DataFra
             doc = np.repeat(np.arange(batch.num_rows), np.diff(rows))
             total = np.bincount(doc, weights=value[codes], minlength=batch.num_rows) if len(codes) else np.zeros(batch.num_rows)
             n = np.bincount(doc, weights=count[codes], minlength=batch.num_rows) if len(codes) else np.zeros(batch.num_rows)
+            again = repeats(codes, rows)
+            total += np.bincount(doc, weights=np.where(again > 0, logits[BUCKETS + again], 0), minlength=batch.num_rows)
+            n += np.bincount(doc, weights=again > 0, minlength=batch.num_rows)
             odds = (total + logits[BUCKETS]) / (n + 1)
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(1 / (1 + np.exp(-odds)))], names=[*names, into])
 
