@@ -15,7 +15,7 @@ def aliases(chosen: DataFrame) -> DataFrame:
 
 
 def aliased(t: DataFrame, alias: DataFrame) -> DataFrame:
-    return t.join(F.broadcast(alias), "p")
+    return t.join(alias, "p")
 
 
 def summary(t: DataFrame, alias: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def literal_counts(t: DataFrame, alias: DataFrame, of: str) -> DataFrame:
     terms = with_terms(aliased(t, alias)).where("o_kind = 'LITERAL'")
     totals = terms.groupBy("display").agg(F.count("*").alias("total"))
     rows = terms.where(F.col(of).isNotNull()).groupBy("display", of).agg(F.count("*").alias("count"))
-    return rows.join(F.broadcast(totals), "display").select(F.col("display").alias("predicate"), of, "count", (F.col("count") / F.greatest("total", F.lit(1))).alias("share_among_literals"))
+    return rows.join(totals, "display").select(F.col("display").alias("predicate"), of, "count", (F.col("count") / F.greatest("total", F.lit(1))).alias("share_among_literals"))
 
 
 def top_objects(t: DataFrame, alias: DataFrame, n: int = 50) -> DataFrame:
@@ -56,29 +56,44 @@ def top_objects(t: DataFrame, alias: DataFrame, n: int = 50) -> DataFrame:
     totals = rows.groupBy("display").agg(F.count("*").alias("total"))
     counts = rows.where(F.col("o").startswith("<")).groupBy("display", "o").agg(F.count("*").alias("count"))
     rank = F.row_number().over(Window.partitionBy("display").orderBy(F.desc("count"), "o"))
-    top = counts.withColumn("r", rank).where(F.col("r") <= n).join(F.broadcast(totals), "display")
+    top = counts.withColumn("r", rank).where(F.col("r") <= n).join(totals, "display")
     return top.select(F.col("display").alias("predicate"), F.col("o").alias("object_iri"), "count", share(F.col("count"), F.col("total")).alias("share_among_predicate"))
 
 
 def cooccurrence(t: DataFrame, alias: DataFrame, k: int = 200, cap: int = 50) -> DataFrame:
     """Pair metrics by display, of pairs with a chosen member; both forms on a subject give a pair with itself."""
     sp = subject_predicates(t, k, cap, alias.select("p"))
-    names = lambda df, c: df.join(F.broadcast(alias.select(F.col("p").alias(c), F.col("display").alias(f"{c}_d"))), c, "left").withColumn(c, F.coalesce(f"{c}_d", c)).drop(f"{c}_d")
+    names = lambda df, c: df.join(alias.select(F.col("p").alias(c), F.col("display").alias(f"{c}_d")), c, "left").withColumn(c, F.coalesce(f"{c}_d", c)).drop(f"{c}_d")
     pairs = names(names(pair_counts(sp), "p_a"), "p_b")
     pairs = pairs.groupBy(F.least("p_a", "p_b").alias("p_a"), F.greatest("p_a", "p_b").alias("p_b")).agg(F.sum("n_ab").alias("n_ab"))
     supports = names(support(sp), "p").groupBy("p").agg(F.sum("n").alias("n"))
     chosen = alias.select("display").distinct()
     both = associate(pairs, supports, n_subjects(t)).withColumn("k", F.array("p_a", "p_b"))
-    hit = both.select("p_a", "p_b", F.explode("k").alias("display")).join(F.broadcast(chosen), "display", "left_semi").select("p_a", "p_b").distinct()
+    hit = both.select("p_a", "p_b", F.explode("k").alias("display")).join(chosen, "display", "left_semi").select("p_a", "p_b").distinct()
     return both.drop("k").join(hit, ["p_a", "p_b"], "left_semi")
 
 
 def chosen_rules(pairs: DataFrame, alias: DataFrame, min_support: float = 0.01, min_conf: float = 0.5) -> DataFrame:
     """Rules whose antecedent is chosen."""
-    return rules(pairs, min_support, min_conf).join(F.broadcast(alias.select(F.col("display").alias("p_a")).distinct()), "p_a", "left_semi")
+    return rules(pairs, min_support, min_conf).join(alias.select(F.col("display").alias("p_a")).distinct(), "p_a", "left_semi")
 
 
 def match_report(t: DataFrame, alias: DataFrame) -> DataFrame:
     """display and whether any of its forms occurs."""
     seen = t.select("p").distinct().withColumn("seen", F.lit(1))
     return alias.join(seen, "p", "left").groupBy("display").agg((F.count("seen") > 0).alias("matched"))
+
+
+def missing(report: DataFrame) -> DataFrame:
+    """The chosen predicates that nothing matches, by name."""
+    return report.where(~F.col("matched")).select("display").orderBy("display")
+
+
+def heatmap(t: DataFrame, alias: DataFrame, k: int = 200, cap: int = 50, top: int = 30) -> DataFrame:
+    """Symmetric pair counts by display among the chosen predicates of the largest support, supports on the diagonal."""
+    sp = subject_predicates(t, k, cap, alias.select("p"))
+    shown = sp.join(alias, "p").groupBy("display").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "display").limit(max(1, top))
+    pairs = cooccurrence(t, alias, k, cap).select("p_a", "p_b", "n_ab").where("p_a <> p_b")
+    for c in ("p_a", "p_b"):
+        pairs = pairs.join(shown.select(F.col("display").alias(c)), c, "left_semi")
+    return pairs.select("p_a", "p_b", "n_ab").union(pairs.select("p_b", "p_a", "n_ab")).union(shown.select("display", "display", "n"))

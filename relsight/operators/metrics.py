@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relsight.operators.shared import checkpoint_dir
 from relsight.operators.stats import pair_counts, support
 
 
-def graph_metrics(sp: DataFrame, damping: float = 0.85, rounds: int = 60) -> DataFrame:
+#: Nodes of a graph whose ranks one row holds; a larger one is ranked by joins.
+SMALL = 1000
+
+
+def graph_metrics(sp: DataFrame, always: DataFrame | None = None, damping: float = 0.85, rounds: int = 60, small: int = SMALL) -> DataFrame:
     """predicate, deg_centrality, weighted_degree, pagerank of the predicates of (s, p).
 
-    The graph has at most the top-k predicates of ``sp``. PageRank runs inside
-    one row as array arithmetic, a fixed number of rounds.
+    ``always`` (p) are nodes even where nothing has them. Ranks take a fixed
+    number of rounds: as array arithmetic in one row where the graph is small,
+    else a join and an aggregation each.
     """
     nodes = support(sp).select("p")
+    nodes = nodes.union(always.select("p")).distinct() if always is not None else nodes
+    if nodes.count() > small:
+        return by_joins(sp, nodes, damping, rounds)
     pairs = pair_counts(sp).select("p_a", "p_b", F.col("n_ab").cast("double").alias("w"))
     both = pairs.union(pairs.select("p_b", "p_a", "w")).toDF("p", "q", "w")
     size = nodes.agg(F.count("*").alias("n"))
@@ -41,3 +50,24 @@ def graph_metrics(sp: DataFrame, damping: float = 0.85, rounds: int = 60) -> Dat
     out = rows.join(ranked, "p").crossJoin(F.broadcast(flag))
     centrality = F.when(F.col("n") <= 1, 1.0).otherwise(F.col("k") / F.greatest(F.col("n") - 1, F.lit(1)))
     return out.select(F.col("p").alias("predicate"), centrality.alias("deg_centrality"), F.col("wd").alias("weighted_degree"), F.when(F.col("any_edge"), F.col("pagerank")).otherwise(0.0).alias("pagerank"))
+
+
+def by_joins(sp: DataFrame, nodes: DataFrame, damping: float, rounds: int) -> DataFrame:
+    """The same for a graph of any size; the shared checkpoint folder cuts the lineage each round."""
+    checkpoint_dir(sp.sparkSession)
+    pairs = pair_counts(sp).select("p_a", "p_b", F.col("n_ab").cast("double").alias("w"))
+    links = pairs.union(pairs.select("p_b", "p_a", "w")).toDF("p", "q", "w").checkpoint()
+    deg = links.groupBy("p").agg(F.count("*").alias("k"), F.sum("w").alias("wd"))
+    size = nodes.agg(F.count("*").alias("size"))
+    rows = nodes.join(deg, "p", "left").na.fill(0).crossJoin(F.broadcast(size)).checkpoint()
+    any_edge = not links.isEmpty()
+    rank = rows.select("p", "k", "wd", "size", (1 / F.col("size")).alias("r"))
+    for _ in range(rounds if any_edge else 0):
+        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("wd") == 0, F.col("r"))), F.lit(0.0)).alias("lost"))
+        given = links.join(rank.where("wd > 0").select("p", (F.col("r") / F.col("wd")).alias("each")), "p").groupBy(F.col("q").alias("p")).agg(F.sum(F.col("w") * F.col("each")).alias("got"))
+        rank = rows.join(given, "p", "left").crossJoin(F.broadcast(lost))
+        rank = rank.select("p", "k", "wd", "size", ((1 - damping) / F.col("size") + damping * (F.col("lost") / F.col("size") + F.coalesce("got", F.lit(0.0)))).alias("r"))
+        # A round reads the ranks twice, so they are written each time: else the plan would double.
+        rank = rank.checkpoint()
+    centrality = F.when(F.col("size") <= 1, 1.0).otherwise(F.col("k") / F.greatest(F.col("size") - 1, F.lit(1)))
+    return rank.select(F.col("p").alias("predicate"), centrality.alias("deg_centrality"), F.col("wd").alias("weighted_degree"), (F.col("r") if any_edge else F.lit(0.0)).alias("pagerank"))

@@ -62,7 +62,7 @@ def subject_predicates(t: DataFrame, k: int = 200, cap: int = 50, always: DataFr
     if k > 0:
         top = top_predicates(t, k).select("p")
         top = top.union(always.select("p")).distinct() if always is not None else top
-        rows = rows.join(F.broadcast(top), "p", "left_semi")
+        rows = rows.join(top, "p", "left_semi")
     rows = rows.distinct()
     if cap > 0:
         rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("p"))).where(F.col("r") <= cap).drop("r")
@@ -82,7 +82,8 @@ def pair_counts(sp: DataFrame) -> DataFrame:
 
 def associate(pairs: DataFrame, supports: DataFrame, total: DataFrame) -> DataFrame:
     """Support, Jaccard, PMI, confidences and lifts of pairs."""
-    rows = pairs.join(F.broadcast(supports.select(F.col("p").alias("p_a"), F.col("n").alias("n_a"))), "p_a").join(F.broadcast(supports.select(F.col("p").alias("p_b"), F.col("n").alias("n_b"))), "p_b")
+    rows = pairs.join(supports.select(F.col("p").alias("p_a"), F.col("n").alias("n_a")), "p_a").join(supports.select(F.col("p").alias("p_b"), F.col("n").alias("n_b")), "p_b")
+    # One row, whatever the data.
     rows = rows.crossJoin(F.broadcast(total))
     n, ab, a, b = (F.col(c) for c in ("n_subjects", "n_ab", "n_a", "n_b"))
     s_ab, s_a, s_b = share(ab, n), share(a, n), share(b, n)
@@ -108,19 +109,33 @@ def category_counts(t: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
     smallest = nodes.groupBy("node_id").agg(F.min("category").alias("category"))
     counts = t.join(smallest, F.col(end) == F.col("node_id")).groupBy("p", "category").agg(F.count("*").alias("count"))
     totals = t.groupBy("p").agg(F.count("*").alias("total"))
-    return counts.join(F.broadcast(totals), "p").select("p", "category", "count", share(F.col("count"), F.col("total")).alias("share"))
+    return counts.join(totals, "p").select("p", "category", "count", share(F.col("count"), F.col("total")).alias("share"))
 
 
-def heatmap(t: DataFrame, k: int = 200, cap: int = 50) -> DataFrame:
-    """Symmetric pair counts with supports on the diagonal, long form."""
-    sp = subject_predicates(t, k, cap)
+def heatmap_of(sp: DataFrame) -> DataFrame:
+    """Symmetric pair counts of (s, p) with supports on the diagonal, long form."""
     pairs = pair_counts(sp)
     return pairs.select("p_a", "p_b", "n_ab").union(pairs.select("p_b", "p_a", "n_ab")).union(support(sp).select("p", "p", "n"))
 
 
-def histogram(t: DataFrame, bins: int = 10) -> DataFrame:
-    """bin (from 0) and predicates in it, over equal widths of the predicate counts."""
+def heatmap(t: DataFrame, k: int = 200, cap: int = 50) -> DataFrame:
+    return heatmap_of(subject_predicates(t, k, cap))
+
+
+def histogram(t: DataFrame, bins: int | None = 10) -> DataFrame:
+    """bin (from 0) and predicates in it, over equal widths of the predicate counts.
+
+    Without a number of bins, their width is the smaller one of the range over
+    log2(n) + 1 and twice the middle half's range over the cube root of n,
+    which counts only if it isn't 0.
+    """
     counts = t.groupBy("p").agg(F.count("*").alias("n"))
-    edges = counts.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    at = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("n") - F.col("lo")) * bins / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))), F.lit(bins - 1)))
+    edges = counts.agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("k"), F.percentile("n", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    span = F.col("hi") - F.col("lo")
+    sturges = span / (F.log2("k") + 1)
+    middle = 2 * (F.col("q")[1] - F.col("q")[0]) / F.cbrt("k")
+    width = F.when(middle > 0, F.least(sturges, middle)).otherwise(sturges)
+    number = F.lit(bins) if bins else F.when(span == 0, 1).otherwise(F.ceil(span / width))
+    edges = edges.withColumn("bins", number)
+    at = F.when(span == 0, 0).otherwise(F.least(F.floor((F.col("n") - F.col("lo")) * F.col("bins") / F.greatest(span, F.lit(1))), F.col("bins") - 1))
     return counts.crossJoin(F.broadcast(edges)).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("predicates"))

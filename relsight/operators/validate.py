@@ -6,12 +6,17 @@ tagged X and returns relation and holds for each type that has some.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relsight.operators.shared import checkpoint_dir
+
+#: Edges into a node that one task joins, and parts of a hub at most.
+HUB, MOST_PARTS = 100_000, 256
+# The properties, and the names of their result columns.
+NAMES = {"REF": "isReflexive", "SYM": "isSymmetric", "TRA": "isTransitive", "IRF": "isIrreflexive", "ASM": "isAsymmetric", "ANS": "isAntisymmetric", "ACC": "isAcyclic", "ITR": "isIntransitive", "ANT": "isAntitransitive"}
 PROPERTIES = ["REF", "SYM", "TRA", "IRF", "ASM", "ANS", "ACC", "ITR", "ANT"]
 
 
@@ -28,11 +33,26 @@ def loops(e: DataFrame) -> DataFrame:
     return e.where("src = dst")
 
 
+def closable(e: DataFrame) -> DataFrame:
+    """rel, a, c of two-hops without a loop: only those can lack their closing edge."""
+    return hops(e.where("src <> dst"))
+
+
 def hops(e: DataFrame) -> DataFrame:
-    """rel, a, c of two different edges a-b, b-c; a loop taken twice needs two edges."""
-    second = e.select("rel", F.col("src").alias("b"), F.col("dst").alias("c"), F.col("m").alias("m2"))
-    first = e.select("rel", F.col("src").alias("a"), F.col("dst").alias("b"), "m")
-    return first.join(second, ["rel", "b"]).where("not (a = b and b = c) or m > 1").select("rel", "a", "c")
+    """rel, a, c of two different edges a-b, b-c; a loop taken twice needs two edges.
+
+    The edges into a hub are dealt by their other end to as many rows of its
+    edges out as its share of edges asks for, so no task has them all.
+    """
+    into = e.groupBy("rel", F.col("dst").alias("b")).agg(F.count("*").alias("n"))
+    parts = F.least(F.ceil(F.col("n") / HUB), F.lit(MOST_PARTS)).cast("int")
+    into = into.where(F.col("n") > HUB).select("rel", "b", parts.alias("parts"))
+    first = e.select("rel", F.col("src").alias("a"), F.col("dst").alias("b"), "m").join(into, ["rel", "b"], "left")
+    first = first.withColumn("part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0)).cast("int"))
+    second = e.select("rel", F.col("src").alias("b"), F.col("dst").alias("c")).join(into, ["rel", "b"], "left")
+    second = second.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    both = first.drop("parts").join(second.drop("parts"), ["rel", "b", "part"])
+    return both.where("not (a = b and b = c) or m > 1").select("rel", "a", "c")
 
 
 def irreflexive_part(e: DataFrame) -> DataFrame:
@@ -41,22 +61,36 @@ def irreflexive_part(e: DataFrame) -> DataFrame:
     return nodes.join(loops(e).select("rel", F.col("src").alias("n")), ["rel", "n"], "left_anti")
 
 
+def contracted(e: DataFrame, turn: int) -> DataFrame:
+    """Edges in which some nodes with one edge in and one out have given way to an edge past them.
+
+    A node goes if its coin is up and those of its neighbours are down, so an
+    eighth of every chain goes at a time, and a lone cycle ends as a loop.
+    """
+    into = e.groupBy("rel", F.col("dst").alias("b")).agg(F.count("*").alias("i"), F.min("src").alias("a"))
+    out = e.groupBy("rel", F.col("src").alias("b")).agg(F.count("*").alias("o"), F.min("dst").alias("c"))
+    coin = lambda x: F.xxhash64("rel", x, F.lit(turn)) % 2 != 0
+    gone = into.join(out, ["rel", "b"]).where("i = 1 and o = 1 and a <> b").where(coin("b") & ~coin("a") & ~coin("c")).select("rel", "a", "b", "c")
+    left = e.join(gone.select("rel", F.col("b").alias("src")), ["rel", "src"], "left_anti").join(gone.select("rel", F.col("b").alias("dst")), ["rel", "dst"], "left_anti")
+    return left.select("rel", "src", "dst").union(gone.select("rel", "a", "c")).distinct()
+
+
 def acyclic_part(e: DataFrame) -> DataFrame:
-    """Edges left after sources and sinks are trimmed again and again: those between cycles.
+    """What is left of the edges when chains are contracted and sources and sinks trimmed again and again: cycles, and what lies between them.
 
-    Every few rounds the rest is written to the shared checkpoint folder.
+    Each turn is written to the shared checkpoint folder.
     """
-    context = e.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(f"/tmp/spark-{uuid.uuid4().hex}")
-    left = e.select("rel", "src", "dst").checkpoint()
+    checkpoint_dir(e.sparkSession)
+    left, turn = e.select("rel", "src", "dst").checkpoint(), 0
     n = left.count()
     while n:
-        for _ in range(3):
+        left = contracted(left, turn).checkpoint()
+        before = left.count()
+        for _ in range(2):
             left = left.join(left.select("rel", F.col("dst").alias("src")).distinct(), ["rel", "src"], "left_semi")
             left = left.join(left.select("rel", F.col("src").alias("dst")).distinct(), ["rel", "dst"], "left_semi")
         left = left.select("rel", "src", "dst").checkpoint()
-        before, n = n, left.count()
+        n, turn = left.count(), turn + 1
         if n == before:
             break
     return left
@@ -69,7 +103,7 @@ def _violations(e: DataFrame, tag: str) -> DataFrame:
     if tag == "SYM":
         return e.join(back, ["rel", "src", "dst"], "left_anti")
     if tag == "TRA":
-        return hops(e).join(renamed(e, "a", "c"), ["rel", "a", "c"], "left_anti")
+        return closable(e).join(renamed(e, "a", "c"), ["rel", "a", "c"], "left_anti")
     if tag == "IRF":
         return loops(e)
     if tag == "ASM":
@@ -79,7 +113,7 @@ def _violations(e: DataFrame, tag: str) -> DataFrame:
     if tag == "ACC":
         return acyclic_part(e)
     if tag == "ITR":
-        return hops(e).join(renamed(e, "a", "c"), ["rel", "a", "c"], "left_anti")
+        return closable(e).join(renamed(e, "a", "c"), ["rel", "a", "c"], "left_anti")
     return hops(e).join(renamed(e, "a", "c"), ["rel", "a", "c"], "left_semi")
 
 

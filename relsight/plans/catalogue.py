@@ -5,6 +5,7 @@ Doubles are rounded to nine digits on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 from relsight.functions import iri
 from relsight.operators import interesting, logic, metrics, stats, validate
 from relsight.plans.views import BRC, EDGES, LINES, NODES, view
-from relsight.sources import readers
+from relsight.sinks import reports
+from relsight.sources import generator, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-K, CAP = 8, 5
+K, CAP = 200, 50
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -66,14 +68,23 @@ for _end, _name in (("s", "subject"), ("o", "object")):
     QUERIES[f"{_name}_category_counts"] = lambda spark, sf_dir, end=_end: rounded(stats.category_counts(view(spark, sf_dir, EDGES), view(spark, sf_dir, NODES), end))
     ORACLES[f"{_name}_category_counts"] = f"{E}, {COUNTS}, m as (select node_id, min(category) as category from ({NODES}) group by 1), k as (select p, category, count(*) as n from e join m on e.{_end} = m.node_id group by 1, 2) select k.p, category, k.n as count, round(k.n / cast(c.n as double), 9) as share from k join c on c.p = k.p"
 query("heatmap_matrix", EDGES, lambda t: stats.heatmap(t, K, CAP), f"{E}, {TOP} select p_a, p_b, n_ab from ab union all select p_b, p_a, n_ab from ab union all select p, p, n from sup")
-query("count_histogram", EDGES, stats.histogram)
-query("graph_metrics", EDGES, lambda t: metrics.graph_metrics(stats.subject_predicates(t, K, CAP)))
+query("count_histogram", EDGES, stats.histogram, f"{E}, {COUNTS}, b as (select min(n) as lo, max(n) as hi from c) select cast(case when hi = lo then 0 else least(floor((c.n - lo) * 10.0 / greatest(hi - lo, 1)), 9) end as int) as bin, count(*) as predicates from c, b group by 1")
+query("top_bar", EDGES, lambda t: stats.top_predicates(t, 30), f"{E} select p, count(*) as count from e group by p order by count(*) desc, p limit 30")
+PAGERANK = f"""{E.replace('with e', 'with recursive e')}, {TOP},
+l as (select p_a as p, p_b as q, cast(n_ab as double) as w from ab union all select p_b, p_a, n_ab from ab),
+g as (select sup.p, count(l.q) as k, coalesce(sum(l.w), 0) as wd, (select count(*) from sup) as size from sup left join l on l.p = sup.p group by sup.p),
+pr as (select 0 as i, p, 1 / cast(size as double) as r from g union all
+select i, p, r from (select pr.i + 1 as i, y.p as p, 0.15 / max(y.size) + 0.85 * (sum(case when x.wd = 0 then pr.r else 0 end) / max(y.size) + coalesce(sum(pr.r * l.w / x.wd), 0)) as r
+from pr join g x on x.p = pr.p cross join g y left join l on l.p = x.p and l.q = y.p where pr.i < 60 group by 1, 2) z)"""
+query("graph_metrics", EDGES, lambda t: metrics.graph_metrics(stats.subject_predicates(t, K, CAP)), PAGERANK + " select g.p as predicate, round(case when size <= 1 then 1 else k / cast(size - 1 as double) end, 9) as deg_centrality, round(wd, 9) as weighted_degree, round(case when exists (select 1 from l) then r else 0 end, 9) as pagerank from g join pr on pr.p = g.p and pr.i = 60")
 
 L = f"with l as ({LINES}), v as (select value from l where value <> '' and value not like '#%'), n as (select regexp_extract(value, '(?s)^\\s*(<[^>]*>|_:[^\\s]+)\\s+(<[^>]*>)\\s+(.*)\\s*\\.\\s*$', ['s', 'p', 'o']) as x from v), t as (select x.s as s, x.p as p, x.o as o from n where x.s <> '')"
 query("nt_parse", LINES, readers.triples, f"{L} select s, p, o from t")
 query("nt_bad_line_count", LINES, readers.count_bad_lines, f"{L} select count(*) filter (x.s = '') as bad_lines, count(*) as lines from n")
 query("term_kinds", LINES, lambda v: iri.with_terms(readers.triples(v)).groupBy("p", "s_kind", "o_kind").agg(F.count("*").alias("count")), f"{L} select p, case when s like '<%' then 'IRI' else 'BNODE' end as s_kind, case when o like '<%' then 'IRI' when o like '$_:%' escape '$' then 'BNODE' else 'LITERAL' end as o_kind, count(*) as count from t group by 1, 2, 3")
-query("iri_labels", LINES, lambda v: readers.triples(v).select("p").distinct().select("p", iri.to_curie(F.col("p")).alias("curie"), iri.label(F.col("p")).alias("label"), iri.label(F.col("p"), None, False).alias("local"), iri.variants(F.col("p")).alias("variants")).withColumn("variants", F.array_join("variants", " ")))
+query("iri_labels", LINES, lambda v: readers.triples(v).select("p").distinct().select("p", iri.to_curie(F.col("p")).alias("curie"), iri.label(F.col("p")).alias("label"), iri.label(F.col("p"), None, False).alias("local"), iri.variants(F.col("p")).alias("variants")).withColumn("variants", F.array_join("variants", " ")), L + """, q as (select distinct p, substr(p, 2, length(p) - 2) as x from t),
+k as (select *, case when x like 'http://purl.org/dc/terms/%' then 'dcterms:' || substr(x, 26) when x like 'http://schema.org/%' then 'schema:' || substr(x, 19) end as curie, regexp_extract(x, '[^/]*$') as local from q)
+select p, curie, coalesce(curie, local) as label, local, p || ' ' || case when p like '<http://%' then '<https://' || substr(p, 9) else '<http://' || substr(p, 10) end as variants from k""")
 
 
 def _chosen(v: DataFrame) -> DataFrame:
@@ -92,15 +103,42 @@ for _name, _build in {
     "interesting_match_report": lambda t, a: interesting.match_report(t, a),
 }.items():
     query(_name, LINES, lambda v, build=_build: build(readers.triples(v), _chosen(v)))
+D = A + ", k as (select display, case when regexp_extract(o, '\\^\\^<([^>]+)>\\s*$', 1) <> '' then '<' || regexp_extract(o, '\\^\\^<([^>]+)>\\s*$', 1) || '>' when o not like '%\"@%' then '<http://www.w3.org/2001/XMLSchema#string>' end as datatype, case when o like '%\"@%' then lower(regexp_extract(o, '@([a-zA-Z0-9-]+)\\s*$', 1)) end as lang, o from at_ where o not like '<%' and o not like '$_:%' escape '$')"
+ORACLES["literal_datatypes"] = D + ", d as (select display, count(*) as n from k group by 1) select k.display as predicate, datatype, count(*) as count, round(count(*) / cast(any_value(d.n) as double), 9) as share_among_literals from k join d on d.display = k.display where datatype is not null group by 1, 2"
+ORACLES["interesting_match_report"] = A + ", ch as (select * from (values ('<http://schema.org/url>'), ('<http://purl.org/dc/terms/source>'), ('<http://ex.org/click>'), ('<http://xmlns.com/foaf/0.1/name>')) as q(display)) select display, display in (select al.display from al join t on t.p = al.p) as matched from ch"
+_TOP = TOP.replace("from e", "from t").replace("distinct s, p from t", "distinct s, p from t").replace("with e", "with t")
+ALL = _TOP.replace(f"top as (select p from t group by p order by count(*) desc, p limit {K})", f"top as (select p from (select p from t group by p order by count(*) desc, p limit {K}) union select p from al)")
+NAMED = A + ", " + ALL.replace("sup as (select p, count(*) as n from sp group by p)", "sup as (select coalesce(al.display, sp.p) as p, count(*) as n from sp left join al on al.p = sp.p group by 1)").replace("ab as (select a.p as p_a, b.p as p_b, count(*) as n_ab from sp a join sp b on a.s = b.s and a.p < b.p group by 1, 2)", "ab as (select least(coalesce(x.display, a.p), coalesce(y.display, b.p)) as p_a, greatest(coalesce(x.display, a.p), coalesce(y.display, b.p)) as p_b, count(*) as n_ab from sp a join sp b on a.s = b.s and a.p < b.p left join al x on x.p = a.p left join al y on y.p = b.p group by 1, 2)") + f", z as ({COOC})"
+ORACLES["interesting_cooccurrence"] = NAMED + " select * from z where p_a in (select display from al) or p_b in (select display from al)"
+ORACLES["interesting_rules"] = NAMED + " select p_a, p_b, support_ab, conf_ab, lift_ab, jaccard, pmi from z where support_ab >= 0.01 and conf_ab >= 0.5 and p_a in (select display from al)"
+_DEG = lambda x: f"dg{x} as (select p, {x}, count(*) as d from t group by p, {x}), g{x} as (select al.display, count(*) as u, sum(d) / cast(count(*) as double) as a, sqrt(greatest(sum(cast(d as double) * d) / count(*) - power(sum(d) / cast(count(*) as double), 2), 0)) as sd, min(d) as lo, max(d) as hi, cast(sum(d) as bigint) as n from dg{x} join al on al.p = dg{x}.p group by 1)"
+ORACLES["interesting_summary"] = D.replace(", k as (", f", {_DEG('s')}, {_DEG('o')}, k as (") + """,
+pr as (select display, count(*) as u, sum(case when n > 1 then n - 1 end) as x from (select display, s, o, count(*) as n from at_ group by 1, 2, 3) group by 1),
+kd as (select display, count(*) filter (s like '<%') as si, count(*) filter (s not like '<%') as sb, count(*) filter (o like '<%') as oi, count(*) filter (o like '$_:%' escape '$') as ob, count(*) filter (o not like '<%' and o not like '$_:%' escape '$') as ol from at_ group by 1),
+lit as (select display, count(distinct datatype) as ud, count(distinct lang) as ul from k group by 1), tot as (select count(*) as total, count(distinct s) as subjects from t)
+select gs.display as predicate, gs.n as count, gs.u as unique_subjects, go.u as unique_objects, round(gs.a, 9) as avg_out_degree_p, round(gs.sd, 9) as std_out_degree_p, gs.lo as min_out_degree_p, gs.hi as max_out_degree_p, round(go.a, 9) as avg_in_degree_p, round(go.sd, 9) as std_in_degree_p, go.lo as min_in_degree_p, go.hi as max_in_degree_p,
+si as subj_IRI, sb as subj_BNODE, oi as obj_IRI, ob as obj_BNODE, ol as obj_LITERAL, coalesce(ud, 0) as unique_datatypes, coalesce(ul, 0) as unique_langs, pr.u as unique_s_o_pairs, cast(pr.x as bigint) as duplicate_excess, round(gs.n / cast(tot.total as double), 9) as share, round(100 * (gs.u / cast(tot.subjects as double)), 9) as pct_subjects_with_p, ol as literals_total
+from gs join go on go.display = gs.display join pr on pr.display = gs.display join kd on kd.display = gs.display left join lit on lit.display = gs.display cross join tot"""
 ORACLES["top_objects"] = A + ", k as (select display, o, count(*) as n from at_ where o like '<%' group by 1, 2), d as (select display, count(*) as n from at_ group by 1), r as (select *, row_number() over (partition by display order by n desc, o) as r from k) select r.display as predicate, r.o as object_iri, r.n as count, round(r.n / cast(d.n as double), 9) as share_among_predicate from r join d on d.display = r.display where r.r <= 10"
 ORACLES["literal_langs"] = A + ", k as (select display, lower(regexp_extract(o, '@([a-zA-Z0-9-]+)\\s*$', 1)) as lang, count(*) as n from at_ where o like '\"%' group by 1, 2), d as (select display, sum(n) as n from k group by 1) select k.display as predicate, lang, k.n as count, round(k.n / cast(d.n as double), 9) as share_among_literals from k join d on d.display = k.display where lang <> ''"
 
 
+def _tagged(t: int) -> str:
+    """Which edges have the t-th tag: six of seven, but none of an eleventh, whose list of tags is null."""
+    return f"(src * 3 + dst * 5 + {t}) % 7 <> 0 and (src + dst) % 11 <> 0"
+
+
 def _edges(e: DataFrame) -> DataFrame:
-    return e.select(F.col("rel"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.array(*[F.lit(x) for x in validate.PROPERTIES]).alias("brc"))
+    e = e.select("rel", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    tags = F.array_compact(F.array(*[F.when(F.expr(_tagged(t)), F.lit(x)) for t, x in enumerate(validate.PROPERTIES)]))
+    return e.withColumn("brc", F.when(F.expr("(src + dst) % 11 <> 0"), tags))
+
+
+def _b(tag: str) -> str:
+    where = _tagged(validate.PROPERTIES.index(tag))
+    return f"with e as (select rel, cast(src as bigint) as src, cast(dst as bigint) as dst, row_number() over () as id from ({BRC}) q where {where}), r as (select distinct rel from e), h as (select a.rel, a.src as a, b.dst as c from e a join e b on a.rel = b.rel and a.dst = b.src and a.id <> b.id)"
 
 
-B = f"with e as (select rel, cast(src as bigint) as src, cast(dst as bigint) as dst, row_number() over () as id from ({BRC})), r as (select distinct rel from e), h as (select a.rel, a.src as a, b.dst as c from e a join e b on a.rel = b.rel and a.dst = b.src and a.id <> b.id)"
 _VIOLATED = {
     "REF": "select rel from (select rel, src as n from e union select rel, dst from e) q where not exists (select 1 from e where e.rel = q.rel and e.src = q.n and e.dst = q.n)",
     "SYM": "select rel from e x where not exists (select 1 from e y where y.rel = x.rel and y.src = x.dst and y.dst = x.src)",
@@ -111,9 +149,68 @@ _VIOLATED = {
     "ITR": "select rel from h where not exists (select 1 from e where e.rel = h.rel and e.src = h.a and e.dst = h.c)",
     "ANT": "select h.rel from h join e on e.rel = h.rel and e.src = h.a and e.dst = h.c",
 }
+_REPORT = []
 for _tag in validate.PROPERTIES:
-    query(f"val_{_tag.lower()}", BRC, lambda e, tag=_tag: validate.validate(_edges(e), tag), f"{B} select rel as relation, rel {'' if _tag == 'ITR' else 'not '}in ({_VIOLATED[_tag]}) as holds from r" if _tag in _VIOLATED else None)
-ORACLES["val_acc"] = B.replace("with e as", "with recursive e as") + ", w as (select rel, src, dst from e union select w.rel, w.src, e.dst from w join e on e.rel = w.rel and e.src = w.dst) select rel as relation, rel not in (select rel from w where src = dst) as holds from r"
-query("validation_report", BRC, lambda e: validate.validate_all(_edges(e)))
-query("property_closures", None, lambda spark: logic.subsets(spark).select("mask", F.array_join("members", ",").alias("members"), "closure"))
-query("equivalence_classes", None, logic.equivalence_classes)
+    _sql = f"{_b(_tag)} select rel as relation, rel {'' if _tag == 'ITR' else 'not '}in ({_VIOLATED[_tag]}) as holds from r" if _tag in _VIOLATED else _b(_tag).replace("with e as", "with recursive e as") + ", w as (select rel, src, dst from e union select w.rel, w.src, e.dst from w join e on e.rel = w.rel and e.src = w.dst) select rel as relation, rel not in (select rel from w where src = dst) as holds from r"
+    query(f"val_{_tag.lower()}", BRC, lambda e, tag=_tag: validate.validate(_edges(e), tag), _sql)
+    _REPORT.append(f"select relation, '{_tag}' as property, holds from ({_sql}) as v_{_tag.lower()}")
+query("validation_report", BRC, lambda e: validate.validate_all(_edges(e)), " union all ".join(_REPORT))
+
+
+def _mask_sql() -> str:
+    """The 512 sets, their members and closures, from the lists of rules."""
+    has = lambda c, names: f"({c} & {logic.mask(names)}) = {logic.mask(names)}"
+    bad = lambda c: " or ".join(f"({has(c, x)}{' and not ' + has(c, ('REF',)) if x == ('SYM', 'ANS') else ''})" for x in logic.CONTRADICTIONS)
+    step = " | ".join(["v", *(f"case when {has('v', a)} then {logic.mask(b)} else 0 end" for a, b in logic.IMPLICATIONS)])
+    members = ", ".join(f"case when (mask & {logic.BIT[p]}) <> 0 then '{p}' end" for p in sorted(logic.BIT))
+    return f"""with recursive z as (select cast(range as int) as mask, cast(range as int) as v, 0 as i from range(512) union all select mask, {step}, i + 1 from z where i < 9),
+s as (select mask, list_filter([{members}], lambda x: x is not null) as members, case when not ({bad('mask')} or {bad('v')}) then v end as closure from z where i = 9)"""
+
+
+query("property_closures", None, lambda spark: logic.subsets(spark).select("mask", F.array_join("members", ",").alias("members"), "closure"), _mask_sql() + " select mask, array_to_string(members, ',') as members, closure from s")
+query("equivalence_classes", None, logic.equivalence_classes, _mask_sql() + """,
+g as (select a.mask, any_value(a.members) as members, list(coalesce(u.closure, -1) order by t.mask) as sign from s a join s t on a.closure is not null and t.closure is not null join s u on u.mask = a.mask | t.mask group by a.mask),
+c as (select sign, list(members order by len(members), members) as sets from g group by sign union all select null, list(members order by len(members), members) from s where closure is null)
+select row_number() over (order by len(sets[1]), sets[1]) as class_no, len(sets) as size, array_to_string(list_transform(sets, lambda x: case when len(x) = 0 then 'Ø' else '{' || array_to_string(x, ', ') || '}' end), ', ') as sets from c""")
+
+
+def _profile(name: str, scope: str, chosen: list[str], oracle: str) -> None:
+    """A report file, as its columns and names are."""
+    query(f"report_{name}_{scope}", EDGES, lambda t: reports.profile_edges(t, None, chosen, scope)[name][0].drop("_n_ab"), oracle)
+
+
+_RULES = 'p_a, p_b, support_ab, conf_ab as "conf(A->B)", lift_ab as "lift(A->B)", jaccard, pmi'
+_profile("4b_association_rules_interesting", "any", ["LIVES_IN", "ORDER_P"], f"{E}, {TOP}, z as ({COOC}) select {_RULES} from z where support_ab >= 0.01 and conf_ab >= 0.5 and (p_a in ('LIVES_IN', 'ORDER_P') or p_b in ('LIVES_IN', 'ORDER_P'))")
+_profile("3_predicate_cooccurrence", "subset", ["LIVES_IN", "ORDER_P", "ORDER_O", "RET_NO"], f"with e as (select * from ({EDGES}) where p in ('LIVES_IN', 'ORDER_P', 'ORDER_O', 'RET_NO')), {TOP}, z as ({COOC}) select p_a, p_b, n_ab, n_a, n_b, support_ab, jaccard, pmi, conf_ab as \"conf(A->B)\", conf_ba as \"conf(B->A)\", lift_ab as \"lift(A->B)\", lift_ba as \"lift(B->A)\" from z")
+
+
+def _through(name: str, sql: str, save: Callable[[DataFrame, str], None], load: Callable[[SparkSession, str], DataFrame], oracle: str) -> None:
+    """A query that writes a view's rows as files of a format and reads those."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{root.rstrip('/')}/relsight/{name}-{uuid.uuid4().hex}"
+        save(view(spark, sf_dir, sql), path)
+        return rounded(load(spark, path))
+
+    QUERIES[name], ORACLES[name] = run, oracle
+
+
+_through("edges_csv_gz", EDGES, lambda e, path: e.select(F.col("s").alias("node_id_start"), F.col("o").alias("node_id_end"), F.col("p").alias("rel_type"), F.lit("x").alias("extra")).write.csv(path, header=True, escape='"', compression="gzip"), lambda spark, path: readers.read_edges(spark, path).drop("edge_id"), f"{E} select trim(s) as s, trim(p) as p, trim(o) as o from e where trim(o) <> ''")
+_through("nodes_csv", NODES, lambda n, path: n.select("node_id", F.when(F.col("category") != "AAA", F.col("category")).alias("type")).write.csv(f"{path}/nodes-vip.csv", header=True), lambda spark, path: readers.read_nodes(spark, readers.matching(spark, f"{path}/nodes-*.csv")), f"select node_id, case when category = 'AAA' then 'vip' else category end as category from ({NODES})")
+_through("ntriples_bz2", LINES, lambda v, path: v.write.text(path, compression="bzip2"), readers.read_ntriples, f"{L} select s, p, o from t")
+
+
+def _generated_sql(n: int, density: float, seed: int) -> str:
+    """Relation counts of the generated graph, from the same draws."""
+    d = lambda kind, what: f"cast('0x' || substr(md5('{seed}/{kind}/' || cast(i as string) || '/{what}'), 1, 8) as bigint)"
+    base = "<http://www.cidoc-crm.org/cidoc-crm/"
+    one = [f"select '{base}{name}>' as p, count(*) as count from n" for name in ("P161_has_spatial_projection", "P7_took_place_at", "P55_has_current_location", "P108i_was_produced_by", "P4_has_time_span")]
+    one += [f"select '{p}', 4 * count(*) from n" for p in (generator.TYPE, generator.LABEL)]
+    for kind, name, itself, share, both in (("place", "P89_falls_within", 1, 1, 0), ("stv", "P121_overlaps_with", 1, 1, 1), ("stv", "P189_approximates", 1, 2, 0), ("stv", "P133_is_spatiotemporally_separated_from", 0, 1, 1), ("period", "P10_falls_within", 1, 1, 0), ("period", "P9_consists_of", 0, 1, 0)):
+        some = f"select i, {d(kind, name)} % {n} as j from n where {d(kind, name + ' if')} < {int(density / share * (1 << 32))}"
+        one.append(f"select '{base}{name}>', count(*) from (select i, j from ({some}) where i <> j" + (f" union select j, i from ({some}) where i <> j" if both else "") + (" union all select i, i from n" if itself else "") + ")")
+    return f"with n as (select range as i from range({n})) " + " union all ".join(one)
+
+
+query("generated_graph", None, lambda spark: generator.heritage_graph(spark, 500, 500, 500, 500, 0.3, 7).groupBy("p").agg(F.count("*").alias("count")), _generated_sql(500, 0.3, 7))

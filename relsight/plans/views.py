@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "orders", "lineitem", "events", "documents", "pages", "part", "conversations"]
@@ -30,19 +32,18 @@ union all select concat('# page ', cast(page_id as string)) from pages
 union all select concat('broken ', cast(page_id as string)) from pages where page_id % 3 = 0"""
 
 BRC = """
+select * from (
 select 'same_region' as rel, a.n_nationkey as src, b.n_nationkey as dst from nation a join nation b on a.n_regionkey = b.n_regionkey
 union all select 'precedes', a.n_nationkey, b.n_nationkey from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey
+union all select 'next_order', o_orderkey, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) from orders
 union all select 'next_turn', conv_id * 1000 + turn, conv_id * 1000 + turn + 1 from conversations where turn > 0
 union all select 'trades', n_nationkey, (n_nationkey * 7 + 3) % 25 from nation
 union all select 'trades', n_nationkey, n_nationkey from nation where n_nationkey % 6 = 0
-union all select 'mutual', n_nationkey, 24 - n_nationkey from nation where n_nationkey <> 12"""
-
-
-def load(spark: SparkSession, sf_dir: str) -> None:
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+union all select 'mutual', n_nationkey, 24 - n_nationkey from nation where n_nationkey <> 12) all_edges where dst is not null"""
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    load(spark, sf_dir)
-    return spark.sql(sql)
+    """The view's rows. Tables are bound as arguments, so no temporary view of the caller is replaced."""
+    used = {name for _, name in re.findall(rf"\b(from|join) ({'|'.join(TABLES)})\b", sql)}
+    bound = re.sub(rf"\b(from|join) ({'|'.join(TABLES)})\b", r"\1 {\2}", sql)
+    return spark.sql(bound, **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in used})

@@ -22,14 +22,44 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                lines = lzma.decompress(content.as_py()).decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n").split("\n")
-                lines = lines[:-1] if lines[-1] == "" else lines
-                for at in range(0, len(lines), 10_000):
-                    yield pa.record_batch([pa.array(lines[at : at + 10_000])], names=["value"])
+                for lines in decompressed_lines(content.as_py()):
+                    yield pa.record_batch([pa.array(lines, pa.string())], names=["value"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(opened, "value string")
 
 
+def decompressed_lines(data: bytes, step: int = 1 << 20) -> Iterator[list[str]]:
+    """The lines of xz or lzma data, of one or several streams, a piece at a time."""
+    view, at, rest = memoryview(data), 0, b""
+    unpack = lzma.LZMADecompressor()
+    while at < len(view) or not unpack.needs_input:
+        fed = view[at : at + step] if unpack.needs_input else b""
+        at += len(fed)
+        rest += unpack.decompress(fed, max_length=4 * step)
+        *whole, rest = rest.replace(b"\r\n", b"\n").split(b"\n") if not rest.endswith(b"\r") else [rest]
+        if whole:
+            yield [y for x in whole for y in x.decode("utf-8", "replace").split("\r")]
+        if unpack.eof:
+            left = unpack.unused_data + bytes(view[at:])
+            view, at, unpack = memoryview(left.lstrip(b"\0")), 0, lzma.LZMADecompressor()
+            if not view:
+                break
+    if rest:
+        yield rest.decode("utf-8", "replace").removesuffix("\r").split("\r")
+
+
+def parse_interesting(given: str) -> list[str]:
+    """Names between commas, trimmed, without empty ones."""
+    return [x.strip() for x in given.split(",") if x.strip()]
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a glob names, through Hadoop's file systems."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """s, p, o and bad (a line that is no triple) of lines that aren't empty and don't begin with #."""
     v = F.col("value")
@@ -49,16 +79,16 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return triples(text_lines(spark, path))
 
 
-def _csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    rows = spark.read.options(header=True, escape='"', multiLine=True, inferSchema=False).csv(path)
+def _csv(spark: SparkSession, path: str, required: list[str], multi_line: bool) -> DataFrame:
+    rows = spark.read.options(header=True, escape='"', multiLine=multi_line, inferSchema=False).csv(path)
     if missing := set(required) - set(rows.columns):
         raise ValueError(f"{path} has no column {', '.join(sorted(missing))}")
     return rows
 
 
-def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    """edge_id, s, p, o of an edge CSV; rows with an empty field are dropped."""
-    rows = _csv(spark, path, ["node_id_start", "node_id_end", "rel_type"])
+def read_edges(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """edge_id, s, p, o of an edge CSV; rows with an empty field are dropped. With line breaks in fields a file is one task."""
+    rows = _csv(spark, path, ["node_id_start", "node_id_end", "rel_type"], multi_line)
     return clean_edges(rows.select(F.col("node_id_start").alias("s"), F.col("rel_type").alias("p"), F.col("node_id_end").alias("o")))
 
 
@@ -67,12 +97,12 @@ def clean_edges(rows: DataFrame) -> DataFrame:
     return rows.where("s <> '' and p <> '' and o <> ''").select(F.monotonically_increasing_id().alias("edge_id"), "s", "p", "o")
 
 
-def read_nodes(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_nodes(spark: SparkSession, paths: list[str], multi_line: bool = False) -> DataFrame:
     """node_id and category (type, or else from the file name) of node CSVs; unreadable files are skipped with a warning."""
     found = spark.createDataFrame([], "node_id string, category string")
     for path in sorted(paths):
         try:
-            rows = _csv(spark, path, ["node_id"])
+            rows = _csv(spark, path, ["node_id"], multi_line)
         except Exception as problem:
             warnings.warn(f"skipped {path}: {problem}", stacklevel=2)
             continue
