@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 # The separators of the word class [^\x20\x09-\x0D].
 WORD_SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -48,6 +48,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    # A worker waits for its next task without the memory of this one.
+    pa.default_memory_pool().release_unused()
 
 
 def word_table(column: pa.Array, lower: bool = True) -> tuple[pa.DictionaryArray, np.ndarray]:

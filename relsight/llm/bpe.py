@@ -35,6 +35,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from relsight.llm import pretokens
 from relsight.llm.arrays import ragged, slices
+from relsight.llm.shared import small_batches
 
 #: Text that one block of documents holds, about.
 BLOCK_BYTES = 6 << 20
@@ -228,6 +229,7 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(out.astype(np.int32)))
         return pa.concat_tables([pa.table({"doc_id": pa.array(head[0], mask=head[1].astype(bool)), "ids": lists})] * times)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     words = rows.mapInArrow(word_rows, "chunk int, block binary, first long, words binary, shape binary")
     dealt = words.repartition("chunk").sortWithinPartitions("chunk")

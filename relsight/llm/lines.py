@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from relsight.llm.arrays import slices
-from relsight.llm.shared import drop_written, fresh, salted_join, settings, written
+from relsight.llm.shared import drop_written, fresh, salted_join, settings, small_batches, written
 
 #: Words of a line that makes documents overlap, holders of a rare line, and of a run of a frequent one.
 MIN_WORDS, RARE, RUN = 5, 8, 64
@@ -183,6 +183,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, into: str = "dedup")
 
     Texts travel compressed to what changes in them.
     """
+    small_batches(docs.sparkSession)
     found = deletions(docs, min_words)
     names = [c for c in docs.columns if c != into]
     row, z, key = (fresh(docs.columns, c) for c in ("row", "z", "key"))

@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 from relsight.llm import pretokens
 from relsight.llm.arrays import ragged, slices
-from relsight.llm.shared import drop_written, written
+from relsight.llm.shared import drop_written, small_batches, written
 
 GROUP_ITEMS = 20_000
 #: Pre-tokens whose ids a task remembers before it starts afresh.
 REMEMBERED = 150_000
+#: Text whose pre-tokens are told apart at once.
+SLICE = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -98,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, list[int]] = {}
         encode, added = encoder(tokenizer_path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids, rows = token_ids(batch.column("text"), encode, added, known)
             out: list[tuple] = []
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), rows[:-1].tolist(), rows[1:].tolist(), strict=True):
@@ -108,6 +110,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
             columns = list(zip(*out, strict=True))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relsight.llm.arrays import mix, slices, word_table
+from relsight.llm.shared import small_batches
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4)
@@ -139,6 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: i
 
 def score(docs: DataFrame, model: Model, into: str = "quality_score") -> DataFrame:
     """All columns of ``docs`` and the double ``into`` (in place of a column of that name): how likely label 1 is."""
+    small_batches(docs.sparkSession)
     logits = model.logits()
     names = [c for c in docs.columns if c.lower() != into.lower()]
     docs = docs.select(*names)

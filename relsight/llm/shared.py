@@ -58,6 +58,17 @@ def settings(spark: SparkSession, **values) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most ``rows`` rows from here on.
+
+    Rows hold whole texts, and a plan that an operator returns runs after it
+    has returned, so the session keeps the setting; it is only ever lowered.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def fresh(names: list[str], wanted: str) -> str:
     """A column name that none of ``names`` has, whatever its case."""
     taken = {n.lower() for n in names}
