@@ -108,7 +108,33 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_metric_join": op1_metric_join, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_jaccard_join": op6_jaccard_join, "op7_pii": op7_pii, "op8_packing": op8_packing, "op9_line_dedup": op9_line_dedup, "op10_passages": op10_passages}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text, through a fresh cache of digests."""
+    import public_tokenizers
+
+    from relsight.llm.counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle roots and proofs of every document, and whether the document, its line breaks deleted for some, still gives the root."""
+    from relsight.llm.manifest import leaf_digest, manifest, verified
+
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    text = F.col("text")
+    leaf = leaf_digest(*fields, text)
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & text.contains("\n")
+    other = F.when(tampered, leaf_digest(*fields, F.translate(text, "\n", "")))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("g"), F.col("doc_id").alias("by"), leaf.alias("digest"), F.struct("doc_id", leaf.alias("leaf"), other.alias("other")).alias("row"))
+    proved, _, root = manifest(rows)
+    out = verified(proved, F.coalesce("row.other", "row.leaf"))
+    text_of = lambda c: F.lower(F.hex(c))
+    root = F.lit(root.hex() if root else None).cast("string")
+    return out.select("row.doc_id", text_of("row.leaf").alias("leaf"), text_of("root").alias("subroot"), root.alias("root"), "proof_sha256", text_of("folded").alias("folded_root"), (text_of("folded") == root).alias("verified"))
+
+
+QUERIES = {"op1_metric_join": op1_metric_join, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_jaccard_join": op6_jaccard_join, "op7_pii": op7_pii, "op8_packing": op8_packing, "op9_line_dedup": op9_line_dedup, "op10_passages": op10_passages, "op11_token_counts": op11_token_counts, "op13_manifest": op13_manifest}
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": """
         select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
