@@ -117,6 +117,13 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of rebuilt conversations."""
+    from relsight.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle roots and proofs of every document, and whether the document, its line breaks deleted for some, still gives the root."""
     from relsight.llm.manifest import leaf_digest, manifest, verified
@@ -134,7 +141,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", text_of("row.leaf").alias("leaf"), text_of("root").alias("subroot"), root.alias("root"), "proof_sha256", text_of("folded").alias("folded_root"), (text_of("folded") == root).alias("verified"))
 
 
-QUERIES = {"op1_metric_join": op1_metric_join, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_jaccard_join": op6_jaccard_join, "op7_pii": op7_pii, "op8_packing": op8_packing, "op9_line_dedup": op9_line_dedup, "op10_passages": op10_passages, "op11_token_counts": op11_token_counts, "op13_manifest": op13_manifest}
+QUERIES = {"op1_metric_join": op1_metric_join, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_jaccard_join": op6_jaccard_join, "op7_pii": op7_pii, "op8_packing": op8_packing, "op9_line_dedup": op9_line_dedup, "op10_passages": op10_passages, "op11_token_counts": op11_token_counts, "op12_prefix_trie": op12_prefix_trie, "op13_manifest": op13_manifest}
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": """
         select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
