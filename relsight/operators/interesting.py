@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relsight.functions.iri import variants, with_terms
-from relsight.operators.stats import associate, degrees, n_subjects, pair_counts, rules, share, subject_predicates, support
+from relsight.operators.stats import associate, degrees, n_subjects, pair_counts, predicate_sets, rules, share, subjects, support
 
 
 def aliases(chosen: DataFrame) -> DataFrame:
@@ -62,13 +62,13 @@ def top_objects(t: DataFrame, alias: DataFrame, n: int = 50) -> DataFrame:
 
 def cooccurrence(t: DataFrame, alias: DataFrame, k: int = 200, cap: int = 50) -> DataFrame:
     """Pair metrics by display, of pairs with a chosen member; both forms on a subject give a pair with itself."""
-    sp = subject_predicates(t, k, cap, alias.select("p"))
+    sets = predicate_sets(t, k, cap, alias.select("p"))
     names = lambda df, c: df.join(alias.select(F.col("p").alias(c), F.col("display").alias(f"{c}_d")), c, "left").withColumn(c, F.coalesce(f"{c}_d", c)).drop(f"{c}_d")
-    pairs = names(names(pair_counts(sp), "p_a"), "p_b")
+    pairs = names(names(pair_counts(sets), "p_a"), "p_b")
     pairs = pairs.groupBy(F.least("p_a", "p_b").alias("p_a"), F.greatest("p_a", "p_b").alias("p_b")).agg(F.sum("n_ab").alias("n_ab"))
-    supports = names(support(sp), "p").groupBy("p").agg(F.sum("n").alias("n"))
+    supports = names(support(sets), "p").groupBy("p").agg(F.sum("n").alias("n"))
     chosen = alias.select("display").distinct()
-    both = associate(pairs, supports, n_subjects(t)).withColumn("k", F.array("p_a", "p_b"))
+    both = associate(pairs, supports, subjects(sets)).withColumn("k", F.array("p_a", "p_b"))
     hit = both.select("p_a", "p_b", F.explode("k").alias("display")).join(chosen, "display", "left_semi").select("p_a", "p_b").distinct()
     return both.drop("k").join(hit, ["p_a", "p_b"], "left_semi")
 
@@ -91,8 +91,8 @@ def missing(report: DataFrame) -> DataFrame:
 
 def heatmap(t: DataFrame, alias: DataFrame, k: int = 200, cap: int = 50, top: int = 30) -> DataFrame:
     """Symmetric pair counts by display among the chosen predicates of the largest support, supports on the diagonal."""
-    sp = subject_predicates(t, k, cap, alias.select("p"))
-    shown = sp.join(alias, "p").groupBy("display").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "display").limit(max(1, top))
+    sets = predicate_sets(t, k, cap, alias.select("p"))
+    shown = support(sets).join(alias, "p").groupBy("display").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "display").limit(max(1, top))
     pairs = cooccurrence(t, alias, k, cap).select("p_a", "p_b", "n_ab").where("p_a <> p_b")
     for c in ("p_a", "p_b"):
         pairs = pairs.join(shown.select(F.col("display").alias(c)), c, "left_semi")

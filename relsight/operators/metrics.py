@@ -13,18 +13,18 @@ from relsight.operators.stats import pair_counts, support
 SMALL = 1000
 
 
-def graph_metrics(sp: DataFrame, always: DataFrame | None = None, damping: float = 0.85, rounds: int = 60, small: int = SMALL) -> DataFrame:
-    """predicate, deg_centrality, weighted_degree, pagerank of the predicates of (s, p).
+def graph_metrics(sets: DataFrame, always: DataFrame | None = None, damping: float = 0.85, rounds: int = 60, small: int = SMALL) -> DataFrame:
+    """predicate, deg_centrality, weighted_degree, pagerank of the predicates of sets (ps, n).
 
     ``always`` (p) are nodes even where nothing has them. Ranks take a fixed
     number of rounds: as array arithmetic in one row where the graph is small,
     else a join and an aggregation each.
     """
-    nodes = support(sp).select("p")
+    nodes = support(sets).select("p")
     nodes = nodes.union(always.select("p")).distinct() if always is not None else nodes
     if nodes.count() > small:
-        return by_joins(sp, nodes, damping, rounds)
-    pairs = pair_counts(sp).select("p_a", "p_b", F.col("n_ab").cast("double").alias("w"))
+        return by_joins(sets, nodes, damping, rounds)
+    pairs = pair_counts(sets).select("p_a", "p_b", F.col("n_ab").cast("double").alias("w"))
     both = pairs.union(pairs.select("p_b", "p_a", "w")).toDF("p", "q", "w")
     size = nodes.agg(F.count("*").alias("n"))
     deg = both.groupBy("p").agg(F.count("*").alias("k"), F.sum("w").alias("wd"))
@@ -52,10 +52,10 @@ def graph_metrics(sp: DataFrame, always: DataFrame | None = None, damping: float
     return out.select(F.col("p").alias("predicate"), centrality.alias("deg_centrality"), F.col("wd").alias("weighted_degree"), F.when(F.col("any_edge"), F.col("pagerank")).otherwise(0.0).alias("pagerank"))
 
 
-def by_joins(sp: DataFrame, nodes: DataFrame, damping: float, rounds: int) -> DataFrame:
+def by_joins(sets: DataFrame, nodes: DataFrame, damping: float, rounds: int) -> DataFrame:
     """The same for a graph of any size; the shared checkpoint folder cuts the lineage each round."""
-    checkpoint_dir(sp.sparkSession)
-    pairs = pair_counts(sp).select("p_a", "p_b", F.col("n_ab").cast("double").alias("w"))
+    checkpoint_dir(sets.sparkSession)
+    pairs = pair_counts(sets).select("p_a", "p_b", F.col("n_ab").cast("double").alias("w"))
     links = pairs.union(pairs.select("p_b", "p_a", "w")).toDF("p", "q", "w").checkpoint()
     deg = links.groupBy("p").agg(F.count("*").alias("k"), F.sum("w").alias("wd"))
     size = nodes.agg(F.count("*").alias("size"))

@@ -25,9 +25,18 @@ def meta(t: DataFrame) -> DataFrame:
     return d.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("n_predicates"), entropy.alias("entropy_bits"), gini.alias("gini"))
 
 
+def triple_counts(t: DataFrame) -> DataFrame:
+    """Distinct (p, s, o) and their number of rows (n): what the other aggregates build on, so that rows are read once."""
+    return t.groupBy("p", "s", "o").agg(F.count("*").alias("n"))
+
+
 def degrees(t: DataFrame, end: str, prefix: str) -> DataFrame:
     """Distinct ends of each predicate and avg, std, min, max of their degrees, by two aggregations."""
-    by_end = t.groupBy("p", end).agg(F.count("*").alias("d"))
+    return degrees_of(t.groupBy("p", end).agg(F.count("*").alias("d")), end, prefix)
+
+
+def degrees_of(by_end: DataFrame, end: str, prefix: str) -> DataFrame:
+    """The same from (p, end, d)."""
     mean = F.sum("d") / F.count("*")
     std = F.sqrt(F.greatest(F.sum(F.col("d") * F.col("d")) / F.count("*") - mean * mean, F.lit(0.0)))
     unique = "unique_subjects" if end == "s" else "unique_objects"
@@ -36,8 +45,11 @@ def degrees(t: DataFrame, end: str, prefix: str) -> DataFrame:
 
 def duplicates(t: DataFrame) -> DataFrame:
     """unique_s_o_pairs and duplicate_excess (null without duplicates)."""
-    pairs = t.groupBy("p", "s", "o").agg(F.count("*").alias("n"))
-    return pairs.groupBy("p").agg(F.count("*").alias("unique_s_o_pairs"), F.sum(F.when(F.col("n") > 1, F.col("n") - 1)).alias("duplicate_excess"))
+    return duplicates_of(triple_counts(t))
+
+
+def duplicates_of(triples: DataFrame) -> DataFrame:
+    return triples.groupBy("p").agg(F.count("*").alias("unique_s_o_pairs"), F.sum(F.when(F.col("n") > 1, F.col("n") - 1)).alias("duplicate_excess"))
 
 
 def n_subjects(t: DataFrame) -> DataFrame:
@@ -45,11 +57,14 @@ def n_subjects(t: DataFrame) -> DataFrame:
 
 
 def per_predicate(t: DataFrame) -> DataFrame:
-    """All basic columns of each predicate."""
-    joined = distribution(t).join(degrees(t, "s", "out_degree_p"), F.col("predicate") == F.col("p")).drop("p")
-    joined = joined.join(degrees(t, "o", "in_degree_p"), F.col("predicate") == F.col("p")).drop("p")
-    joined = joined.join(duplicates(t), F.col("predicate") == F.col("p")).drop("p").crossJoin(F.broadcast(n_subjects(t)))
-    return joined.withColumn("pct_subjects_with_p", 100 * share(F.col("unique_subjects"), F.col("n_subjects"))).drop("n_subjects")
+    """All basic columns of each predicate. The rows are read and shuffled once, as distinct triples with counts; ends, pairs and subjects are aggregates of those."""
+    triples = triple_counts(t)
+    ends = {end: triples.groupBy("p", end).agg(F.sum("n").alias("d")) for end in ("s", "o")}
+    counts = ends["s"].groupBy("p").agg(F.sum("d").alias("count"))
+    totals = counts.agg(F.sum("count").alias("total")).crossJoin(ends["s"].agg(F.countDistinct("s").alias("n_subjects")))
+    joined = counts.join(degrees_of(ends["s"], "s", "out_degree_p"), "p").join(degrees_of(ends["o"], "o", "in_degree_p"), "p").join(duplicates_of(triples), "p").crossJoin(F.broadcast(totals))
+    found = [c for c in joined.columns if c not in ("p", "count", "total", "n_subjects")]
+    return joined.select(F.col("p").alias("predicate"), "count", share(F.col("count"), F.col("total")).alias("share"), *found, (100 * share(F.col("unique_subjects"), F.col("n_subjects"))).alias("pct_subjects_with_p"))
 
 
 def top_predicates(t: DataFrame, k: int) -> DataFrame:
@@ -69,15 +84,61 @@ def subject_predicates(t: DataFrame, k: int = 200, cap: int = 50, always: DataFr
     return rows.select("s", "p")
 
 
-def support(sp: DataFrame) -> DataFrame:
-    return sp.groupBy("p").agg(F.count("*").alias("n"))
+#: Predicates that a mask has bits for, and the bits of one of its words.
+MASKED, BITS = 1024, 63
+
 
+def predicate_sets(t: DataFrame, k: int = 200, cap: int = 50, always: DataFrame | None = None) -> DataFrame:
+    """ps, n: the distinct sets of predicates that subjects have (also the empty one), and each one's number of subjects.
 
-def pair_counts(sp: DataFrame) -> DataFrame:
-    """p_a < p_b and the subjects with both. Pairs come from each subject's capped set, after its partial aggregation."""
-    sets = sp.groupBy("s").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+    Sets are within the top k predicates and ``always`` (k 0: all) and are cut
+    to the first ``cap`` by name (0: whole). Up to MASKED predicates, a
+    subject's set is bits of a few numbers, so that a subject, however many
+    rows it has, is one row of fixed width after the partial aggregation; cuts
+    and names come after equal sets have met.
+    """
+    most = k + (always.count() if always is not None else 0)
+    if k <= 0 or most > MASKED:
+        return sets_of(subject_predicates(t, k, cap, always), t)
+    top = top_predicates(t, k).select("p")
+    top = top.union(always.select("p")).distinct() if always is not None else top
+    # At most ``most`` names; a name's place among them is its bit.
+    names = top.agg(F.sort_array(F.collect_list("p")).alias("names"))
+    bits = names.select(F.posexplode("names").alias("bit", "p"))
+    rows = t.select("s", "p").join(F.broadcast(bits), "p", "left")
+    place = F.col("bit") % BITS
+    words = range(-(-most // BITS))
+    mask = [F.bit_or(F.when(F.floor(F.col("bit") / BITS) == w, F.call_function("shiftleft", F.lit(1).cast("long"), place)).otherwise(0)).alias(f"w{w}") for w in words]
+    masks = rows.groupBy("s").agg(*mask).groupBy(*[f"w{w}" for w in words]).agg(F.count("*").alias("n"))
+    has = lambda i: F.call_function("shiftright", F.get(F.array(*[f"w{w}" for w in words]), F.floor(i / BITS).cast("int")), i % BITS).bitwiseAND(F.lit(1)) == 1
+    held = F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: has(i))
+    held = F.slice(held, 1, cap) if cap > 0 else held
+    return masks.select("n", held.alias("held")).crossJoin(F.broadcast(names)).select(F.transform("held", lambda i: F.get("names", i)).alias("ps"), "n")
+
+
+def sets_of(sp: DataFrame, t: DataFrame | None = None) -> DataFrame:
+    """ps, n of distinct (s, p); with ``t``, subjects of it that ``sp`` lacks have the empty set."""
+    sets = sp.groupBy("s").agg(F.sort_array(F.collect_set("p")).alias("ps")).groupBy("ps").agg(F.count("*").alias("n"))
+    if t is None:
+        return sets
+    rest = n_subjects(t).crossJoin(sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("had"))).select(F.array().cast("array<string>"), F.col("n_subjects") - F.col("had"))
+    return sets.union(rest)
+
+
+def subjects(sets: DataFrame) -> DataFrame:
+    """n_subjects of sets that also count those without a set."""
+    return sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_subjects"))
+
+
+def support(sets: DataFrame) -> DataFrame:
+    """p, n: the subjects whose set has p."""
+    return sets.select(F.explode("ps").alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
+
+
+def pair_counts(sets: DataFrame) -> DataFrame:
+    """p_a < p_b and the subjects with both. Pairs come from each distinct set once, however many subjects have it."""
     pairs = F.flatten(F.transform("ps", lambda a, i: F.transform(F.slice("ps", i + 2, F.size("ps")), lambda b: F.struct(a.alias("p_a"), b.alias("p_b")))))
-    return sets.select(F.explode(pairs).alias("x")).groupBy("x.p_a", "x.p_b").agg(F.count("*").alias("n_ab"))
+    return sets.select(F.explode(pairs).alias("x"), "n").groupBy("x.p_a", "x.p_b").agg(F.sum("n").alias("n_ab"))
 
 
 def associate(pairs: DataFrame, supports: DataFrame, total: DataFrame) -> DataFrame:
@@ -94,8 +155,8 @@ def associate(pairs: DataFrame, supports: DataFrame, total: DataFrame) -> DataFr
 
 
 def cooccurrence(t: DataFrame, k: int = 200, cap: int = 50, always: DataFrame | None = None) -> DataFrame:
-    sp = subject_predicates(t, k, cap, always)
-    return associate(pair_counts(sp), support(sp), n_subjects(t))
+    sets = predicate_sets(t, k, cap, always)
+    return associate(pair_counts(sets), support(sets), subjects(sets))
 
 
 def rules(pairs: DataFrame, min_support: float = 0.01, min_conf: float = 0.5) -> DataFrame:
@@ -107,19 +168,35 @@ def rules(pairs: DataFrame, min_support: float = 0.01, min_conf: float = 0.5) ->
 def category_counts(t: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
     """p, category, count, share of all rows of p; a node counts under its smallest category."""
     smallest = nodes.groupBy("node_id").agg(F.min("category").alias("category"))
-    counts = t.join(smallest, F.col(end) == F.col("node_id")).groupBy("p", "category").agg(F.count("*").alias("count"))
-    totals = t.groupBy("p").agg(F.count("*").alias("total"))
+    return category_sums(end_counts(t, end), smallest, end)
+
+
+def end_counts(t: DataFrame, end: str) -> DataFrame:
+    """p, the end and n: its rows of each predicate, so that a hub is one row a predicate."""
+    return t.groupBy("p", end).agg(F.count("*").alias("n"))
+
+
+def category_sums(ends: DataFrame, smallest: DataFrame, end: str) -> DataFrame:
+    """The same from ``end_counts`` and (node_id, category) of distinct nodes."""
+    counts = ends.join(smallest, F.col(end) == F.col("node_id")).groupBy("p", "category").agg(F.sum("n").alias("count"))
+    totals = ends.groupBy("p").agg(F.sum("n").alias("total"))
     return counts.join(totals, "p").select("p", "category", "count", share(F.col("count"), F.col("total")).alias("share"))
 
 
-def heatmap_of(sp: DataFrame) -> DataFrame:
-    """Symmetric pair counts of (s, p) with supports on the diagonal, long form."""
-    pairs = pair_counts(sp)
-    return pairs.select("p_a", "p_b", "n_ab").union(pairs.select("p_b", "p_a", "n_ab")).union(support(sp).select("p", "p", "n"))
+def heatmap_of(sets: DataFrame) -> DataFrame:
+    """Symmetric pair counts of sets with supports on the diagonal, long form."""
+    pairs = pair_counts(sets)
+    return pairs.select("p_a", "p_b", "n_ab").union(pairs.select("p_b", "p_a", "n_ab")).union(support(sets).select("p", "p", "n"))
 
 
 def heatmap(t: DataFrame, k: int = 200, cap: int = 50) -> DataFrame:
-    return heatmap_of(subject_predicates(t, k, cap))
+    return heatmap_of(predicate_sets(t, k, cap))
+
+
+def within(sets: DataFrame, best: DataFrame) -> DataFrame:
+    """Sets cut to the few predicates of ``best`` (p)."""
+    names = best.agg(F.collect_list("p").alias("best_"))
+    return sets.crossJoin(F.broadcast(names)).select(F.array_intersect("ps", "best_").alias("ps"), "n")
 
 
 def histogram(t: DataFrame, bins: int | None = 10) -> DataFrame:

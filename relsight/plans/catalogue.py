@@ -58,7 +58,7 @@ from c join grs as gs on gs.p = c.p join gro as g2 on g2.p = c.p join pr on pr.p
 query("unique_pairs_and_duplicates", EDGES, stats.duplicates, f"{E} select p, count(*) as unique_s_o_pairs, cast(sum(case when k > 1 then k - 1 end) as bigint) as duplicate_excess from (select p, s, o, count(*) as k from e group by 1, 2, 3) group by p")
 query("topk_predicates", EDGES, lambda t: stats.top_predicates(t, K), f"{E} select p, count(*) as count from e group by p order by count(*) desc, p limit {K}")
 query("subject_predicate_sets", EDGES, lambda t: stats.subject_predicates(t, K, CAP), f"{E}, {TOP} select s, p from sp")
-query("predicate_support", EDGES, lambda t: stats.support(stats.subject_predicates(t, K, CAP)), f"{E}, {TOP} select p, n from sup")
+query("predicate_support", EDGES, lambda t: stats.support(stats.predicate_sets(t, K, CAP)), f"{E}, {TOP} select p, n from sup")
 query("predicate_cooccurrence", EDGES, lambda t: stats.cooccurrence(t, K, CAP), f"{E}, {TOP} {COOC}")
 query("association_rules", EDGES, lambda t: stats.rules(stats.cooccurrence(t, K, CAP), 0.01, 0.5), f"{E}, {TOP}, z as ({COOC}) select p_a, p_b, support_ab, conf_ab, lift_ab, jaccard, pmi from z where support_ab >= 0.01 and conf_ab >= 0.5")
 query("profile_subset", EDGES, lambda t: stats.distribution(t.where(F.col("p").isin("LIVES_IN", "BASED_IN"))), f"{E}, c as (select p, count(*) as n from e where p in ('LIVES_IN', 'BASED_IN') group by p), t as (select sum(n) as n from c) select p as predicate, c.n as count, round(c.n / cast(t.n as double), 9) as share from c, t")
@@ -76,7 +76,7 @@ g as (select sup.p, count(l.q) as k, coalesce(sum(l.w), 0) as wd, (select count(
 pr as (select 0 as i, p, 1 / cast(size as double) as r from g union all
 select i, p, r from (select pr.i + 1 as i, y.p as p, 0.15 / max(y.size) + 0.85 * (sum(case when x.wd = 0 then pr.r else 0 end) / max(y.size) + coalesce(sum(pr.r * l.w / x.wd), 0)) as r
 from pr join g x on x.p = pr.p cross join g y left join l on l.p = x.p and l.q = y.p where pr.i < 60 group by 1, 2) z)"""
-query("graph_metrics", EDGES, lambda t: metrics.graph_metrics(stats.subject_predicates(t, K, CAP)), PAGERANK + " select g.p as predicate, round(case when size <= 1 then 1 else k / cast(size - 1 as double) end, 9) as deg_centrality, round(wd, 9) as weighted_degree, round(case when exists (select 1 from l) then r else 0 end, 9) as pagerank from g join pr on pr.p = g.p and pr.i = 60")
+query("graph_metrics", EDGES, lambda t: metrics.graph_metrics(stats.predicate_sets(t, K, CAP)), PAGERANK + " select g.p as predicate, round(case when size <= 1 then 1 else k / cast(size - 1 as double) end, 9) as deg_centrality, round(wd, 9) as weighted_degree, round(case when exists (select 1 from l) then r else 0 end, 9) as pagerank from g join pr on pr.p = g.p and pr.i = 60")
 
 L = f"with l as ({LINES}), v as (select value from l where value <> '' and value not like '#%'), n as (select regexp_extract(value, '(?s)^\\s*(<[^>]*>|_:[^\\s]+)\\s+(<[^>]*>)\\s+(.*)\\s*\\.\\s*$', ['s', 'p', 'o']) as x from v), t as (select x.s as s, x.p as p, x.o as o from n where x.s <> '')"
 query("nt_parse", LINES, readers.triples, f"{L} select s, p, o from t")

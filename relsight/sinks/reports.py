@@ -40,7 +40,7 @@ def ranked_rules(pairs: DataFrame, min_support: float, min_conf: float) -> Repor
 def profile_rdf(triples: DataFrame, alias: DataFrame | None = None, topk: int = 200, max_preds_per_subject: int = 50, min_support: float = 0.01, min_conf: float = 0.5, unique_so: bool = False, duplicate_excess: bool = False, top_values: int = 50) -> dict[str, Report]:
     """Files 1 to 5 of triples, and 8 to 13 of the chosen predicates (``alias``: p, display)."""
     always = alias.select("p") if alias is not None else None
-    sp = stats.subject_predicates(triples, topk, max_preds_per_subject, always)
+    sets = stats.predicate_sets(triples, topk, max_preds_per_subject, always)
     pairs = stats.cooccurrence(triples, topk, max_preds_per_subject, always)
     basic = stats.per_predicate(triples)
     # Pair columns are blank unless asked for, and when predicates are chosen; the second flag fills both.
@@ -54,7 +54,7 @@ def profile_rdf(triples: DataFrame, alias: DataFrame | None = None, topk: int =
         "2_per_predicate_basic": by(basic, ["predicate", "count", "share", "unique_subjects", "unique_objects", "avg_out_degree_p", "avg_in_degree_p", "pct_subjects_with_p", "unique_s_o_pairs", "duplicate_excess"], "-count", "predicate"),
         "3_predicate_cooccurrence": ranked_pairs(pairs),
         "4_association_rules": ranked_rules(pairs, min_support, min_conf),
-        "5_per_predicate_graph_metrics": by(metrics.graph_metrics(sp, always), ["predicate", "deg_centrality", "weighted_degree", "pagerank"], "predicate"),
+        "5_per_predicate_graph_metrics": by(metrics.graph_metrics(sets, always), ["predicate", "deg_centrality", "weighted_degree", "pagerank"], "predicate"),
     }
     if alias is not None:
         chosen = interesting.cooccurrence(triples, alias, topk, max_preds_per_subject)
@@ -83,7 +83,7 @@ def profile_edges(edges: DataFrame, nodes: DataFrame | None = None, chosen: list
         "2_per_predicate_basic": by(stats.per_predicate(t), ["predicate", "count", "share", "unique_subjects", "unique_objects", *DEGREES], "-count", "predicate", **rel),
         "3_predicate_cooccurrence": ranked_pairs(pairs),
         "4_association_rules": ranked_rules(pairs, min_support, min_conf),
-        "5_per_predicate_graph_metrics": by(metrics.graph_metrics(stats.subject_predicates(t, topk, max_preds_per_subject)), ["predicate", "deg_centrality", "weighted_degree", "pagerank"], "predicate", **rel),
+        "5_per_predicate_graph_metrics": by(metrics.graph_metrics(stats.predicate_sets(t, topk, max_preds_per_subject)), ["predicate", "deg_centrality", "weighted_degree", "pagerank"], "predicate", **rel),
     }
     if chosen and scope == "any":
         hit = pairs.where(F.col("p_a").isin(chosen) | F.col("p_b").isin(chosen))
@@ -100,9 +100,9 @@ def plot_data(triples: DataFrame, alias: DataFrame | None = None, top: int = 30,
     """What the plots show: histogram of counts, top bars, and heat maps as rows."""
     top = max(1, top)
     most = stats.top_predicates(triples, top)
-    sp = stats.subject_predicates(triples, topk, cap, alias.select("p") if alias is not None else None)
-    best = stats.support(sp).orderBy(F.desc("n"), "p").limit(top).select("p")
-    out = {"histogram": stats.histogram(triples, None), "top": most, "heatmap": stats.heatmap_of(sp.join(best, "p", "left_semi"))}
+    sets = stats.predicate_sets(triples, topk, cap, alias.select("p") if alias is not None else None)
+    best = stats.support(sets).orderBy(F.desc("n"), "p").limit(top).select("p")
+    out = {"histogram": stats.histogram(triples, None), "top": most, "heatmap": stats.heatmap_of(stats.within(sets, best))}
     if alias is not None:
         out["interesting_heatmap"] = interesting.heatmap(triples, alias, topk, cap, top)
     return out

@@ -67,14 +67,14 @@ def test_chosen_predicates(spark, triples):
 
 
 def test_graph_metrics(triples):
-    got = {r.predicate: r for r in metrics.graph_metrics(stats.subject_predicates(triples)).collect()}
+    got = {r.predicate: r for r in metrics.graph_metrics(stats.predicate_sets(triples)).collect()}
     for p, deg, wd, rank in ((P, 2 / 3, 2, 0.324561), (R, 1 / 3, 1, 0.175439)):
         assert got[p].deg_centrality == pytest.approx(deg) and got[p].weighted_degree == wd and got[p].pagerank == pytest.approx(rank, abs=1e-4)
 
 
 def test_graph_metrics_by_joins(spark):
     sp = spark.createDataFrame([(s, p) for s, ps in enumerate(["ab", "bc", "bcd", "e"]) for p in ps], "s int, p string")
-    one, many = ({r.predicate: tuple(r[1:]) for r in metrics.graph_metrics(sp, rounds=3, small=n).collect()} for n in (1000, 0))
+    one, many = ({r.predicate: tuple(r[1:]) for r in metrics.graph_metrics(stats.sets_of(sp), rounds=3, small=n).collect()} for n in (1000, 0))
     assert one.keys() == many.keys() and all(one[p] == pytest.approx(many[p]) for p in one)
 
 
