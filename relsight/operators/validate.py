@@ -7,14 +7,17 @@ tagged X and returns relation and holds for each type that has some.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relsight.operators.shared import checkpoint_dir
+from relsight.operators.shared import drop_written, written
 
-#: Edges into a node that one task joins, and parts of a hub at most.
-HUB, MOST_PARTS = 100_000, 256
+#: Numbers of a bitmap block, their bits, and targets that a block gets on average: half of what it holds.
+WORDS, BITS, TARGETS = 16, 64, 512
+#: Blocks that travel before a check looks at a sample of its nodes first, and the sample's share.
+PROBED, SAMPLE = 2_000_000, 64
 # The properties, and the names of their result columns.
 NAMES = {"REF": "isReflexive", "SYM": "isSymmetric", "TRA": "isTransitive", "IRF": "isIrreflexive", "ASM": "isAsymmetric", "ANS": "isAntisymmetric", "ACC": "isAcyclic", "ITR": "isIntransitive", "ANT": "isAntitransitive"}
 PROPERTIES = ["REF", "SYM", "TRA", "IRF", "ASM", "ANS", "ACC", "ITR", "ANT"]
@@ -33,26 +36,96 @@ def loops(e: DataFrame) -> DataFrame:
     return e.where("src = dst")
 
 
-def closable(e: DataFrame) -> DataFrame:
-    """rel, a, c of two-hops without a loop: only those can lack their closing edge."""
-    return hops(e.where("src <> dst"))
+def out_degrees(e: DataFrame) -> DataFrame:
+    return e.groupBy("rel", F.col("src").alias("node")).agg(F.count("*").alias("deg"))
 
 
-def hops(e: DataFrame) -> DataFrame:
-    """rel, a, c of two different edges a-b, b-c; a loop taken twice needs two edges.
+def blocks(e: DataFrame) -> DataFrame:
+    """rel, node, lead, part, w0 ...: the targets of each node as bitmaps, a row a block.
 
-    The edges into a hub are dealt by their other end to as many rows of its
-    edges out as its share of edges asks for, so no task has them all.
+    A target's block is that of the source with the most targets among those
+    that have it (``lead``) and of a hash, so what a hub points to lies
+    densely in a few blocks, and so does what its neighbours share with it.
     """
-    into = e.groupBy("rel", F.col("dst").alias("b")).agg(F.count("*").alias("n"))
-    parts = F.least(F.ceil(F.col("n") / HUB), F.lit(MOST_PARTS)).cast("int")
-    into = into.where(F.col("n") > HUB).select("rel", "b", parts.alias("parts"))
-    first = e.select("rel", F.col("src").alias("a"), F.col("dst").alias("b"), "m").join(into, ["rel", "b"], "left")
-    first = first.withColumn("part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0)).cast("int"))
-    second = e.select("rel", F.col("src").alias("b"), F.col("dst").alias("c")).join(into, ["rel", "b"], "left")
-    second = second.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    both = first.drop("parts").join(second.drop("parts"), ["rel", "b", "part"])
-    return both.where("not (a = b and b = c) or m > 1").select("rel", "a", "c")
+    led = e.join(out_degrees(e).withColumnRenamed("node", "src"), ["rel", "src"]).groupBy("rel", "dst").agg(F.max(F.struct("deg", "src")).alias("lead"))
+    led = led.select("rel", "dst", F.col("lead.src").alias("lead"), F.ceil(F.col("lead.deg") / TARGETS).alias("parts"))
+    led = led.withColumn("part", F.pmod(F.xxhash64("dst"), F.col("parts")))
+    place = F.row_number().over(Window.partitionBy("rel", "lead", "part").orderBy("dst")) - 1
+    # What a part has above a block's bits fills further blocks.
+    size = WORDS * BITS
+    bits = led.withColumn("place", place).select("rel", "dst", "lead", (F.col("part") + F.col("parts") * F.floor(F.col("place") / size)).alias("part"), (F.col("place") % size).alias("bit"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % BITS).cast("int"))
+    words = [F.bit_or(F.when(F.floor(F.col("bit") / BITS) == w, one).otherwise(0)).alias(f"w{w}") for w in range(WORDS)]
+    return e.join(bits, ["rel", "dst"]).groupBy("rel", F.col("src").alias("node"), "lead", "part").agg(*words)
+
+
+def product(edges: DataFrame, maps: DataFrame, kept: str) -> DataFrame:
+    """rel of the edges ``sender`` to ``receiver`` for which the sender's targets break the check at the receiver.
+
+    A sender's blocks travel along its edges, meet by receiver in a partial
+    aggregation, and are tested against the receiver's own: ``open`` finds
+    targets that the receiver lacks, ``closed`` those that it has.
+    """
+    names = [f"w{i}" for i in range(WORDS)]
+    sent = edges.join(maps.withColumnRenamed("node", "sender"), ["rel", "sender"]).groupBy("rel", "receiver", "lead", "part").agg(*[F.bit_or(w).alias(w) for w in names])
+    own = maps.select("rel", F.col("node").alias("receiver"), "lead", "part", *[F.col(w).alias(f"o{w}") for w in names])
+    both = sent.join(own, ["rel", "receiver", "lead", "part"], "left" if kept == "open" else "inner")
+    other = lambda w: F.coalesce(f"o{w}", F.lit(0).cast("long"))
+    hit = [F.col(w).bitwiseAND(F.bitwise_not(other(w)) if kept == "open" else other(w)) != 0 for w in names]
+    return both.where(reduce(lambda a, b: a | b, hit)).select("rel").distinct()
+
+
+def searched(edges: DataFrame, rest: DataFrame, kept: str) -> DataFrame:
+    """rel of the types that ``product`` finds among edges (rel, sender, receiver, size: the sender's targets), with the bitmaps of ``rest``.
+
+    Where much would travel, a sample of the receivers is looked at first: a
+    type that it decides sends no more.
+    """
+    travel = edges.agg(F.coalesce(F.sum(F.ceil(F.col("size") / TARGETS)), F.lit(0))).first()[0]
+    if not travel:
+        return rest.select("rel").where("false")
+    if travel <= PROBED:
+        return product(edges, blocks(rest), kept)
+    maps = written(blocks(rest), "blocks")
+    found = written(product(edges.where(F.pmod(F.xxhash64("receiver"), F.lit(SAMPLE)) == 0), maps, kept), "found")
+    return found.union(product(edges.join(F.broadcast(found), "rel", "left_anti"), maps, kept))
+
+
+def open_hops(e: DataFrame) -> DataFrame:
+    """rel of the types with edges a-b, b-c (two different ones) and no a-c.
+
+    That is an edge a-b, a not b, where b has a target that a lacks. If all of
+    b's targets and b itself are a's, b has no more targets than a, but for
+    itself: most types that aren't transitive show that in their degrees.
+    """
+    e, degrees = e.select("rel", "src", "dst"), out_degrees(e)
+    looped = loops(e).select("rel", F.col("src").alias("dst"), F.lit(1).alias("looped"))
+    # Edges whose end points nowhere can't break anything.
+    sized = e.where("src <> dst").join(degrees.select("rel", F.col("node").alias("dst"), F.col("deg").alias("size")), ["rel", "dst"]).join(looped, ["rel", "dst"], "left")
+    sized = sized.join(degrees.select("rel", F.col("node").alias("src"), F.col("deg").alias("above")), ["rel", "src"])
+    sized = written(sized.select("rel", F.col("src").alias("receiver"), F.col("dst").alias("sender"), "size", (F.col("size") + 1 - F.coalesce("looped", F.lit(0)) > F.col("above")).alias("more")), "sized")
+    found = sized.where("more").select("rel").distinct()
+    return found.union(searched(sized.join(found, "rel", "left_anti"), e.join(found, "rel", "left_anti"), "open"))
+
+
+def closed_hops(e: DataFrame) -> DataFrame:
+    """rel of the types with edges a-b, b-c (two different ones) and an edge a-c, which may be one of them.
+
+    A loop does that with a second loop or any other edge at its node; without
+    loops, it is an edge a-b whose ends have a common target. The end with
+    fewer targets sends them.
+    """
+    at = loops(e).select("rel", F.col("src").alias("node"), "m")
+    ends = e.where("src <> dst").select("rel", F.explode(F.array("src", "dst")).alias("node"))
+    found = written(at.where("m > 1").select("rel").union(at.join(ends, ["rel", "node"], "left_semi").select("rel")).distinct(), "found")
+    rest = e.where("src <> dst").select("rel", "src", "dst").join(F.broadcast(found), "rel", "left_anti")
+    degrees = out_degrees(rest)
+    sized = rest.join(degrees.select("rel", F.col("node").alias("src"), F.col("deg").alias("above")), ["rel", "src"]).join(degrees.select("rel", F.col("node").alias("dst"), F.col("deg").alias("below")), ["rel", "dst"])
+    # With one target, b, an end a has none in common with b, as there are no loops.
+    up = F.col("above") < F.col("below")
+    either = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b))
+    sized = written(sized.where("above > 1").select("rel", either("src", "dst").alias("sender"), either("dst", "src").alias("receiver"), F.least("above", "below").alias("size")), "sized")
+    return found.union(searched(sized, rest, "closed"))
 
 
 def irreflexive_part(e: DataFrame) -> DataFrame:
@@ -61,39 +134,56 @@ def irreflexive_part(e: DataFrame) -> DataFrame:
     return nodes.join(loops(e).select("rel", F.col("src").alias("n")), ["rel", "n"], "left_anti")
 
 
-def contracted(e: DataFrame, turn: int) -> DataFrame:
-    """Edges in which some nodes with one edge in and one out have given way to an edge past them.
+def trimmed(e: DataFrame) -> DataFrame:
+    """Edges but for those out of sources and into sinks."""
+    e = e.join(e.select("rel", F.col("dst").alias("src")).distinct(), ["rel", "src"], "left_semi")
+    return e.join(e.select("rel", F.col("src").alias("dst")).distinct(), ["rel", "dst"], "left_semi")
 
-    A node goes if its coin is up and those of its neighbours are down, so an
-    eighth of every chain goes at a time, and a lone cycle ends as a loop.
-    """
-    into = e.groupBy("rel", F.col("dst").alias("b")).agg(F.count("*").alias("i"), F.min("src").alias("a"))
-    out = e.groupBy("rel", F.col("src").alias("b")).agg(F.count("*").alias("o"), F.min("dst").alias("c"))
-    coin = lambda x: F.xxhash64("rel", x, F.lit(turn)) % 2 != 0
-    gone = into.join(out, ["rel", "b"]).where("i = 1 and o = 1 and a <> b").where(coin("b") & ~coin("a") & ~coin("c")).select("rel", "a", "b", "c")
-    left = e.join(gone.select("rel", F.col("b").alias("src")), ["rel", "src"], "left_anti").join(gone.select("rel", F.col("b").alias("dst")), ["rel", "dst"], "left_anti")
-    return left.select("rel", "src", "dst").union(gone.select("rel", "a", "c")).distinct()
 
+def eliminated(e: DataFrame, turn: int) -> DataFrame:
+    """Edges in which some nodes have given way to edges past them.
 
-def acyclic_part(e: DataFrame) -> DataFrame:
-    """What is left of the edges when chains are contracted and sources and sinks trimmed again and again: cycles, and what lies between them.
-
-    Each turn is written to the shared checkpoint folder.
+    A node may go if its edges past it are at most twice as many as those it
+    has, and goes if its draw of this turn is the smallest among the neighbours
+    that may: no two neighbours go at once.
+    """
+    into = e.groupBy("rel", F.col("dst").alias("v")).agg(F.count("*").alias("i"))
+    out = e.groupBy("rel", F.col("src").alias("v")).agg(F.count("*").alias("o"))
+    draw = F.struct(F.xxhash64("rel", "v", F.lit(turn)).alias("x"), "v")
+    able = into.join(out, ["rel", "v"]).where("i * o <= 2 * (i + o)").select("rel", "v", draw.alias("draw"))
+    ends = e.select("rel", F.col("src").alias("v"), F.col("dst").alias("w")).union(e.select("rel", "dst", "src"))
+    least = ends.join(able.select("rel", F.col("v").alias("w"), F.col("draw").alias("other")), ["rel", "w"]).groupBy("rel", "v").agg(F.min("other").alias("other"))
+    gone = able.join(least, ["rel", "v"], "left").where("other is null or draw < other").select("rel", "v")
+    past = e.join(gone.withColumnRenamed("v", "dst"), ["rel", "dst"]).select("rel", F.col("src").alias("a"), F.col("dst").alias("v"))
+    past = past.join(e.join(gone.withColumnRenamed("v", "src"), ["rel", "src"]).select("rel", F.col("src").alias("v"), F.col("dst").alias("c")), ["rel", "v"]).select("rel", "a", "c")
+    left = e.join(gone.withColumnRenamed("v", "src"), ["rel", "src"], "left_anti").join(gone.withColumnRenamed("v", "dst"), ["rel", "dst"], "left_anti")
+    return left.select("rel", "src", "dst").union(past).distinct()
+
+
+def cyclic(e: DataFrame) -> DataFrame:
+    """rel of the types with a cycle.
+
+    Each turn trims sources and sinks and eliminates nodes, both of which keep
+    cycles as they are; long narrow parts shrink by a share a turn. A loop
+    shows a cycle, and so does a type from which nothing can be trimmed; its
+    edges go at once. Turns are written to the shared folder.
     """
-    checkpoint_dir(e.sparkSession)
-    left, turn = e.select("rel", "src", "dst").checkpoint(), 0
-    n = left.count()
-    while n:
-        left = contracted(left, turn).checkpoint()
-        before = left.count()
-        for _ in range(2):
-            left = left.join(left.select("rel", F.col("dst").alias("src")).distinct(), ["rel", "src"], "left_semi")
-            left = left.join(left.select("rel", F.col("src").alias("dst")).distinct(), ["rel", "dst"], "left_semi")
-        left = left.select("rel", "src", "dst").checkpoint()
-        n, turn = left.count(), turn + 1
-        if n == before:
-            break
-    return left
+    left, turn, found = written(e.select("rel", "src", "dst").distinct(), "left"), 0, e.select("rel").where("false")
+    while True:
+        cut = written(trimmed(left), "cut")
+        # A row a relation type.
+        sizes = left.groupBy("rel").agg(F.count("*").alias("before"), F.count_if(F.col("src") == F.col("dst")).alias("loops")).join(cut.groupBy("rel").agg(F.count("*").alias("after")), "rel")
+        now = written(sizes.select("rel", ((F.col("loops") > 0) | (F.col("before") == F.col("after"))).alias("cyclic")), "types")
+        n, cycles = now.agg(F.count("*"), F.count_if("cyclic")).first()
+        if cycles:
+            found = found.union(now.where("cyclic").select("rel"))
+            rest = cut.join(F.broadcast(now.where("cyclic")), "rel", "left_anti")
+        drop_written(left)
+        if n == cycles:
+            drop_written(cut)
+            return found
+        left, turn = written(eliminated(rest if cycles else cut, turn), "left"), turn + 1
+        drop_written(cut)
 
 
 def _violations(e: DataFrame, tag: str) -> DataFrame:
@@ -103,7 +193,7 @@ def _violations(e: DataFrame, tag: str) -> DataFrame:
     if tag == "SYM":
         return e.join(back, ["rel", "src", "dst"], "left_anti")
     if tag == "TRA":
-        return closable(e).join(renamed(e, "a", "c"), ["rel", "a", "c"], "left_anti")
+        return open_hops(e)
     if tag == "IRF":
         return loops(e)
     if tag == "ASM":
@@ -111,27 +201,36 @@ def _violations(e: DataFrame, tag: str) -> DataFrame:
     if tag == "ANS":
         return e.where("src < dst").join(back, ["rel", "src", "dst"], "left_semi")
     if tag == "ACC":
-        return acyclic_part(e)
+        return cyclic(e)
     if tag == "ITR":
-        return closable(e).join(renamed(e, "a", "c"), ["rel", "a", "c"], "left_anti")
-    return hops(e).join(renamed(e, "a", "c"), ["rel", "a", "c"], "left_semi")
+        return open_hops(e)
+    return closed_hops(e)
 
 
-def validate(edges: DataFrame, tag: str) -> DataFrame:
-    """relation and holds. ITR holds when a two-hop without closing edge exists; the others when no counterexample does."""
-    e = tagged(edges, tag)
+def check(e: DataFrame, tag: str) -> DataFrame:
+    """relation and holds, from the tagged edges. ITR holds when a two-hop without closing edge exists; the others when no counterexample does."""
     found = _violations(e, tag).select("rel").distinct().withColumn("found", F.lit(True))
     rows = e.select("rel").distinct().join(found, "rel", "left")
     holds = F.coalesce("found", F.lit(False))
     return rows.select(F.col("rel").alias("relation"), (holds if tag == "ITR" else ~holds).alias("holds"))
 
 
+def validate(edges: DataFrame, tag: str) -> DataFrame:
+    """relation and holds. The tagged edges are made once, and go when the result, a row a type, is there."""
+    e = written(tagged(edges, tag), "tagged")
+    out = written(check(e, tag), "validated")
+    drop_written(e)
+    return out
+
+
 def validate_all(edges: DataFrame) -> DataFrame:
-    """relation, property, holds."""
-    parts = [validate(edges, tag).select("relation", F.lit(tag).alias("property"), "holds") for tag in PROPERTIES]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
+    """relation, property, holds. Edges are read once, a row a tag, and kept apart by tag."""
+    tags = F.array_distinct(F.array_intersect("brc", F.array(*[F.lit(t) for t in PROPERTIES])))
+    rows = edges.select("rel", "src", "dst", F.explode(tags).alias("tag")).groupBy("tag", "rel", "src", "dst").agg(F.count("*").alias("m"))
+    e = written(rows, "tagged", "tag")
+    parts = [check(e.where(F.col("tag") == tag).drop("tag"), tag).select("relation", F.lit(tag).alias("property"), "holds") for tag in PROPERTIES]
+    out = written(reduce(DataFrame.union, parts), "validated")
+    drop_written(e)
     return out
 
 

@@ -3,6 +3,7 @@
 import csv
 import lzma
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,15 +126,64 @@ def test_validators(spark):
     assert got["tagged"] == {"SYM": False} and "untagged" not in got
 
 
-def test_long_chains_and_hubs(spark, monkeypatch):
-    chain = spark.range(300).select(F.lit("chain").alias("rel"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+def held(edges, tag):
+    return {r.relation: r.holds for r in validate.validate(edges.select("*", F.array(*[F.lit(x) for x in validate.PROPERTIES]).alias("brc")), tag).collect()}
+
+
+def by_hand(edges):
+    """Which types have an open two-hop, a closed one, and a cycle, from (rel, src, dst) rows."""
+    want = {}
+    for rel in {e[0] for e in edges}:
+        own = [e[1:] for e in edges if e[0] == rel]
+        have, targets = set(own), {}
+        for a, b in own:
+            targets.setdefault(a, []).append(b)
+        hops = [(a, c) for i, (a, b) in enumerate(own) for j, (x, c) in enumerate(own) if i != j and b == x]
+        left = have
+        while True:
+            less = {(a, b) for a, b in left if any(y == a for _, y in left) and any(x == b for x, _ in left)}
+            if less == left:
+                break
+            left = less
+        want[rel] = (any(h not in have for h in hops), any(h in have for h in hops), bool(left))
+    return want
+
+
+@pytest.mark.parametrize("size", [(16, 2_000_000), (1, 0)])
+def test_hops_and_cycles_against_all_pairs(spark, monkeypatch, size):
+    words, probed = size
+    monkeypatch.setattr(validate, "WORDS", words)
+    monkeypatch.setattr(validate, "PROBED", probed)
+    monkeypatch.setattr(validate, "TARGETS", 4 if words == 1 else 512)
+    random.seed(words)
+    edges = []
+    for g in range(60):
+        n, m = random.randrange(2, 9), random.randrange(1, 14)
+        edges += [(f"r{g}", random.randrange(n), random.randrange(n)) for _ in range(m)]
+    order = [(a, b) for a in range(90) for b in range(a + 1, 90)]
+    edges += [("order", *x) for x in order] + [("gap", *x) for x in order if x != (3, 80)] + [("bipartite", a, 100 + b) for a in range(40) for b in range(40)] + [("bipartite", 100, 200)]
+    want = by_hand([e for e in edges if e[0] not in ("order", "gap", "bipartite")]) | {"order": (False, True, False), "gap": (True, True, False), "bipartite": (True, False, False)}
+    df = spark.createDataFrame(edges, "rel string, src long, dst long")
+    tra, ant = held(df, "TRA"), held(df, "ANT")
+    assert {g: (not tra[g], not ant[g]) for g in want} == {g: w[:2] for g, w in want.items()}
+    if probed:  # cycles don't depend on the sizes of blocks
+        itr, acc = held(df, "ITR"), held(df, "ACC")
+        assert {g: (itr[g], not acc[g]) for g in want} == {g: (w[0], w[2]) for g, w in want.items()}
+
+
+def test_long_ladders_and_hubs(spark):
+    """Long narrow graphs end in tens of turns, and a hub's two-hops are never made."""
+    n = 1000
+    rungs = spark.range(n).select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])).alias("x"), "id")
+    step = lambda name, last: rungs.select(F.lit(name).alias("rel"), (2 * F.col("id") + F.col("x.a")).alias("src"), (last + F.col("x.b")).alias("dst"))
+    ladder = step("ladder", 2 * F.col("id") + 2)
+    round_ = step("round", (2 * F.col("id") + 2) % (2 * n))
+    chain = spark.range(300).select(F.lit("chain"), "id", F.col("id") + 1)
     ring = spark.range(100).select(F.lit("ring"), "id", (F.col("id") + 1) % 100)
-    tags = F.array(*[F.lit(x) for x in validate.PROPERTIES]).alias("brc")
-    got = {r.relation: r.holds for r in validate.validate(chain.union(ring).select("*", tags), "ACC").collect()}
-    assert got == {"chain": True, "ring": False}
-    monkeypatch.setattr(validate, "HUB", 5)
-    hub = spark.range(40).select(F.lit("hub").alias("rel"), F.col("id").alias("src"), F.lit(100).cast("long").alias("dst"), F.lit(1).alias("m")).union(spark.range(30).select(F.lit("hub"), F.lit(100).cast("long"), F.col("id") + 200, F.lit(1)))
-    assert validate.hops(hub).distinct().count() == 1200
+    assert held(ladder.union(round_).union(chain).union(ring), "ACC") == {"ladder": True, "round": False, "chain": True, "ring": False}
+    hub = spark.range(100_000).select(F.lit("hub").alias("rel"), "id", F.lit(-1).cast("long")).union(spark.range(100_000).select(F.lit("hub"), F.lit(-1).cast("long"), F.col("id") + 200_000)).toDF("rel", "src", "dst")
+    closed = hub.union(spark.createDataFrame([("closed", 1, -1), ("closed", 1, 2), ("closed", -1, 2)], "rel string, src long, dst long"))
+    assert held(hub, "TRA") == {"hub": False} and held(closed, "ANT") == {"hub": True, "closed": False}
 
 
 def test_property_sets(spark):
