@@ -7,7 +7,7 @@ import csv
 import sys
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from relsight.functions.iri import DEFAULT_PREFIXES
@@ -43,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
     edges.add_argument("--nodes-glob")
     edges.add_argument("--interesting", default="")
     edges.add_argument("--interesting-scope", choices=["subset", "any"], default="subset")
-    edges.add_argument("--multi-line", action="store_true", help="fields may hold line breaks; a file is then one task")
+    edges.add_argument("--multi-line", action="store_true", help="fields may hold line breaks")
     make = tools.add_parser("generate")
     for name, n in (("periods", 10), ("places", 10), ("objects", 15), ("spacetime", 10), ("seed", 0)):
         make.add_argument(f"--{name}", type=int, default=n)
@@ -57,11 +57,11 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def diagnose(lines: DataFrame, triples: DataFrame, alias: DataFrame | None) -> None:
-    """Skipped lines, and chosen predicates that nothing matches, on stderr."""
-    bad = readers.count_bad_lines(lines).first().bad_lines
-    if bad:
-        print(f"skipped {bad} lines that are no triples", file=sys.stderr)
+def diagnose(seen: Observation, what: str, triples: DataFrame | None = None, alias: DataFrame | None = None) -> None:
+    """Skipped rows, counted as the reports read them, and chosen predicates that nothing matches, on stderr."""
+    skipped = seen.get["skipped"]
+    if skipped:
+        print(f"skipped {skipped} {what}", file=sys.stderr)
     if alias is not None:
         report = interesting.match_report(triples, alias)
         n, matched = report.agg(F.count("*"), F.count_if("matched")).first()
@@ -73,20 +73,21 @@ def diagnose(lines: DataFrame, triples: DataFrame, alias: DataFrame | None) -> N
 def run(spark: SparkSession, argv: Sequence[str]) -> None:
     a = parser().parse_args(argv)
     common = lambda: {"topk": a.topk, "max_preds_per_subject": a.max_preds_per_subject, "min_support": a.min_support, "min_conf": a.min_conf}
+    seen = Observation()
     if a.tool == "rdf":
-        lines = readers.text_lines(spark, a.input)
-        triples, alias = readers.triples(lines), None
+        triples, alias = readers.triples(readers.text_lines(spark, a.input), seen), None
         if a.predicates_file:
             prefixes = readers.read_prefixes(a.prefixes, DEFAULT_PREFIXES) if a.prefixes else DEFAULT_PREFIXES
             alias = interesting.aliases(readers.read_predicates(spark.read.text(a.predicates_file), prefixes))
-        diagnose(lines, triples, alias)
         reports.save_all(reports.profile_rdf(triples, alias, unique_so=a.unique_so, duplicate_excess=a.duplicate_excess, top_values=a.top_values, **common()), a.outdir)
+        diagnose(seen, "lines that are no triples", triples, alias)
         plots = reports.plot_data(triples, alias, a.top, a.topk, a.max_preds_per_subject) if a.plots else {}
     elif a.tool == "edges":
-        t = readers.read_edges(spark, a.edges, a.multi_line)
+        t = readers.read_edges(spark, a.edges, a.multi_line, seen)
         chosen = readers.parse_interesting(a.interesting)
         nodes = readers.read_nodes(spark, readers.matching(spark, a.nodes_glob), a.multi_line) if a.nodes_glob else None
         reports.save_all(reports.profile_edges(t, nodes, chosen, a.interesting_scope, **common()), a.outdir)
+        diagnose(seen, "rows with an empty field")
         plots = reports.plot_data(t.where(F.col("p").isin(chosen)) if chosen and a.interesting_scope == "subset" else t, None, a.top, a.topk, a.max_preds_per_subject) if a.plots else {}
     elif a.tool == "generate":
         reports.save_ntriples(heritage_graph(spark, a.periods, a.places, a.objects, a.spacetime, a.density, a.seed, a.locale), a.output)

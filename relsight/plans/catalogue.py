@@ -8,14 +8,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relsight.functions import iri
 from relsight.operators import interesting, logic, metrics, stats, validate
+from relsight.operators.shared import delete, shared_dir, written
 from relsight.plans.views import BRC, EDGES, LINES, NODES, view
 from relsight.sinks import reports
 from relsight.sources import generator, readers
+from relsight.sources.xz import write_xz
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -189,20 +192,68 @@ _profile("3_predicate_cooccurrence", "subset", ["LIVES_IN", "ORDER_P", "ORDER_O"
 
 
 def _through(name: str, sql: str, save: Callable[[DataFrame, str], None], load: Callable[[SparkSession, str], DataFrame], oracle: str) -> None:
-    """A query that writes a view's rows as files of a format and reads those."""
+    """A query that writes a view's rows as files of a format into the shared folder and reads those; the files go when the result, itself a table there, is made."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{root.rstrip('/')}/relsight/{name}-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/relsight/{name}-{uuid.uuid4().hex}"
         save(view(spark, sf_dir, sql), path)
-        return rounded(load(spark, path))
+        out = written(rounded(load(spark, path)), name)
+        delete(spark, path)
+        return out
 
     QUERIES[name], ORACLES[name] = run, oracle
 
 
-_through("edges_csv_gz", EDGES, lambda e, path: e.select(F.col("s").alias("node_id_start"), F.col("o").alias("node_id_end"), F.col("p").alias("rel_type"), F.lit("x").alias("extra")).write.csv(path, header=True, escape='"', compression="gzip"), lambda spark, path: readers.read_edges(spark, path).drop("edge_id"), f"{E} select trim(s) as s, trim(p) as p, trim(o) as o from e where trim(o) <> ''")
-_through("nodes_csv", NODES, lambda n, path: n.select("node_id", F.when(F.col("category") != "AAA", F.col("category")).alias("type")).write.csv(f"{path}/nodes-vip.csv", header=True), lambda spark, path: readers.read_nodes(spark, readers.matching(spark, f"{path}/nodes-*.csv")), f"select node_id, case when category = 'AAA' then 'vip' else category end as category from ({NODES})")
+def _edge_rows(e: DataFrame) -> DataFrame:
+    return e.select(F.col("s").alias("node_id_start"), F.col("o").alias("node_id_end"), F.col("p").alias("rel_type"), F.lit("x").alias("extra"))
+
+
+def _as_lines(df: DataFrame) -> DataFrame:
+    """CSV lines of a table, a header first in each partition."""
+    rows = df.select(F.to_csv(F.struct(*df.columns), {"escape": '"', "quoteAll": "true"}).alias("value"))
+    head = ",".join(df.columns)
+
+    def headed(batches):
+        yield pa.record_batch([pa.array([head])], names=["value"])
+        yield from batches
+
+    return rows.mapInArrow(headed, "value string")
+
+
+def _noted(e: DataFrame) -> DataFrame:
+    """Edge rows whose ends have line breaks, quotes and commas."""
+    broken = lambda c: F.when(F.length(c) % 3 == 0, F.concat(c, F.lit('\n"a", b\n'), c)).otherwise(F.col(c))
+    return e.select(broken("s").alias("node_id_start"), broken("o").alias("node_id_end"), F.col("p").alias("rel_type"))
+
+
+def _parted(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of edge CSVs with line breaks in fields, read by splits far smaller than a file."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "256k")
+    try:
+        return written(readers.read_edges(spark, path, True).drop("edge_id"), "parted")
+    finally:
+        spark.conf.set(name, before)
+
+
+def _node_files(n: DataFrame, path: str) -> None:
+    """Node files of two kinds of headers, plain and packed."""
+    kind = F.when(F.col("category") != "AAA", F.col("category"))
+    n.select("node_id", kind.alias("type")).write.csv(f"{path}/nodes-vip.csv", header=True)
+    n.where("node_id like 'part/%'").select(F.lit(1).alias("x"), F.concat(F.lit(" "), F.lower(kind)).alias("type"), F.lit("a,\"b").alias("y"), "node_id").write.csv(f"{path}/nodes-parts.csv", header=True, escape='"', compression="gzip")
+    n.where("node_id like 'nation/%'").select("node_id").write.csv(f"{path}/nodes-land.csv", header=True, compression="bzip2")
+
+
+_TRIMMED = f"{E} select trim(s) as s, trim(p) as p, trim(o) as o from e where trim(o) <> ''"
+_through("edges_csv_gz", EDGES, lambda e, path: _edge_rows(e).write.csv(path, header=True, escape='"', compression="gzip"), lambda spark, path: readers.read_edges(spark, path).drop("edge_id"), _TRIMMED)
+_through("edges_csv_xz", EDGES, lambda e, path: write_xz(_as_lines(_edge_rows(e)), path, 1 << 18), lambda spark, path: readers.read_edges(spark, f"{path}/*.xz").drop("edge_id"), _TRIMMED)
+_BROKEN = lambda c: f"trim(case when length({c}) % 3 = 0 then {c} || chr(10) || '\"a\", b' || chr(10) || {c} else {c} end)"
+_through("edges_csv_line_breaks", EDGES, lambda e, path: _noted(e).write.csv(path, header=True, escape='"'), _parted, f"{E} select {_BROKEN('s')} as s, trim(p) as p, {_BROKEN('o')} as o from e where trim(o) <> ''")
+_through("nodes_csv", NODES, _node_files, lambda spark, path: readers.read_nodes(spark, readers.matching(spark, f"{path}/nodes-*.csv")), f"""with n as ({NODES}) select node_id, case when category = 'AAA' then 'vip' else category end as category from n
+union all select node_id, coalesce(lower(nullif(category, 'AAA')), 'parts') from n where node_id like 'part/%' union all select node_id, 'land' from n where node_id like 'nation/%'""")
 _through("ntriples_bz2", LINES, lambda v, path: v.write.text(path, compression="bzip2"), readers.read_ntriples, f"{L} select s, p, o from t")
+_through("ntriples_xz", LINES, lambda v, path: write_xz(v, path, 1 << 18), lambda spark, path: readers.read_ntriples(spark, f"{path}/*.xz"), f"{L} select s, p, o from t")
 
 
 def _generated_sql(n: int, density: float, seed: int) -> str:

@@ -3,49 +3,22 @@
 from __future__ import annotations
 
 import json
-import lzma
 import warnings
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from relsight.functions.iri import NT_LINE, canonical, strip
+from relsight.sources import tables
+from relsight.sources.tables import matching
+from relsight.sources.xz import read_xz
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of plain, gz, bz2, xz or lzma text (``value``)."""
     if not path.lower().endswith((".xz", ".lzma")):
         return spark.read.text(path)
-
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                for lines in decompressed_lines(content.as_py()):
-                    yield pa.record_batch([pa.array(lines, pa.string())], names=["value"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(opened, "value string")
-
-
-def decompressed_lines(data: bytes, step: int = 1 << 20) -> Iterator[list[str]]:
-    """The lines of xz or lzma data, of one or several streams, a piece at a time."""
-    view, at, rest = memoryview(data), 0, b""
-    unpack = lzma.LZMADecompressor()
-    while at < len(view) or not unpack.needs_input:
-        fed = view[at : at + step] if unpack.needs_input else b""
-        at += len(fed)
-        rest += unpack.decompress(fed, max_length=4 * step)
-        *whole, rest = rest.replace(b"\r\n", b"\n").split(b"\n") if not rest.endswith(b"\r") else [rest]
-        if whole:
-            yield [y for x in whole for y in x.decode("utf-8", "replace").split("\r")]
-        if unpack.eof:
-            left = unpack.unused_data + bytes(view[at:])
-            view, at, unpack = memoryview(left.lstrip(b"\0")), 0, lzma.LZMADecompressor()
-            if not view:
-                break
-    if rest:
-        yield rest.decode("utf-8", "replace").removesuffix("\r").split("\r")
+    return read_xz(spark, matching(spark, path)).select("value")
 
 
 def parse_interesting(given: str) -> list[str]:
@@ -53,22 +26,20 @@ def parse_interesting(given: str) -> list[str]:
     return [x.strip() for x in given.split(",") if x.strip()]
 
 
-def matching(spark: SparkSession, pattern: str) -> list[str]:
-    """The paths that a glob names, through Hadoop's file systems."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
-    return sorted(f.getPath().toString() for f in found or [])
-
-
 def parse_lines(lines: DataFrame) -> DataFrame:
     """s, p, o and bad (a line that is no triple) of lines that aren't empty and don't begin with #."""
     v = F.col("value")
     rows = lines.where((v != "") & ~v.startswith("#"))
-    return rows.select(*[F.regexp_extract(v, NT_LINE, i).alias(n) for i, n in enumerate("spo", 1)], (~v.rlike(NT_LINE)).alias("bad"))
+    return rows.select(*[F.regexp_extract(v, NT_LINE, i).alias(n) for i, n in enumerate("spo", 1)]).withColumn("bad", F.col("p") == "")
+
+
+def triples(lines: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """s, p, o; ``seen`` counts the lines that are none (``skipped``) as the first action reads them."""
+    return observed(parse_lines(lines), seen, "bad").where(~F.col("bad")).drop("bad")
 
 
-def triples(lines: DataFrame) -> DataFrame:
-    return parse_lines(lines).where(~F.col("bad")).drop("bad")
+def observed(rows: DataFrame, seen: Observation | None, bad: str) -> DataFrame:
+    return rows.observe(seen, F.count_if(F.col(bad)).alias("skipped"), F.count("*").alias("rows")) if seen is not None else rows
 
 
 def count_bad_lines(lines: DataFrame) -> DataFrame:
@@ -79,39 +50,35 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return triples(text_lines(spark, path))
 
 
-def _csv(spark: SparkSession, path: str, required: list[str], multi_line: bool) -> DataFrame:
-    rows = spark.read.options(header=True, escape='"', multiLine=multi_line, inferSchema=False).csv(path)
-    if missing := set(required) - set(rows.columns):
-        raise ValueError(f"{path} has no column {', '.join(sorted(missing))}")
-    return rows
+EDGE_FIELDS = {"s": "node_id_start", "p": "rel_type", "o": "node_id_end"}
 
 
-def read_edges(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """edge_id, s, p, o of an edge CSV; rows with an empty field are dropped. With line breaks in fields a file is one task."""
-    rows = _csv(spark, path, ["node_id_start", "node_id_end", "rel_type"], multi_line)
-    return clean_edges(rows.select(F.col("node_id_start").alias("s"), F.col("rel_type").alias("p"), F.col("node_id_end").alias("o")))
+def read_edges(spark: SparkSession, path: str, multi_line: bool = False, seen: Observation | None = None) -> DataFrame:
+    """edge_id, s, p, o of edge CSVs; rows with an empty field are dropped, and counted by ``seen``. With ``multi_line``, fields may hold line breaks."""
+    rows, problems = tables.read_fields(spark, matching(spark, path), list(EDGE_FIELDS.values()), [], multi_line)
+    for where, problem in problems.items():
+        raise ValueError(f"{where} {problem}")
+    return clean_edges(rows.select(*[F.col(c).alias(n) for n, c in EDGE_FIELDS.items()]), seen)
 
 
-def clean_edges(rows: DataFrame) -> DataFrame:
+def clean_edges(rows: DataFrame, seen: Observation | None = None) -> DataFrame:
     rows = rows.select(*[strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("s", "p", "o")])
-    return rows.where("s <> '' and p <> '' and o <> ''").select(F.monotonically_increasing_id().alias("edge_id"), "s", "p", "o")
+    rows = observed(rows.withColumn("bad", F.expr("s = '' or p = '' or o = ''")), seen, "bad")
+    return rows.where(~F.col("bad")).select(F.monotonically_increasing_id().alias("edge_id"), "s", "p", "o")
 
 
 def read_nodes(spark: SparkSession, paths: list[str], multi_line: bool = False) -> DataFrame:
-    """node_id and category (type, or else from the file name) of node CSVs; unreadable files are skipped with a warning."""
-    found = spark.createDataFrame([], "node_id string, category string")
-    for path in sorted(paths):
-        try:
-            rows = _csv(spark, path, ["node_id"], multi_line)
-        except Exception as problem:
-            warnings.warn(f"skipped {path}: {problem}", stacklevel=2)
-            continue
-        kind = strip(F.coalesce(F.col("type"), F.lit(""))) if "type" in rows.columns else F.lit("")
-        name = path.rstrip("/").rsplit("/", 1)[-1]
-        stem = name[len("nodes-") : -len(".csv")] if name.startswith("nodes-") and name.endswith(".csv") else name.rsplit(".", 1)[0]
-        node = strip(F.coalesce(F.col("node_id"), F.lit("")))
-        found = found.union(rows.select(node.alias("node_id"), F.when(kind != "", kind).otherwise(F.lit(stem)).alias("category")).where("node_id <> ''"))
-    return found
+    """node_id and category (type, or else from the file name) of node CSVs, all in one scan; unreadable files are left out whole, with a warning."""
+    broken = tables.broken(spark, paths)
+    rows, problems = tables.read_fields(spark, sorted(set(paths) - set(broken)), ["node_id"], ["type"], multi_line)
+    for path, problem in sorted((broken | problems).items()):
+        warnings.warn(f"skipped {path}: {problem}", stacklevel=2)
+    # A folder of Spark's part files is one file by its own name.
+    name = F.substring_index(F.regexp_replace("file", "/part-[^/]*$", ""), "/", -1)
+    # nodes-X.csv gives X, other names lose what follows their last dot.
+    stem = F.when(name.startswith("nodes-") & name.endswith(".csv"), F.regexp_replace(name, r"^nodes-|\.csv$", "")).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))
+    kind, node = (strip(F.coalesce(c, F.lit(""))) for c in ("type", "node_id"))
+    return rows.select(node.alias("node_id"), F.when(kind != "", kind).otherwise(stem).alias("category")).where("node_id <> ''")
 
 
 def read_prefixes(path: str, defaults: dict[str, str]) -> dict[str, str]:
