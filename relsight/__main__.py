@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from relsight.functions import iri
 from relsight.functions.iri import DEFAULT_PREFIXES
 from relsight.operators import interesting, logic, validate
 from relsight.sinks import reports
@@ -30,6 +31,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--min-support", type=float, default=0.01)
         p.add_argument("--min-conf", type=float, default=0.5)
         p.add_argument("--plots", action="store_true", help="write what the plots show, as CSV")
+        p.add_argument("--plots-dpi", type=int, default=150, help="taken, but plots are data here, not images")
+        for unused in ("--tmpdir", "--chunk-lines"):
+            p.add_argument(unused, help="taken, but Spark sorts and spills by itself")
         p.add_argument("--plots-topN", dest="top", type=int, default=30)
         return p
 
@@ -39,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     rdf.add_argument("--predicates-file")
     rdf.add_argument("--top-values", type=int, default=50)
     rdf.add_argument("--prefixes")
+    rdf.add_argument("--plots-curie-labels", action="store_true", help="labels of plots are CURIEs where a prefix fits")
     edges = profile("edges", "--edges")
     edges.add_argument("--nodes-glob")
     edges.add_argument("--interesting", default="")
@@ -76,12 +81,12 @@ def run(spark: SparkSession, argv: Sequence[str]) -> None:
     seen = Observation()
     if a.tool == "rdf":
         triples, alias = readers.triples(readers.text_lines(spark, a.input), seen), None
+        prefixes = readers.read_prefixes(a.prefixes, DEFAULT_PREFIXES) if a.prefixes else DEFAULT_PREFIXES
         if a.predicates_file:
-            prefixes = readers.read_prefixes(a.prefixes, DEFAULT_PREFIXES) if a.prefixes else DEFAULT_PREFIXES
             alias = interesting.aliases(readers.read_predicates(spark.read.text(a.predicates_file), prefixes))
         reports.save_all(reports.profile_rdf(triples, alias, unique_so=a.unique_so, duplicate_excess=a.duplicate_excess, top_values=a.top_values, **common()), a.outdir)
         diagnose(seen, "lines that are no triples", triples, alias)
-        plots = reports.plot_data(triples, alias, a.top, a.topk, a.max_preds_per_subject) if a.plots else {}
+        plots = reports.plot_data(triples, alias, a.top, a.topk, a.max_preds_per_subject, lambda c: iri.label(c, prefixes, a.plots_curie_labels)) if a.plots else {}
     elif a.tool == "edges":
         t = readers.read_edges(spark, a.edges, a.multi_line, seen)
         chosen = readers.parse_interesting(a.interesting)

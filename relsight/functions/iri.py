@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,12 +35,20 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def lookup(table: dict[str, str]) -> Callable[[Column], Column]:
+    """What a table of any size has for a text; else null. It is one literal, whose small maps are told apart by checksums."""
+    n = max(1, len(table))
+    maps: list[dict[str, str]] = [{} for _ in range(n)]
+    for key, value in table.items():
+        maps[zlib.crc32(key.encode()) % n][key] = value
+    literal = F.from_json(F.lit(json.dumps(maps)), "array<map<string,string>>")
+    return lambda c: F.try_element_at(F.get(literal, (F.crc32(c) % n).cast("int")), c)
+
+
 def canonical(c: Column, prefixes: dict[str, str] | None = None) -> Column:
     """<...> of a bracketed IRI, a bare IRI or a CURIE of a known prefix; else null."""
     t = strip(c)
-    base = F.lit(None).cast("string")
-    for prefix, iri in (prefixes or DEFAULT_PREFIXES).items():
-        base = F.when(F.regexp_extract(t, CURIE, 1) == prefix, F.lit(iri)).otherwise(base)
+    base = lookup(prefixes or DEFAULT_PREFIXES)(F.regexp_extract(t, CURIE, 1))
     curie = F.concat(F.lit("<"), base, F.regexp_extract(t, CURIE, 2), F.lit(">"))
     return F.when(t.startswith("<") & t.endswith(">"), t).when(t.contains("://"), F.concat(F.lit("<"), t, F.lit(">"))).when(t.rlike(CURIE), curie)
 
@@ -48,11 +60,19 @@ def variants(c: Column) -> Column:
 
 
 def to_curie(c: Column, prefixes: dict[str, str] | None = None) -> Column:
-    """prefix:local by the longest base that fits; else null."""
+    """prefix:local by the longest base that fits; else null.
+
+    Bases are looked up by their texts: one look for each length that bases
+    have, longest first, however many there are.
+    """
     inside = F.substring(c, F.lit(2), F.length(c) - 2)
-    by_length = sorted((prefixes or DEFAULT_PREFIXES).items(), key=lambda x: -len(x[1]))
-    found = F.coalesce(*[F.when(inside.startswith(iri), F.concat(F.lit(f"{prefix}:"), F.substring(inside, F.lit(len(iri) + 1), F.length(inside)))) for prefix, iri in by_length])
-    return F.when(c.startswith("<") & c.endswith(">"), found)
+    bases: dict[str, str] = {}
+    for prefix, iri in (prefixes or DEFAULT_PREFIXES).items():
+        bases.setdefault(iri, prefix)
+    find = lookup(bases)
+    lengths = F.array(*[F.lit(n) for n in sorted({len(x) for x in bases}, reverse=True)])
+    each = F.transform(F.filter(lengths, lambda n: n <= F.length(inside)), lambda n: F.concat(find(F.substring(inside, F.lit(1), n)), F.lit(":"), F.substring(inside, n + 1, F.length(inside))))
+    return F.when(c.startswith("<") & c.endswith(">"), F.get(F.array_compact(each), F.lit(0)))
 
 
 def label(c: Column, prefixes: dict[str, str] | None = None, prefer_curie: bool = True) -> Column:

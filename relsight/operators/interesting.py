@@ -61,8 +61,11 @@ def top_objects(t: DataFrame, alias: DataFrame, n: int = 50) -> DataFrame:
 
 
 def cooccurrence(t: DataFrame, alias: DataFrame, k: int = 200, cap: int = 50) -> DataFrame:
+    return cooccurrence_of(predicate_sets(t, k, cap, alias.select("p")), alias)
+
+
+def cooccurrence_of(sets: DataFrame, alias: DataFrame) -> DataFrame:
     """Pair metrics by display, of pairs with a chosen member; both forms on a subject give a pair with itself."""
-    sets = predicate_sets(t, k, cap, alias.select("p"))
     names = lambda df, c: df.join(alias.select(F.col("p").alias(c), F.col("display").alias(f"{c}_d")), c, "left").withColumn(c, F.coalesce(f"{c}_d", c)).drop(f"{c}_d")
     pairs = names(names(pair_counts(sets), "p_a"), "p_b")
     pairs = pairs.groupBy(F.least("p_a", "p_b").alias("p_a"), F.greatest("p_a", "p_b").alias("p_b")).agg(F.sum("n_ab").alias("n_ab"))
@@ -91,9 +94,12 @@ def missing(report: DataFrame) -> DataFrame:
 
 def heatmap(t: DataFrame, alias: DataFrame, k: int = 200, cap: int = 50, top: int = 30) -> DataFrame:
     """Symmetric pair counts by display among the chosen predicates of the largest support, supports on the diagonal."""
-    sets = predicate_sets(t, k, cap, alias.select("p"))
+    return heatmap_of(predicate_sets(t, k, cap, alias.select("p")), alias, top)
+
+
+def heatmap_of(sets: DataFrame, alias: DataFrame, top: int = 30) -> DataFrame:
     shown = support(sets).join(alias, "p").groupBy("display").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "display").limit(max(1, top))
-    pairs = cooccurrence(t, alias, k, cap).select("p_a", "p_b", "n_ab").where("p_a <> p_b")
+    pairs = cooccurrence_of(sets, alias).select("p_a", "p_b", "n_ab").where("p_a <> p_b")
     for c in ("p_a", "p_b"):
         pairs = pairs.join(shown.select(F.col("display").alias(c)), c, "left_semi")
     return pairs.select("p_a", "p_b", "n_ab").union(pairs.select("p_b", "p_a", "n_ab")).union(shown.select("display", "display", "n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relsight.operators.shared import written
+
 
 def share(count: Column, total: Column) -> Column:
     return F.when(total > 0, count / total).otherwise(0.0)
@@ -71,14 +73,18 @@ def top_predicates(t: DataFrame, k: int) -> DataFrame:
     return t.groupBy("p").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "p").limit(k)
 
 
+def shown(t: DataFrame, k: int, always: DataFrame | None = None) -> DataFrame | None:
+    """p of the top k predicates (0: none) and of ``always``; nothing, which stands for all, where that is none."""
+    if k <= 0 and (always is None or always.isEmpty()):
+        return None
+    top = top_predicates(t, k).select("p") if k > 0 else always.select("p")
+    return top.union(always.select("p")).distinct() if always is not None else top
+
+
 def subject_predicates(t: DataFrame, k: int = 200, cap: int = 50, always: DataFrame | None = None) -> DataFrame:
-    """Distinct (s, p) within the top k predicates (0: all) and each subject's first ``cap`` of them (0: all)."""
-    rows = t.select("s", "p")
-    if k > 0:
-        top = top_predicates(t, k).select("p")
-        top = top.union(always.select("p")).distinct() if always is not None else top
-        rows = rows.join(top, "p", "left_semi")
-    rows = rows.distinct()
+    """Distinct (s, p) within ``shown`` and each subject's first ``cap`` of them (0: all)."""
+    rows, top = t.select("s", "p"), shown(t, k, always)
+    rows = (rows.join(top, "p", "left_semi") if top is not None else rows).distinct()
     if cap > 0:
         rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("p"))).where(F.col("r") <= cap).drop("r")
     return rows.select("s", "p")
@@ -91,17 +97,15 @@ MASKED, BITS = 1024, 63
 def predicate_sets(t: DataFrame, k: int = 200, cap: int = 50, always: DataFrame | None = None) -> DataFrame:
     """ps, n: the distinct sets of predicates that subjects have (also the empty one), and each one's number of subjects.
 
-    Sets are within the top k predicates and ``always`` (k 0: all) and are cut
-    to the first ``cap`` by name (0: whole). Up to MASKED predicates, a
+    Sets are within ``shown`` and are cut to the first ``cap`` by name (0: whole). Up to MASKED predicates, a
     subject's set is bits of a few numbers, so that a subject, however many
     rows it has, is one row of fixed width after the partial aggregation; cuts
-    and names come after equal sets have met.
+    and names come after equal sets have met. The sets, from which all else
+    about pairs follows, are written to the shared folder.
     """
-    most = k + (always.count() if always is not None else 0)
-    if k <= 0 or most > MASKED:
-        return sets_of(subject_predicates(t, k, cap, always), t)
-    top = top_predicates(t, k).select("p")
-    top = top.union(always.select("p")).distinct() if always is not None else top
+    most, top = max(k, 0) + (always.count() if always is not None else 0), shown(t, k, always)
+    if top is None or most > MASKED:
+        return written(sets_of(subject_predicates(t, k, cap, always), t), "sets")
     # At most ``most`` names; a name's place among them is its bit.
     names = top.agg(F.sort_array(F.collect_list("p")).alias("names"))
     bits = names.select(F.posexplode("names").alias("bit", "p"))
@@ -113,7 +117,7 @@ def predicate_sets(t: DataFrame, k: int = 200, cap: int = 50, always: DataFrame
     has = lambda i: F.call_function("shiftright", F.get(F.array(*[f"w{w}" for w in words]), F.floor(i / BITS).cast("int")), i % BITS).bitwiseAND(F.lit(1)) == 1
     held = F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: has(i))
     held = F.slice(held, 1, cap) if cap > 0 else held
-    return masks.select("n", held.alias("held")).crossJoin(F.broadcast(names)).select(F.transform("held", lambda i: F.get("names", i)).alias("ps"), "n")
+    return written(masks.select("n", held.alias("held")).crossJoin(F.broadcast(names)).select(F.transform("held", lambda i: F.get("names", i)).alias("ps"), "n"), "sets")
 
 
 def sets_of(sp: DataFrame, t: DataFrame | None = None) -> DataFrame:
@@ -155,7 +159,10 @@ def associate(pairs: DataFrame, supports: DataFrame, total: DataFrame) -> DataFr
 
 
 def cooccurrence(t: DataFrame, k: int = 200, cap: int = 50, always: DataFrame | None = None) -> DataFrame:
-    sets = predicate_sets(t, k, cap, always)
+    return cooccurrence_of(predicate_sets(t, k, cap, always))
+
+
+def cooccurrence_of(sets: DataFrame) -> DataFrame:
     return associate(pair_counts(sets), support(sets), subjects(sets))
 
 

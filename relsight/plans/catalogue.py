@@ -71,6 +71,7 @@ for _end, _name in (("s", "subject"), ("o", "object")):
     QUERIES[f"{_name}_category_counts"] = lambda spark, sf_dir, end=_end: rounded(stats.category_counts(view(spark, sf_dir, EDGES), view(spark, sf_dir, NODES), end))
     ORACLES[f"{_name}_category_counts"] = f"{E}, {COUNTS}, m as (select node_id, min(category) as category from ({NODES}) group by 1), k as (select p, category, count(*) as n from e join m on e.{_end} = m.node_id group by 1, 2) select k.p, category, k.n as count, round(k.n / cast(c.n as double), 9) as share from k join c on c.p = k.p"
 query("heatmap_matrix", EDGES, lambda t: stats.heatmap(t, K, CAP), f"{E}, {TOP} select p_a, p_b, n_ab from ab union all select p_b, p_a, n_ab from ab union all select p, p, n from sup")
+query("interesting_heatmap", LINES, lambda v: interesting.heatmap(readers.triples(v), _chosen(v), K, CAP))
 query("count_histogram", EDGES, stats.histogram, f"{E}, {COUNTS}, b as (select min(n) as lo, max(n) as hi from c) select cast(case when hi = lo then 0 else least(floor((c.n - lo) * 10.0 / greatest(hi - lo, 1)), 9) end as int) as bin, count(*) as predicates from c, b group by 1")
 query("top_bar", EDGES, lambda t: stats.top_predicates(t, 30), f"{E} select p, count(*) as count from e group by p order by count(*) desc, p limit 30")
 PAGERANK = f"""{E.replace('with e', 'with recursive e')}, {TOP},
@@ -78,8 +79,9 @@ l as (select p_a as p, p_b as q, cast(n_ab as double) as w from ab union all sel
 g as (select sup.p, count(l.q) as k, coalesce(sum(l.w), 0) as wd, (select count(*) from sup) as size from sup left join l on l.p = sup.p group by sup.p),
 pr as (select 0 as i, p, 1 / cast(size as double) as r from g union all
 select i, p, r from (select pr.i + 1 as i, y.p as p, 0.15 / max(y.size) + 0.85 * (sum(case when x.wd = 0 then pr.r else 0 end) / max(y.size) + coalesce(sum(pr.r * l.w / x.wd), 0)) as r
-from pr join g x on x.p = pr.p cross join g y left join l on l.p = x.p and l.q = y.p where pr.i < 60 group by 1, 2) z)"""
-query("graph_metrics", EDGES, lambda t: metrics.graph_metrics(stats.predicate_sets(t, K, CAP)), PAGERANK + " select g.p as predicate, round(case when size <= 1 then 1 else k / cast(size - 1 as double) end, 9) as deg_centrality, round(wd, 9) as weighted_degree, round(case when exists (select 1 from l) then r else 0 end, 9) as pagerank from g join pr on pr.p = g.p and pr.i = 60")
+from pr join g x on x.p = pr.p cross join g y left join l on l.p = x.p and l.q = y.p where pr.i < 100 group by 1, 2) z),
+mv as (select a.i, sum(abs(a.r - b.r)) as moved from pr a join pr b on b.p = a.p and b.i = a.i - 1 group by a.i), rest as (select coalesce(min(i), 100) as i from mv where moved < 1e-6 * (select count(*) from sup))"""
+query("graph_metrics", EDGES, lambda t: metrics.graph_metrics(stats.predicate_sets(t, K, CAP), metrics.graph_nodes(t, K)), PAGERANK + " select g.p as predicate, round(case when size <= 1 then 1 else k / cast(size - 1 as double) end, 9) as deg_centrality, round(wd, 9) as weighted_degree, round(case when exists (select 1 from l) then r else 0 end, 9) as pagerank from g join pr on pr.p = g.p join rest on rest.i = pr.i")
 
 L = f"with l as ({LINES}), v as (select value from l where value <> '' and value not like '#%'), n as (select regexp_extract(value, '(?s)^\\s*(<[^>]*>|_:[^\\s]+)\\s+(<[^>]*>)\\s+(.*)\\s*\\.\\s*$', ['s', 'p', 'o']) as x from v), t as (select x.s as s, x.p as p, x.o as o from n where x.s <> '')"
 query("nt_parse", LINES, readers.triples, f"{L} select s, p, o from t")
@@ -113,6 +115,7 @@ _TOP = TOP.replace("from e", "from t").replace("distinct s, p from t", "distinct
 ALL = _TOP.replace(f"top as (select p from t group by p order by count(*) desc, p limit {K})", f"top as (select p from (select p from t group by p order by count(*) desc, p limit {K}) union select p from al)")
 NAMED = A + ", " + ALL.replace("sup as (select p, count(*) as n from sp group by p)", "sup as (select coalesce(al.display, sp.p) as p, count(*) as n from sp left join al on al.p = sp.p group by 1)").replace("ab as (select a.p as p_a, b.p as p_b, count(*) as n_ab from sp a join sp b on a.s = b.s and a.p < b.p group by 1, 2)", "ab as (select least(coalesce(x.display, a.p), coalesce(y.display, b.p)) as p_a, greatest(coalesce(x.display, a.p), coalesce(y.display, b.p)) as p_b, count(*) as n_ab from sp a join sp b on a.s = b.s and a.p < b.p left join al x on x.p = a.p left join al y on y.p = b.p group by 1, 2)") + f", z as ({COOC})"
 ORACLES["interesting_cooccurrence"] = NAMED + " select * from z where p_a in (select display from al) or p_b in (select display from al)"
+ORACLES["interesting_heatmap"] = NAMED + ", ch as (select distinct display as p from al join sup on sup.p = al.display), hm as (select * from ab where p_a <> p_b and p_a in (select p from ch) and p_b in (select p from ch)) select p_a, p_b, cast(sum(n_ab) as bigint) as n_ab from (select p_a, p_b, n_ab from hm union all select p_b, p_a, n_ab from hm union all select p, p, n from sup where p in (select p from ch)) q group by 1, 2"
 ORACLES["interesting_rules"] = NAMED + " select p_a, p_b, support_ab, conf_ab, lift_ab, jaccard, pmi from z where support_ab >= 0.01 and conf_ab >= 0.5 and p_a in (select display from al)"
 _DEG = lambda x: f"dg{x} as (select p, {x}, count(*) as d from t group by p, {x}), g{x} as (select al.display, count(*) as u, sum(d) / cast(count(*) as double) as a, sqrt(greatest(sum(cast(d as double) * d) / count(*) - power(sum(d) / cast(count(*) as double), 2), 0)) as sd, min(d) as lo, max(d) as hi, cast(sum(d) as bigint) as n from dg{x} join al on al.p = dg{x}.p group by 1)"
 ORACLES["interesting_summary"] = D.replace(", k as (", f", {_DEG('s')}, {_DEG('o')}, k as (") + """,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ def profile_rdf(triples: DataFrame, alias: DataFrame | None = None, topk: int =
     """Files 1 to 5 of triples, and 8 to 13 of the chosen predicates (``alias``: p, display)."""
     always = alias.select("p") if alias is not None else None
     sets = stats.predicate_sets(triples, topk, max_preds_per_subject, always)
-    pairs = stats.cooccurrence(triples, topk, max_preds_per_subject, always)
+    pairs = stats.cooccurrence_of(sets)
     basic = stats.per_predicate(triples)
     # Pair columns are blank unless asked for, and when predicates are chosen; the second flag fills both.
     wanted = alias is None and (unique_so or duplicate_excess)
@@ -54,10 +55,10 @@ def profile_rdf(triples: DataFrame, alias: DataFrame | None = None, topk: int =
         "2_per_predicate_basic": by(basic, ["predicate", "count", "share", "unique_subjects", "unique_objects", "avg_out_degree_p", "avg_in_degree_p", "pct_subjects_with_p", "unique_s_o_pairs", "duplicate_excess"], "-count", "predicate"),
         "3_predicate_cooccurrence": ranked_pairs(pairs),
         "4_association_rules": ranked_rules(pairs, min_support, min_conf),
-        "5_per_predicate_graph_metrics": by(metrics.graph_metrics(sets, always), ["predicate", "deg_centrality", "weighted_degree", "pagerank"], "predicate"),
+        "5_per_predicate_graph_metrics": by(metrics.graph_metrics(sets, metrics.graph_nodes(triples, topk, always, False)), ["predicate", "deg_centrality", "weighted_degree", "pagerank"], "predicate"),
     }
     if alias is not None:
-        chosen = interesting.cooccurrence(triples, alias, topk, max_preds_per_subject)
+        chosen = interesting.cooccurrence_of(sets, alias)
         ruled = chosen.join(alias.select(F.col("display").alias("p_a")).distinct(), "p_a", "left_semi")
         out |= {
             "8_interesting_predicates_summary": by(interesting.summary(triples, alias), SUMMARY, "predicate"),
@@ -75,7 +76,8 @@ def profile_edges(edges: DataFrame, nodes: DataFrame | None = None, chosen: list
     if scope not in ("subset", "any"):
         raise ValueError("scope is subset or any")
     t = edges.where(F.col("p").isin(chosen)) if chosen and scope == "subset" else edges
-    pairs = stats.cooccurrence(t, topk, max_preds_per_subject)
+    sets = stats.predicate_sets(t, topk, max_preds_per_subject)
+    pairs = stats.cooccurrence_of(sets)
     rel = {"predicate": "rel_type"}
     out = {
         "1_predicate_distribution": by(stats.distribution(t), ["predicate", "count", "share"], "-count", "predicate", **rel),
@@ -83,7 +85,7 @@ def profile_edges(edges: DataFrame, nodes: DataFrame | None = None, chosen: list
         "2_per_predicate_basic": by(stats.per_predicate(t), ["predicate", "count", "share", "unique_subjects", "unique_objects", *DEGREES], "-count", "predicate", **rel),
         "3_predicate_cooccurrence": ranked_pairs(pairs),
         "4_association_rules": ranked_rules(pairs, min_support, min_conf),
-        "5_per_predicate_graph_metrics": by(metrics.graph_metrics(stats.predicate_sets(t, topk, max_preds_per_subject)), ["predicate", "deg_centrality", "weighted_degree", "pagerank"], "predicate", **rel),
+        "5_per_predicate_graph_metrics": by(metrics.graph_metrics(sets, metrics.graph_nodes(t, topk)), ["predicate", "deg_centrality", "weighted_degree", "pagerank"], "predicate", **rel),
     }
     if chosen and scope == "any":
         hit = pairs.where(F.col("p_a").isin(chosen) | F.col("p_b").isin(chosen))
@@ -96,16 +98,19 @@ def profile_edges(edges: DataFrame, nodes: DataFrame | None = None, chosen: list
     return out
 
 
-def plot_data(triples: DataFrame, alias: DataFrame | None = None, top: int = 30, topk: int = 200, cap: int = 50) -> dict[str, DataFrame]:
-    """What the plots show: histogram of counts, top bars, and heat maps as rows."""
+def plot_data(triples: DataFrame, alias: DataFrame | None = None, top: int = 30, topk: int = 200, cap: int = 50, label: Callable[[Column], Column] | None = None) -> dict[str, DataFrame]:
+    """What the plots show: histogram of counts, top bars, and heat maps as rows. ``label`` adds the text that stands for a predicate."""
     top = max(1, top)
     most = stats.top_predicates(triples, top)
     sets = stats.predicate_sets(triples, topk, cap, alias.select("p") if alias is not None else None)
     best = stats.support(sets).orderBy(F.desc("n"), "p").limit(top).select("p")
     out = {"histogram": stats.histogram(triples, None), "top": most, "heatmap": stats.heatmap_of(stats.within(sets, best))}
     if alias is not None:
-        out["interesting_heatmap"] = interesting.heatmap(triples, alias, topk, cap, top)
-    return out
+        out["interesting_heatmap"] = interesting.heatmap_of(sets, alias, top)
+    if label is None:
+        return out
+    names = {"p": "label", "p_a": "label_a", "p_b": "label_b"}
+    return {name: df.select("*", *[label(F.col(c)).alias(names[c]) for c in df.columns if c in names]) for name, df in out.items()}
 
 
 def save(report: Report, folder: str, name: str) -> str:
@@ -114,7 +119,8 @@ def save(report: Report, folder: str, name: str) -> str:
     spark = df.sparkSession
     shown = [c for c in df.columns if not c.startswith("_")]
     parts = f"{folder.rstrip('/')}/.{name}-{uuid.uuid4().hex}"
-    rows = df.coalesce(1).sortWithinPartitions(*order) if order else df.coalesce(1)
+    # What made the rows keeps its tasks; only finished rows meet in one.
+    rows = df.repartition(1).sortWithinPartitions(*order) if order else df.repartition(1)
     rows.select(*[f"`{c}`" for c in shown]).write.csv(parts, header=True, escape='"', emptyValue="", nullValue="")
     jvm = spark._jvm
     source, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.csv")

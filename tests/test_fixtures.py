@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relsight import __main__ as cli
+from relsight.functions import iri
 from relsight.operators import interesting, logic, metrics, stats, validate
 from relsight.sinks import reports
 from relsight.sources import readers
@@ -46,7 +47,16 @@ def test_files_of_triples(spark, triples, tmp_path):
     pairs = out("3_predicate_cooccurrence")
     assert pairs[0][8:] == ["conf(A->B)", "conf(B->A)", "lift(A->B)", "lift(B->A)"] and [r[:2] for r in pairs[1:]] == [[P, Q], [P, PS], [Q, R]]
     assert len(out("4_association_rules")) == 4 and [r[0] for r in out("5_per_predicate_graph_metrics")] == ["predicate", P, Q, R, PS]
-    assert out("plot_top")[0] == ["p", "count"]
+    assert out("plot_top")[:2] == [["p", "count", "label"], [P, "3", "p"]]
+    (tmp_path / "chosen").write_text("e:p\n<http://e/q>\n# no\n")
+    (tmp_path / "prefixes").write_text('{"e": "http://e/"}')
+    cli.run(spark, ["rdf", "--input", str(text), "--outdir", str(tmp_path / "out"), "--plots", "--plots-curie-labels", "--plots-dpi", "99", "--predicates-file", str(tmp_path / "chosen"), "--prefixes", str(tmp_path / "prefixes"), "--topk", "0"])
+    assert out("plot_top")[1] == [P, "3", "e:p"]
+    heat = {tuple(r[:2]): r[2:] for r in out("plot_interesting_heatmap")[1:]}
+    assert heat == {(P, P): ["3", "e:p", "e:p"], (Q, Q): ["2", "e:q", "e:q"], (P, Q): ["1", "e:p", "e:q"], (Q, P): ["1", "e:q", "e:p"]}
+    # Without a top k the graph has the chosen predicates only, and without those it is empty.
+    assert [r[0] for r in out("5_per_predicate_graph_metrics")[1:]] == [P, Q, PS, "<https://e/q>"]
+    assert reports.profile_rdf(triples, topk=0)["5_per_predicate_graph_metrics"][0].count() == 0
     assert not [x for x in os.listdir(tmp_path / "out") if x.startswith(".") and not x.endswith(".crc")]
 
 
@@ -73,6 +83,24 @@ def test_graph_metrics(triples):
         assert got[p].deg_centrality == pytest.approx(deg) and got[p].weighted_degree == wd and got[p].pagerank == pytest.approx(rank, abs=1e-4)
 
 
+def test_nodes_without_pairs(spark):
+    """A top predicate that the cap drops from every set is a node still."""
+    t = spark.createDataFrame([("x", "a", "1"), ("x", "b", "1"), ("y", "a", "1")], "s string, p string, o string")
+    got = {r.predicate: tuple(r)[1:] for r in metrics.graph_metrics(stats.predicate_sets(t, 5, 1), metrics.graph_nodes(t, 5)).collect()}
+    assert got == {"a": (0.0, 0.0, 0.0), "b": (0.0, 0.0, 0.0)}
+    sets = {tuple(r.ps): r.n for r in stats.predicate_sets(t, 1, 5).collect()}
+    many = {tuple(r.ps): r.n for r in stats.predicate_sets(t, 0, 5).collect() if r.n}
+    assert sets == {("a",): 2} and many == {("a", "b"): 1, ("a",): 1}
+
+
+def test_many_prefixes(spark):
+    prefixes = {f"p{i}": f"http://e/{i}/" for i in range(10_000)} | {"q": "http://e/77/x", "again": "http://e/5/"}
+    c = F.col("value")
+    df = spark.createDataFrame([("<http://e/77/xy>",), ("<http://e/9999/é>",), ("<http://e/5/>",), ("<http://f/>",), ("p8:z",), ("none:z",)], "value string")
+    got = [tuple(r) for r in df.select(iri.to_curie(c, prefixes), iri.canonical(c, prefixes), iri.label(c, prefixes)).collect()]
+    assert [r[0] for r in got] == ["q:y", "p9999:é", "p5:", None, None, None] and [r[1] for r in got][4:] == ["<http://e/8/z>", None] and got[3][2] == "f"
+
+
 def test_graph_metrics_by_joins(spark):
     sp = spark.createDataFrame([(s, p) for s, ps in enumerate(["ab", "bc", "bcd", "e"]) for p in ps], "s int, p string")
     one, many = ({r.predicate: tuple(r[1:]) for r in metrics.graph_metrics(stats.sets_of(sp), rounds=3, small=n).collect()} for n in (1000, 0))
