@@ -16,9 +16,10 @@ from relsight.functions import iri
 from relsight.operators import interesting, logic, metrics, stats, validate
 from relsight.operators.shared import delete, shared_dir, written
 from relsight.plans.views import BRC, EDGES, LINES, NODES, view
-from relsight.sinks import reports
+from relsight.sinks import buckets, reports
 from relsight.sources import generator, readers
 from relsight.sources.xz import write_xz
+from relsight.streaming import degrees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +71,22 @@ query("node_min_category", NODES, lambda n: n.groupBy("node_id").agg(F.min("cate
 for _end, _name in (("s", "subject"), ("o", "object")):
     QUERIES[f"{_name}_category_counts"] = lambda spark, sf_dir, end=_end: rounded(stats.category_counts(view(spark, sf_dir, EDGES), view(spark, sf_dir, NODES), end))
     ORACLES[f"{_name}_category_counts"] = f"{E}, {COUNTS}, m as (select node_id, min(category) as category from ({NODES}) group by 1), k as (select p, category, count(*) as n from e join m on e.{_end} = m.node_id group by 1, 2) select k.p, category, k.n as count, round(k.n / cast(c.n as double), 9) as share from k join c on c.p = k.p"
+def _bucketed(end: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder, mark = f"{shared_dir(spark)}/relsight", uuid.uuid4().hex
+        buckets_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ends = buckets.save_ends(view(spark, sf_dir, EDGES), end, f"ends_{mark}", folder, buckets_)
+        nodes = buckets.save_nodes(view(spark, sf_dir, NODES), f"nodes_{mark}", folder, buckets_)
+        out = written(rounded(buckets.category_counts(ends, nodes, end)), "categories")
+        for name in ("ends", "nodes"):
+            buckets.drop(spark, f"{name}_{mark}", folder)
+        return out
+
+    return run
+
+
+for _end, _name in (("s", "subject"), ("o", "object")):
+    QUERIES[f"{_name}_category_counts_bucketed"], ORACLES[f"{_name}_category_counts_bucketed"] = _bucketed(_end), ORACLES[f"{_name}_category_counts"]
 query("heatmap_matrix", EDGES, lambda t: stats.heatmap(t, K, CAP), f"{E}, {TOP} select p_a, p_b, n_ab from ab union all select p_b, p_a, n_ab from ab union all select p, p, n from sup")
 query("interesting_heatmap", LINES, lambda v: interesting.heatmap(readers.triples(v), _chosen(v), K, CAP))
 query("count_histogram", EDGES, stats.histogram, f"{E}, {COUNTS}, b as (select min(n) as lo, max(n) as hi from c) select cast(case when hi = lo then 0 else least(floor((c.n - lo) * 10.0 / greatest(hi - lo, 1)), 9) end as int) as bin, count(*) as predicates from c, b group by 1")
@@ -259,6 +276,31 @@ _through("ntriples_bz2", LINES, lambda v, path: v.write.text(path, compression="
 _through("ntriples_xz", LINES, lambda v, path: write_xz(v, path, 1 << 18), lambda spark, path: readers.read_ntriples(spark, f"{path}/*.xz"), f"{L} select s, p, o from t")
 
 
+_EVENTS = "select concat('user/', cast(user_id as string)) as s, event_type as p, props as o, event_id % 3 as batch from events"
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-predicate columns of the events after a stream has brought them in three batches."""
+    folder = f"{shared_dir(spark)}/relsight/stream-{uuid.uuid4().hex}"
+    rows = view(spark, sf_dir, _EVENTS)
+    stream = None
+    for batch in range(3):
+        # Each run of the query takes what has arrived since, with the state of the run before.
+        rows.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(f"{folder}/in")
+        stream = stream or spark.readStream.schema("s string, p string, o string").parquet(f"{folder}/in")
+        query = degrees.keep_up(stream, f"{folder}/kept", availableNow=True)
+        query.awaitTermination()
+        if query.exception():
+            raise query.exception()
+    out = written(rounded(degrees.per_predicate(spark, f"{folder}/kept")), "streamed")
+    degrees.forget(spark, folder)
+    return out
+
+
+QUERIES["stream_per_predicate"] = _streamed
+ORACLES["stream_per_predicate"] = ORACLES["per_predicate_basic"].replace(E, f"with e as (select s, p, o from ({_EVENTS}) q)")
+
+
 def _generated_sql(n: int, density: float, seed: int) -> str:
     """Relation counts of the generated graph, from the same draws."""
     d = lambda kind, what: f"cast('0x' || substr(md5('{seed}/{kind}/' || cast(i as string) || '/{what}'), 1, 8) as bigint)"

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from relsight import __main__ as cli
 from relsight.functions import iri
 from relsight.operators import interesting, logic, metrics, stats, validate
-from relsight.sinks import reports
+from relsight.sinks import buckets, reports
 from relsight.sources import readers
 from relsight.sources.generator import heritage_graph
+from relsight.streaming import degrees
 from relsight.streaming.counts import predicate_counts, stream_lines
 
 LINES = ["<http://e/s1> <http://e/p> <http://e/o1> .", "<http://e/s1> <http://e/p> <http://e/o1> .", '<http://e/s1> <http://e/q> "hi"@EN .', "<http://e/s2> <http://e/p> <http://e/o2> .", '_:b1 <http://e/q> "5"^^<http://www.w3.org/2001/XMLSchema#integer> .', '_:b1 <http://e/r> "x" .', "# comment", "garbage", "", "<http://e/s2> <https://e/p> _:b1 ."]
@@ -249,6 +250,41 @@ def test_stream_of_files(spark, tmp_path):
     assert {r.predicate: r["count"] for r in spark.table("counted").collect()} == {P: 3, Q: 2, R: 1, PS: 1}
 
 
+def test_bucketed_tables_stay_where_they_are(spark, tmp_path):
+    random.seed(6)
+    t = spark.createDataFrame([(random.choice("pq"), "hub" if random.random() < 0.4 else f"n{random.randrange(50)}", f"o{i}") for i in range(2000)], "p string, s string, o string")
+    nodes = spark.createDataFrame([(f"n{i % 40}", f"c{i % 7}") for i in range(60)] + [("hub", "h")], "node_id string, category string")
+    ends, named = buckets.save_ends(t, "s", "ends_test", str(tmp_path), 4), buckets.save_nodes(nodes, "nodes_test", str(tmp_path), 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = buckets.category_counts(ends, named, "s")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "hashpartitioning(s" not in plan and "hashpartitioning(node_id" not in plan
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stats.category_counts(t, nodes, "s").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ends.where("s = 'hub'").count() == 2
+    for name in ("ends_test", "nodes_test"):
+        buckets.drop(spark, name, str(tmp_path))
+
+
+def test_stream_of_degrees(spark, tmp_path):
+    """After each batch the totals are those of all rows so far, also where degrees that were the smallest or largest are gone."""
+    random.seed(7)
+    rows = [(random.choice(["x", "y", "é"]), random.choice("pq"), random.choice(["1", "2", '"', "3"])) for _ in range(60)] + [("once", "r", "1")]
+    cuts = [rows[:1], rows[1:20], rows[20:], [("once", "r", "1")]]
+    seen = []
+    for i, part in enumerate(cuts):
+        seen += part
+        spark.createDataFrame(part, "s string, p string, o string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = degrees.keep_up(spark.readStream.schema("s string, p string, o string").parquet(f"{tmp_path}/in"), f"{tmp_path}/kept", availableNow=True)
+        assert query.awaitTermination(120) and query.exception() is None
+        if i != 1:
+            want = stats.per_predicate(spark.createDataFrame(seen, "s string, p string, o string"))
+            near = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(sorted(df.columns)).collect())
+            assert near(degrees.per_predicate(spark, f"{tmp_path}/kept")) == near(want)
+
+
 def test_histogram_bins(spark):
     t = spark.range(1, 9).select(F.explode(F.sequence(F.lit(1), F.col("id"))).alias("s"), F.col("id").cast("string").alias("p"))
     assert sum(r.predicates for r in stats.histogram(t, None).collect()) == 8 and {r.bin for r in stats.histogram(t, None).collect()} == {0, 1, 2, 3}
