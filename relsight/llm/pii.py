@@ -4,11 +4,15 @@ The base rules (email, ip, card, phone) always hold. High-recall generators
 propose further, overlapping candidate spans; binned format and context
 features of each are scored by gradient-boosted trees, and a threshold that
 is calibrated for each generator selects the spans to add. Training counts
-feature patterns over all documents, at every size. Its labels are weak: a
-candidate is positive if its text holds a value that a base rule accepts, or
-if it gives a secret a value that mixes letters and digits. Thresholds come
-from texts that the trees weren't grown on. The trees are small Python code
-over the pattern counts and become one Column expression.
+feature patterns over all documents, at every size. Its labels are weak, one
+rule a generator: a secret's value or a digest mixes letters, of any case,
+and digits; an address has the groups of a hardware or IPv6 address; a handle
+has a name at a host without a dot; a number of a phone's length follows a
+cue; and a candidate that holds a value of a base rule is positive too. Texts
+fall into two folds, and each fold's trees score the other fold's texts, in
+calibration and in use, so a threshold holds for the scores it was made from.
+A secret's threshold keeps every positive one. The trees are small Python
+code over the pattern counts and become one Column expression.
 
 Defined cases: null and empty texts have no spans; spans are code points,
 end exclusive; base spans may overlap each other, secrets may hold base
@@ -131,7 +135,9 @@ def binned(value: Column, edges: list[int]) -> Column:
 
 
 # The features: name and the number of bins of each.
-FEATURES = {"gen": 5, "size": 5, "numerals": 6, "plus": 2, "at": 2, "dots": 4, "letters": 2, "checked": 2, "cue": 2, "open": 2, "shut": 2}
+FEATURES = {"gen": 5, "size": 5, "numerals": 6, "plus": 2, "at": 2, "dots": 4, "colons": 4, "pairs": 2, "letters": 2, "upper": 2, "mixed": 2, "checked": 2, "cue": 2, "open": 2, "shut": 2}
+#: Words before a number that make it a phone's.
+CUE = r"(?i)\b(?:phone|tel|mobile|call|fax)\b\S{0,2}\s{0,2}\S{0,2}$"
 
 
 def candidates(text: Column, labels: bool = False) -> Column:
@@ -145,24 +151,38 @@ def candidates(text: Column, labels: bool = False) -> Column:
         s, n = x["s"], x["n"]
         m = s["match"]
         before, after = s["before"], s["after"]
+        of = lambda name: s["kind"] == ADDED.index(name)
+        # What follows a secret's cue; else the whole match.
+        value = F.when(of("secret"), F.regexp_replace(m, r"^[^=:]*[=:]", "")).otherwise(m)
+        letters = F.regexp_like(value, F.lit("[A-Za-z]"))
+        mixed = letters & F.regexp_like(value, F.lit("[0-9]"))
+        called = F.regexp_like(F.right(before, F.lit(16)), F.lit(CUE))
+        pairs = F.regexp_like(m, F.lit("^[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}$"))
+        colons = F.size(F.split(m, ":")) - 1
         values = [
             s["kind"],
-            binned(F.length(m), [10, 15, 20, 40]),
+            binned(F.length(m), [10, 15, 20, 32]),
             binned(n, [1, 7, 10, 14, 20]),
             F.contains(m, F.lit("+")).cast("int"),
             F.contains(m, F.lit("@")).cast("int"),
             binned(F.size(F.split(m, r"\.")) - 1, [1, 3, 4]),
-            F.regexp_like(m, F.lit("[A-Za-z]")).cast("int"),
+            binned(colons, [1, 5, 7]),
+            pairs.cast("int"),
+            letters.cast("int"),
+            F.regexp_like(value, F.lit("[A-Z]")).cast("int"),
+            mixed.cast("int"),
             F.when(n.between(14, 19), luhn(digits(m))).otherwise(F.lit(False)).cast("int"),
-            F.regexp_like(F.right(before, F.lit(16)), F.lit("(?i)password|passwd|pwd|token|secret|key|card|phone|tel|mail|ip|call")).cast("int"),
+            called.cast("int"),
             F.regexp_like(before, F.lit(r"^$|[\s\"'(]$")).cast("int"),
-            F.regexp_like(after, F.lit(r"^(?:$|[\s\"').,;])")).cast("int"),
+            # A quote that the match ends with closes it, whatever follows.
+            (F.regexp_like(m, F.lit("[\"']$")) | F.regexp_like(after, F.lit(r"^(?:$|[\s\"').,;])"))).cast("int"),
         ]
-        # The labels come from the match alone: it holds a value that a base rule accepts, or it is a secret of letters and digits.
-        mixed = (s["kind"] == ADDED.index("secret")) & F.regexp_like(m, F.lit(r"[=:].*[a-z].*[0-9]|[=:].*[0-9].*[a-z]"))
+        own = (of("secret") & mixed) | (of("digest") & mixed & (F.length(m) >= 32)) | (of("address") & ((colons == 7) | pairs))
+        own |= (of("handle") & F.regexp_like(m, F.lit(r"^[A-Za-z0-9._%+-]+@[A-Za-z][A-Za-z0-9-]*$"))) | (of("number") & called & n.between(7, 15))
+        # A value that a base rule accepts.
         sure = F.regexp_like(m, F.lit(EMAIL)) | (F.regexp_like(m, F.lit(f"^{IP}$")) & is_ip(m)) | is_card(m) | (F.regexp_like(m, F.lit(f"^{PHONE}$")) & n.between(10, 15))
         f = F.struct(*[v.alias(f) for v, f in zip(values, FEATURES, strict=True)])
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), f.alias("f"), *([(mixed | sure).alias("y")] if labels else []))
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), f.alias("f"), *([(own | sure).alias("y")] if labels else []))
 
     return F.transform(F.transform(F.concat(*found), lambda s: F.struct(s.alias("s"), F.length(digits(s["match"])).alias("n"))), one)
 
@@ -232,8 +252,8 @@ def leaf(tree, bins: tuple[int, ...]) -> float:
     return tree
 
 
-def selected(model: dict, kind: Column, f: Column) -> Column:
-    """Whether a candidate's score reaches the threshold of its generator."""
+def selected(model: dict, fold: Column, kind: Column, f: Column) -> Column:
+    """Whether a candidate's score, by the trees of the other fold, reaches the threshold of its generator."""
     names = list(FEATURES)
 
     def column(tree) -> Column:
@@ -241,47 +261,40 @@ def selected(model: dict, kind: Column, f: Column) -> Column:
             return F.lit(float(tree))
         return F.when(f[names[tree[0]]] >= tree[1], column(tree[2])).otherwise(column(tree[3]))
 
-    score = sum((column(t) for t in model["trees"]), F.lit(float(model["start"])))
+    first, second = (sum((column(t) for t in trees), F.lit(float(start))) for start, trees in model["grown"])
     limit = F.lit(float("inf"))
     for g, t in model["limits"].items():
         limit = F.when(kind == g, F.lit(float(t))).otherwise(limit)
-    return score >= limit
+    return F.when(fold == 1, first).otherwise(second) >= limit
 
 
-def fit(docs: DataFrame, precision: float = PRECISION) -> dict:
-    """Count feature patterns over all documents, boost trees, and calibrate thresholds on rows that a tree wasn't grown on.
+def fold_of(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text, F.lit(5)), F.lit(2)).cast("int")
 
-    Texts fall into two folds by their hash. Each fold grows trees; the model's score is the mean of
-    both, and the thresholds come from the scores that each fold's trees give the other fold.
-    """
+
+def fit(docs: DataFrame, precision: float = PRECISION) -> dict:
+    """Count feature patterns over all documents, boost trees on each fold, and calibrate thresholds on the scores of the other fold."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(text.alias("text")).select(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2)).cast("int").alias("fold"), candidates(F.col("text"), True).alias("c"))
+    rows = docs.select(text.alias("text")).select(fold_of(F.col("text")).alias("fold"), candidates(F.col("text"), True).alias("c"))
     rows = rows.select("fold", F.explode("c").alias("c"))
     counts = rows.groupBy("fold", *[F.col(f"c.f.{f}") for f in FEATURES]).agg(F.count_if("c.y").alias("p"), F.count_if(~F.col("c.y")).alias("n")).collect()
     folds = [sorted((tuple(r[f] for f in FEATURES), float(r.p), float(r.n)) for r in counts if r.fold == k) for k in (0, 1)]
-    grown = [boost(patterns) if patterns else (0.0, []) for patterns in folds]
+    # A fold without patterns has no trees, and the other one's are for both.
+    some = [boost(patterns) for patterns in folds if patterns] or [(0.0, [])]
+    grown = [some.pop(0) if patterns and len(some) > 1 else some[0] for patterns in folds]
     scored = [(grown[1 - k][0] + sum(leaf(t, bins) for t in grown[1 - k][1]), bins[0], p, n) for k in (0, 1) for bins, p, n in folds[k]]
-    # A fold without patterns has no trees, and the other one's are the model.
-    own = [(m, patterns) for m, patterns in zip(grown, folds, strict=True) if patterns] or [(grown[0], [])]
-    start = sum(m[0] for m, _ in own) / len(own)
-    trees = [halved(t, len(own)) for m, _ in own for t in m[1]]
     limits = {}
     for g in range(len(ADDED)):
         p = n = 0.0
-        for s, _, a, b in sorted((x for x in scored if x[1] == g), reverse=True):
+        own = sorted((x for x in scored if x[1] == g), reverse=True)
+        for s, _, a, b in own:
             p, n = p + a, n + b
             if p >= precision * (p + n):
                 limits[g] = s - 1e-9
-        # A limit above every mean score would select nothing; the best positive's mean score is the limit then.
-        mean = [(start + sum(leaf(t, bins) for t in trees), q) for _, patterns in own for bins, q, _ in patterns if bins[0] == g and q]
-        if g in limits and mean:
-            limits[g] = min(limits[g], max(s for s, _ in mean))
-    return {"start": start, "trees": trees, "limits": limits}
-
-
-def halved(tree, n: int):
-    """A tree whose leaves count one n-th."""
-    return (tree[0], tree[1], halved(tree[2], n), halved(tree[3], n)) if isinstance(tree, tuple) else tree / n
+        lowest = min((s for s, _, a, _ in own if a), default=None)
+        if g == ADDED.index("secret") and lowest is not None:
+            limits[g] = min(limits.get(g, lowest), lowest - 1e-9)
+    return {"grown": grown, "limits": limits}
 
 
 def find(docs: DataFrame, model: dict, into: str = "pii") -> DataFrame:
@@ -292,14 +305,14 @@ def find(docs: DataFrame, model: dict, into: str = "pii") -> DataFrame:
     """
     row = F.struct(*docs.columns).alias("row")
     rows = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    rows = rows.select("row", base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("c"))
-    picked = F.transform(F.filter("c", lambda c: selected(model, c["kind"], c["f"])), lambda c: F.struct(c["start"].alias("start"), (c["kind"] + len(KINDS)).alias("kind"), c["end"].alias("end")))
+    rows = rows.select("row", fold_of(F.col("t")).alias("fold"), base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("c"))
+    picked = F.transform(F.filter("c", lambda c: selected(model, F.col("fold"), c["kind"], c["f"])), lambda c: F.struct(c["start"].alias("start"), (c["kind"] + len(KINDS)).alias("kind"), c["end"].alias("end")))
     rows = rows.select("row", "base", picked.alias("c"))
     secret = len(KINDS) + ADDED.index("secret")
     secrets, others = F.filter("c", lambda c: c["kind"] == secret), F.filter("c", lambda c: c["kind"] != secret)
     rows = rows.select("row", "base", secrets.alias("s"), others.alias("o")).select("row", "base", "s", settled(F.concat("base", "s"), F.col("o")).alias("o"))
     found = F.struct("base", F.array_sort(F.concat("base", "s", "o")).alias("all")).alias(into)
-    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != into], found)
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != into.lower()], found)
 
 
 def named(found: Column) -> Column:

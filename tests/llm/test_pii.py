@@ -64,7 +64,7 @@ def test_made_texts_against_brute_force(spark, tmp_path):
 
 
 def test_names_clash_and_empty_table(spark):
-    rows = spark.createDataFrame([(1, "mail a@b.cd", "x", "y", 5)], "doc_id long, text string, base string, all string, _t int")
+    rows = spark.createDataFrame([(1, "mail a@b.cd", "x", "y", 5)], "doc_id long, text string, base string, all string, _t int").withColumn("PII", F.lit(3))
     (r,) = pii.find(rows, pii.fit(rows)).collect()
     assert (r.base, r["all"], r._t) == ("x", "y", 5) and [tuple(x) for x in r.pii.base] == [(5, 0, 11)]
     none = rows.where("false")
@@ -94,6 +94,28 @@ def test_long_values_are_whole(spark):
             assert [x.match for x in r.s] == [cases[name][1]], name
 
 
+def test_every_marked_secret_of_the_documents_goes(spark):
+    """Values after a cue that mix letters and digits, of any case and whatever follows their quote."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.where("text rlike '(?i)password|passwd|pwd|token|secret|key'").collect()}
+    marked = re.compile(r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\x20{0,2}[=:]\x20{0,2}[\"']?([^\s\"']{6,})[\"']?")
+    want = {(d, m.start(), m.end(), m[1]) for d, t in texts.items() for m in marked.finditer(t) if re.search("[A-Za-z]", m[1]) and re.search("[0-9]", m[1])}
+    some = docs.join(F.broadcast(spark.createDataFrame([(d,) for d in texts], "doc_id long")), "doc_id", "left_semi")
+    found = pii.find(some, pii.fit(docs)).select("doc_id", pii.named(F.col("pii.all")).alias("s"), pii.redact(F.col("text"), F.col("pii.all")).alias("t")).collect()
+    spans = {(r.doc_id, x) for r in found for x in r.s.split(",")}
+    assert len(want) > 150 and all((d, f"secret:{a}:{b}") in spans for d, a, b, _ in want)
+    left = {r.doc_id: r.t for r in found}
+    assert not [d for d, _, _, value in want if value in left[d]]
+
+
+def test_added_kinds(spark):
+    texts = {1: "call: 555 123 4567 now", 2: "mac 00:1b:44:11:3a:b7 ok", 3: "at 2001:0db8:0000:0000:0000:ff00:0042:8329 ok", 4: "ask root@localhost ok", 5: f"sum {'0a' * 20} ok", 6: "TOKEN = \"9233A8ECFF00\"!!", 7: "token=abcdefgh", 8: "in 1234567 of 12:30:45:10", 9: f"id {'12' * 20}", 10: "plain words @ 5 or a@ b"}
+    want = {1: "number:6:18", 2: "address:4:21", 3: "address:3:42", 4: "handle:4:18", 5: "digest:4:44", 6: "secret:0:22", 7: "", 8: "", 9: "", 10: ""}
+    rows = spark.createDataFrame([(100 * i + k, f"{t} {'x' * i}") for i in range(20) for k, t in texts.items()], "doc_id long, text string")
+    found = {r.doc_id: r.s for r in pii.find(rows, pii.fit(rows)).select("doc_id", pii.named(F.col("pii.all")).alias("s")).collect()}
+    assert {d: s for d, s in found.items() if s != want[d % 100]} == {}
+
+
 def test_rare_secrets_train_at_any_size(spark):
     # Secrets only in documents that a hash sample of one in two leaves out.
     rare = (F.col("id") % 1000 == 5) & (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)) == 1)
