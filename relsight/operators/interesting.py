@@ -21,7 +21,7 @@ def aliased(t: DataFrame, alias: DataFrame) -> DataFrame:
 def summary(t: DataFrame, alias: DataFrame) -> DataFrame:
     """One row a chosen predicate. Unique counts and degrees are merged over its forms; pairs are distinct by display."""
     out, into = degrees(t, "s", "out"), degrees(t, "o", "in")
-    each = aliased(t.groupBy("p").agg(F.count("*").alias("count")).join(out, "p").join(into, "p"), alias)
+    each = aliased(out.join(into.drop("count"), "p"), alias)
     merged = [F.sum("count").alias("count"), F.sum("unique_subjects").alias("unique_subjects"), F.sum("unique_objects").alias("unique_objects")]
     for name, unique in (("out", "unique_subjects"), ("in", "unique_objects")):
         n = F.col(unique)

@@ -27,31 +27,19 @@ def meta(t: DataFrame) -> DataFrame:
     return d.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("n_predicates"), entropy.alias("entropy_bits"), gini.alias("gini"))
 
 
-def triple_counts(t: DataFrame) -> DataFrame:
-    """Distinct (p, s, o) and their number of rows (n): what the other aggregates build on, so that rows are read once."""
-    return t.groupBy("p", "s", "o").agg(F.count("*").alias("n"))
-
-
 def degrees(t: DataFrame, end: str, prefix: str) -> DataFrame:
-    """Distinct ends of each predicate and avg, std, min, max of their degrees, by two aggregations."""
-    return degrees_of(t.groupBy("p", end).agg(F.count("*").alias("d")), end, prefix)
-
-
-def degrees_of(by_end: DataFrame, end: str, prefix: str) -> DataFrame:
-    """The same from (p, end, d)."""
+    """Rows and distinct ends of each predicate, and avg, std, min, max of the ends' degrees, by two aggregations."""
+    by_end = t.groupBy("p", end).agg(F.count("*").alias("d"))
     mean = F.sum("d") / F.count("*")
     std = F.sqrt(F.greatest(F.sum(F.col("d") * F.col("d")) / F.count("*") - mean * mean, F.lit(0.0)))
     unique = "unique_subjects" if end == "s" else "unique_objects"
-    return by_end.groupBy("p").agg(F.count("*").alias(unique), mean.alias(f"avg_{prefix}"), std.alias(f"std_{prefix}"), F.min("d").alias(f"min_{prefix}"), F.max("d").alias(f"max_{prefix}"))
+    return by_end.groupBy("p").agg(F.sum("d").alias("count"), F.count("*").alias(unique), mean.alias(f"avg_{prefix}"), std.alias(f"std_{prefix}"), F.min("d").alias(f"min_{prefix}"), F.max("d").alias(f"max_{prefix}"))
 
 
 def duplicates(t: DataFrame) -> DataFrame:
     """unique_s_o_pairs and duplicate_excess (null without duplicates)."""
-    return duplicates_of(triple_counts(t))
-
-
-def duplicates_of(triples: DataFrame) -> DataFrame:
-    return triples.groupBy("p").agg(F.count("*").alias("unique_s_o_pairs"), F.sum(F.when(F.col("n") > 1, F.col("n") - 1)).alias("duplicate_excess"))
+    pairs = t.groupBy("p", "s", "o").agg(F.count("*").alias("n"))
+    return pairs.groupBy("p").agg(F.count("*").alias("unique_s_o_pairs"), F.sum(F.when(F.col("n") > 1, F.col("n") - 1)).alias("duplicate_excess"))
 
 
 def n_subjects(t: DataFrame) -> DataFrame:
@@ -59,14 +47,12 @@ def n_subjects(t: DataFrame) -> DataFrame:
 
 
 def per_predicate(t: DataFrame) -> DataFrame:
-    """All basic columns of each predicate. The rows are read and shuffled once, as distinct triples with counts; ends, pairs and subjects are aggregates of those."""
-    triples = triple_counts(t)
-    ends = {end: triples.groupBy("p", end).agg(F.sum("n").alias("d")) for end in ("s", "o")}
-    counts = ends["s"].groupBy("p").agg(F.sum("d").alias("count"))
-    totals = counts.agg(F.sum("count").alias("total")).crossJoin(ends["s"].agg(F.countDistinct("s").alias("n_subjects")))
-    joined = counts.join(degrees_of(ends["s"], "s", "out_degree_p"), "p").join(degrees_of(ends["o"], "o", "in_degree_p"), "p").join(duplicates_of(triples), "p").crossJoin(F.broadcast(totals))
-    found = [c for c in joined.columns if c not in ("p", "count", "total", "n_subjects")]
-    return joined.select(F.col("p").alias("predicate"), "count", share(F.col("count"), F.col("total")).alias("share"), *found, (100 * share(F.col("unique_subjects"), F.col("n_subjects"))).alias("pct_subjects_with_p"))
+    """All basic columns of each predicate, from one aggregate each of its subjects, objects and pairs; counts and shares come with the subjects'."""
+    out, into, pairs = degrees(t, "s", "out_degree_p"), degrees(t, "o", "in_degree_p"), duplicates(t)
+    total = F.sum("count").over(Window.partitionBy())  # over a row a predicate
+    joined = out.withColumn("share", share(F.col("count"), total)).join(into.drop("count"), "p").join(pairs, "p").crossJoin(F.broadcast(n_subjects(t)))
+    found = [c for c in joined.columns if c not in ("p", "count", "share", "n_subjects")]
+    return joined.select(F.col("p").alias("predicate"), "count", "share", *found, (100 * share(F.col("unique_subjects"), F.col("n_subjects"))).alias("pct_subjects_with_p"))
 
 
 def top_predicates(t: DataFrame, k: int) -> DataFrame:
