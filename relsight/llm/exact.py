@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from relsight.llm.shared import drop_written, written
+from relsight.llm.shared import drop_written, salted_join, written
 
 #: Text bytes that a bucket may hold before it splits; more where a directory would pass MOST_BUCKETS.
 BUCKET_BYTES = 4 << 20
@@ -262,10 +262,13 @@ def exact_dedup(docs: DataFrame, key_of: Callable[[Column], Column] = F.xxhash64
     shared = docs.sparkSession.sparkContext.broadcast(found)
     rows = keyed(docs, key_of).select("doc_id", "key", "text", F.sha2("text", 256).alias("text_sha256"))
     columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
-    at = ["bucket", "key"]
-    alone = index.where("chain_text is null").drop("chain_text", "slot")
-    result = addressed(rows.drop("text"), shared).join(alone, at).select(*columns)
+    # A key's row of the index has its number of rows, so those of hot keys are dealt to several tasks.
+    def looked_up(some: DataFrame, entries: DataFrame) -> DataFrame:
+        sizes = entries.groupBy("key").agg(F.sum("group_size").alias("n"))
+        return salted_join(addressed(some, shared), entries.drop("slot").withColumnRenamed("bucket", "at"), "key", sizes).where("bucket = at")
+
+    result = looked_up(rows.drop("text"), index.where("chain_text is null").drop("chain_text")).select(*columns)
     chains = index.where("chain_text is not null")
     if chains.isEmpty():
         return result
-    return result.union(addressed(rows, shared).join(chains.drop("slot"), at).where("text = chain_text").select(*columns))
+    return result.union(looked_up(rows, chains).where("text = chain_text").select(*columns))
