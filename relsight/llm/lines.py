@@ -2,14 +2,20 @@
 
 Documents overlap when they share a line of at least MIN_WORDS words. A rare
 line, one that at most RARE different texts hold, pairs each of them with all
-earlier ones. A more frequent line pairs a document with its earliest holder
-and with the holder before it in one of several hashed runs of about RUN
-holders, so it costs at most two pairs a document however many hold it, and
-no document that shares a line with an earlier one is without a partner.
+earlier ones. A more frequent line first pairs a document with its earliest
+holder and with the holder before it in one of several hashed runs of about
+RUN holders. Where none of a document's partners aligns with such a line, as
+other lines cross it, the line's other earlier holders follow in rounds, each
+of about STEP times as many, drawn by hash, until one aligns or none is left.
+So a document keeps all its copies of a long line only if no earlier document
+aligns with any, as if all pairs were aligned; lines in the usual order cost
+at most two pairs a document however many hold them.
 Partners are aligned with patience diff over line hashes; a region without a
 line that is unique on both sides is aligned by longest common subsequences,
 of its long lines first. Aligned common blocks that contain such a line are
-deleted from the later document.
+deleted from the later document. What depends on the partners met is how far
+a block's short lines go with it, and which copies of a line that the
+document repeats.
 
 Documents are ordered by (doc_id, digest of the text), a null doc_id first.
 Equal texts are one class, held by its earliest document; its later copies
@@ -24,6 +30,8 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import compress
 from math import isqrt
 
 import pyarrow as pa
@@ -35,8 +43,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from relsight.llm.arrays import slices
 from relsight.llm.shared import drop_written, fresh, salted_join, settings, small_batches, written
 
-#: Words of a line that makes documents overlap, holders of a rare line, and of a run of a frequent one.
-MIN_WORDS, RARE, RUN = 5, 8, 64
+#: Words of a line that makes documents overlap, holders of a rare line, of a run of a frequent one, and growth of a round.
+MIN_WORDS, RARE, RUN, STEP = 5, 8, 64, 8
 
 
 def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -137,13 +145,66 @@ def patience(a: list[int], b: list[int], words: list[bool] | None = None) -> lis
 
 
 def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The line numbers that each pair deletes from its later document."""
+    """Of each pair: the line numbers it deletes from its later document, their long lines, and the long lines it shares but can't align."""
     for batch in batches:
-        out: list[list[int]] = []
+        gone: list[list[int]] = []
+        taken: list[list[int]] = []
+        crossed: list[list[int]] = []
         for a, b, words in zip(*(batch.column(c).to_pylist() for c in ("a_lines", "b_lines", "b_long")), strict=True):
-            blocks = patience(a, b, words)
-            out.append([k for _, j, n in blocks if any(words[j : j + n]) for k in range(j, j + n)])
-        yield pa.record_batch([batch.column("key"), batch.column("partner"), pa.array(out, pa.list_(pa.int32()))], names=["key", "partner", "gone"])
+            lost = [k for _, j, n in patience(a, b, words) if any(words[j : j + n]) for k in range(j, j + n)]
+            met = {b[k] for k in lost if words[k]}
+            gone.append(lost)
+            taken.append(list(met))
+            crossed.append(list(set(compress(b, words)).intersection(a) - met))
+        lists = [pa.array(gone, pa.list_(pa.int32())), pa.array(taken, pa.list_(pa.int64())), pa.array(crossed, pa.list_(pa.int64()))]
+        yield pa.record_batch([batch.column("id"), batch.column("partner"), *lists], names=["id", "partner", "gone", "taken", "crossed"])
+
+
+def compared(own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What ``aligned`` gives for the pairs (id, first), without those that share no long line."""
+    a = own.select(F.col("id").alias("first"), F.col("h").alias("a_lines"))
+    b = own.select("id", F.col("h").alias("b_lines"), F.col("long").alias("b_long"))
+    both = salted_join(pairs, a, "first").join(b, "id").select("id", F.col("first.doc_id").alias("partner"), "a_lines", "b_lines", "b_long")
+    with settings(own.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=500):
+        out = both.mapInArrow(aligned, "id struct<doc_id: long, key: binary>, partner long, gone array<int>, taken array<long>, crossed array<long>")
+        return written(out.where((F.size("gone") > 0) | (F.size("crossed") > 0)), "gone")
+
+
+def rounds(own: DataFrame, held: DataFrame, found: DataFrame) -> list[DataFrame]:
+    """Further results like ``found``: lines that no partner aligned meet their other earlier holders, round by round.
+
+    A round takes the holders whose hash falls in its share, so no holders are
+    ranked in one task, and reads the lines of the round's documents alone.
+    """
+    crossed = F.array_except(F.array_distinct(F.flatten(F.collect_list("crossed"))), F.flatten(F.collect_list("taken")))
+    left = written(found.groupBy("id").agg(crossed.alias("h")).select("id", F.explode("h").alias("h")), "left")
+    out: list[DataFrame] = []
+    if left.isEmpty():
+        drop_written(left)
+        return out
+    some = written(held.join(left.select("h").distinct(), "h", "left_semi"), "some")
+    counts = some.groupBy("h").agg(F.count("*").alias("n"))
+    share = F.pmod(F.xxhash64("id", "h"), F.lit(1 << 30)) / float(1 << 30)
+    level = F.floor(F.log(1 + share * F.col("n") / RARE) / F.log(F.lit(float(STEP)))).cast("int")
+    # Rare lines have met all holders.
+    holders = salted_join(some, counts, "h", counts).where(F.col("n") > RARE).select("h", F.col("id").alias("first"), level.alias("level"))
+    holders = written(holders, "holders")
+    last = holders.agg(F.max("level")).first()[0]
+    for k in range(0 if last is None else last + 1):
+        pairs = left.join(holders.where(F.col("level") == k), "h").where(F.col("first") < F.col("id")).select("id", "first").distinct()
+        pairs = written(pairs, "pairs")
+        wanted = written(pairs.select(F.explode(F.array("id", "first")).alias("id")).distinct(), "wanted")
+        lines = written(own.join(wanted, "id", "left_semi"), "lines")
+        out.append(compared(lines, pairs))
+        met = out[-1].select("id", F.explode("taken").alias("h")).distinct()
+        before, left = left, written(left.join(met, ["id", "h"], "left_anti"), "left")
+        for table in (before, pairs, wanted, lines):
+            drop_written(table)
+        if left.isEmpty():
+            break
+    for table in (left, some, holders):
+        drop_written(table)
+    return out
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -165,15 +226,13 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     earlier = F.when(F.col("n") <= RARE, F.collect_list("id").over(order.rowsBetween(-RARE, -1))).otherwise(F.array_compact(F.array("first", F.lag("id").over(order))))
     pairs = met.withColumn("run", run).withColumn("earlier", earlier).select("id", F.explode("earlier").alias("first")).where("first <> id").distinct()
     pairs = written(pairs, "pairs")
-    a = own.select(F.col("id").alias("first"), F.col("h").alias("a_lines"))
-    b = own.select("id", F.col("h").alias("b_lines"), F.col("long").alias("b_long"))
-    both = salted_join(pairs, a, "first").join(b, "id").select(F.col("id.key").alias("key"), F.col("first.doc_id").alias("partner"), "a_lines", "b_lines", "b_long")
-    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=500):
-        gone = written(both.mapInArrow(aligned, "key binary, partner long, gone array<int>").where(F.size("gone") > 0), "gone")
+    found = [compared(own, pairs)]
+    found += rounds(own, held, found[0])
+    gone = reduce(DataFrame.union, found).where(F.size("gone") > 0).withColumn("key", F.col("id.key"))
     gone_of = gone.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.array_sort(F.collect_set("partner")).alias("partners"))
     changed = own.select(F.col("id.key").alias("key"), F.col("id.doc_id").alias("first_id"), ((F.col("rows") > 1) & F.exists("long", lambda x: x)).alias("copies")).join(gone_of, "key", "left")
     out = written(changed.where("copies or gone is not null"), "changed")
-    for table in (own, held, pairs, gone):
+    for table in (own, held, pairs, *found):
         drop_written(table)
     return out
 
