@@ -60,6 +60,27 @@ def test_jaccard_edges(spark):
     assert jaccard.jaccard_join(df.where("false")).count() == 0
 
 
+def test_jaccard_boilerplate_makes_no_large_cluster(spark, monkeypatch):
+    """Documents that share more than half of their words and link with nothing aren't compared all with all."""
+    random.seed(12)
+    shared = [f"b{j}" for j in range(40)]
+    rows = [(i, " ".join(shared + [f"o{i}_{j}" for j in range(25)])) for i in range(1500)]
+    rows += [(2000 + i, rows[i][1] + " tail") for i in range(20)]
+    clusters = []
+    real = jaccard.written
+
+    def spied(df, name):
+        out = real(df, name)
+        if name == "member":
+            clusters.extend(r[0] for r in out.groupBy("cluster").count().select("count").collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", spied)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - 2000 if d >= 2000 else d for d, _ in rows}
+    assert max(clusters) <= 8
+
+
 def links_of_all(rows, least=0.93):
     good = [(i, np.array(e, float), label) for i, e, label in rows if label is not None and e and None not in e and np.isfinite(e).all() and any(e)]
     n = {i: 0 for i, _, _ in rows}
