@@ -1,12 +1,18 @@
 """Substring dedup: fuzzy passages by collinear chaining of shared k-mer seeds.
 
-Seeds are the minimizers of k-word windows: any run of K + WINDOW - 1 equal
-words shares one. Every seed names one partner - its earliest occurrence,
-however many there are - so seeds cost one match each. The matches of a pair
+Seeds are the k-word windows whose hash is among the lowest in SPARSE, which
+depends on their words alone, and minimizers where a window has none: any run
+of K + WINDOW - 1 equal words shares one. Every seed names one partner - its
+earliest occurrence, however many there are - so seeds cost one match each.
+Where neighbouring seeds of a document name different places, the two
+together are a junction, which names its own earliest occurrence, so a
+passage whose parts stand in other documents meets the first that has them
+side by side. The matches of a pair
 of documents are chained in order of both positions; each match has its best
 predecessor in a window of GAP words under a gap cost, from Fenwick trees.
 Chains are aligned over the words of both documents and extended at their
-ends, however far; aligned passages of at least MIN_WORDS words with MATCHED of their words equal are returned.
+ends, however far and past words put in or left out; aligned passages of at
+least MIN_WORDS words with MATCHED of their words equal are returned.
 
 Documents with equal words are one class, held by the smallest doc_id: each
 later copy is one passage of its whole text. Words are lower-cased runs
@@ -26,15 +32,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relsight.llm.arrays import gram_hashes, hash_words, loosen, ragged, slices, squeeze
 from relsight.llm.shared import drop_written, salted_join, settings, written
 
-K, WINDOW, MIN_WORDS, MATCHED = 8, 16, 50, 0.8
+K, WINDOW, MIN_WORDS, MATCHED = 6, 16, 50, 0.8
+#: One of how many windows is a seed.
+SPARSE = 6
 #: Words that a gap within a chain may span, cost of a word of gap in seed words, and how far an extension may fall.
 GAP, COST, DROP = 64, 0.1, 6
+#: Words that an extension skips on one side and the other, each of which costs as much as a mismatch.
+SKIPS = [(0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1), (0, 3), (3, 0)]
 #: Words around a chain that its first alignment sees.
 MARGIN = 1024
 #: Chains of a pair that begin in one square of BLOCK words travel as one row; chains that a task aligns at once.
@@ -59,6 +69,8 @@ def minimizers(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
             least = np.where(right, least[shift:], least[:-shift])
             step += shift
         at.append(np.unique(least[ragged(rows[:-1], np.maximum(counts - WINDOW + 1, 0))]))
+    every = ragged(rows[:-1], counts)
+    at.append(every[grams[every] < np.uint64((1 << 64) // SPARSE)])
     found = np.unique(np.concatenate(at))
     doc = np.searchsorted(rows, found, side="right") - 1
     return grams[found], doc, found - rows[doc]
@@ -207,6 +219,57 @@ def stretches(words: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, wa
     return far, matched, unfallen
 
 
+def extended(words: np.ndarray, starts: list[np.ndarray], have: list[np.ndarray], room: list[np.ndarray], goes_on: list[np.ndarray], way: int) -> tuple[np.ndarray, ...]:
+    """How far pairs of places go on in either text (first, second), the words matched, and which need more words.
+
+    Equal positions go on as in ``stretches``; where they stop, some words of
+    one text or both are skipped if that gains more than it costs. have: words
+    given from the places on; room: words that may be taken.
+    """
+    n = len(starts[0])
+    far, matched, more = [np.zeros(n, np.int64), np.zeros(n, np.int64)], np.zeros(n, np.int64), np.zeros(n, bool)
+    left = np.arange(n)
+    last = max(len(words) - 1, 0)
+
+    def tried(rows: np.ndarray, skip: tuple[int, int], probe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows that gain by going on after a skip, their gains, and how far and how well they match."""
+        at = [far[k][rows] + skip[k] for k in (0, 1)]
+        given = [have[k][rows] - at[k] for k in (0, 1)]
+        free = np.minimum(room[0][rows] - at[0], room[1][rows] - at[1])
+        most = np.maximum(np.minimum(np.minimum(given[0], given[1]), free), 0)
+        begin = [starts[k][rows] + way * at[k] for k in (0, 1)]
+        ends = (free > most) & ((given[0] > most) | goes_on[0][rows]) & ((given[1] > most) | goes_on[1][rows])
+        if probe:
+            # At least three of the next five words are equal, else nothing can be gained soon.
+            step = np.arange(5)
+            go = np.where(step < most[:, None], way * step, 0)
+            same = (step < most[:, None]) & (words[np.clip(begin[0][:, None] + go, 0, last)] == words[np.clip(begin[1][:, None] + go, 0, last)])
+            more[rows[ends & (most < 5)]] = True
+            good = same.sum(axis=1) >= 3
+            rows, most, ends, begin = rows[good], most[good], ends[good], [b[good] for b in begin]
+        go, m, unfallen = stretches(words, *begin, most, way)
+        more[rows[unfallen & ends]] = True
+        gain = 3 * m - 2 * go - 2 * max(skip)
+        return rows, gain, np.column_stack([go, m])
+
+    rows, _, found = tried(left, (0, 0), False)
+    for k in (0, 1):
+        far[k][rows] += found[:, 0]
+    matched[rows] += found[:, 1]
+    while len(left):
+        best = np.zeros(n, np.int64)
+        new = np.zeros((n, 3), np.int64)
+        for skip in SKIPS:
+            rows, gain, found = tried(left, skip, True)
+            better = gain > best[rows]
+            rows, found = rows[better], found[better]
+            best[rows] = gain[better]
+            new[rows] = np.column_stack([found[:, 0] + skip[0], found[:, 0] + skip[1], found[:, 1]])
+        left = np.flatnonzero(best)
+        far[0], far[1], matched = far[0] + new[:, 0], far[1] + new[:, 1], matched + new[:, 2]
+    return far[0], far[1], matched, more
+
+
 def align(words: np.ndarray, x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, rows: np.ndarray, a: np.ndarray, b: np.ndarray, ahead: np.ndarray, goes_on: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """Bounds in both texts and matched words of chains, extended at both ends, and which chains need more words.
 
@@ -232,17 +295,14 @@ def align(words: np.ndarray, x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: n
         gain[i] += between(words[u + a[i - 1] + K : u + a[i]], words[v + b[i - 1] + K : v + b[i]])
     matched = np.add.reduceat(gain, first)
     a0, b0, a1, b1 = a[first], b[first], a[last] + K, b[last] + K
+    free = np.full(len(x), 1 << 40)
     room = np.maximum(b0 + ahead - a[last] - 1, 0)
-    most = np.minimum(np.minimum(a0, b0), room)
-    n, m, unfallen = stretches(words, x + a0 - 1, y + b0 - 1, most, -1)
-    more = unfallen & (room > most) & ((a0 > most) | goes_on[0]) & ((b0 > most) | goes_on[1])
-    over = np.clip(a1 - (b0 - n + ahead), 0, K)
+    n, n2, m, more = extended(words, [x + a0 - 1, y + b0 - 1], [a0, b0], [free, room], goes_on[:2], -1)
+    over = np.clip(a1 - (b0 - n2 + ahead), 0, K)
     a1, b1, matched = a1 - over, b1 - over, matched - over
-    room = np.maximum(b0 - n + ahead - a1, 0)
-    most = np.minimum(np.minimum(nx - a1, ny - b1), room)
-    after, m2, unfallen = stretches(words, x + a1, y + b1, most, 1)
-    more |= unfallen & (room > most) & ((nx - a1 > most) | goes_on[2]) & ((ny - b1 > most) | goes_on[3])
-    return a0 - n, a1 + after, b0 - n, b1 + after, matched + m + m2, more
+    room = np.maximum(b0 - n2 + ahead - a1, 0)
+    after, after2, m2, again = extended(words, [x + a1, y + b1], [nx - a1, ny - b1], [room, free], goes_on[2:], 1)
+    return a0 - n, a1 + after, b0 - n2, b1 + after2, matched + m + m2, more | again
 
 
 OUT = "doc_id long, start int, end int, source_id long, source_start int, source_end int, matched int"
@@ -283,10 +343,19 @@ def _found(docs: DataFrame, min_words: int, matched_share: float) -> DataFrame:
     rows = seen.where("pos >= 0").select("h", "doc_id", "pos")
     first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", F.col("f.doc_id").alias("a"), F.col("f.pos").alias("pa"), "n")
     first = written(first, "firsts")
-    matches = salted_join(rows, first.drop("n"), "h", first).where("doc_id <> a or pos <> pa").select("a", F.col("doc_id").alias("b"), "pa", F.col("pos").alias("pb"))
+    matches = written(salted_join(rows, first.drop("n"), "h", first).where("doc_id <> a or pos <> pa").select("a", F.col("doc_id").alias("b"), "pa", F.col("pos").alias("pb"), "h"), "matches")
+    # Places where a document's neighbouring seeds lead elsewhere.
+    before = F.lag(F.struct("a", "pa", "pb", "h")).over(Window.partitionBy("b").orderBy("pb", "h"))
+    parted = (F.col("a") != F.col("q.a")) | (F.abs(F.col("pb") - F.col("pa") - F.col("q.pb") + F.col("q.pa")) > GAP)
+    joints = matches.withColumn("q", before).where(parted & (F.col("pb") - F.col("q.pb") <= GAP)).select(F.xxhash64("q.h", "h").alias("h"), F.col("b").alias("doc_id"), F.col("pb").alias("pos"))
+    joints = written(joints, "joints")
+    joint = joints.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", F.col("f.doc_id").alias("a"), F.col("f.pos").alias("pa"), "n")
+    joint = written(joint, "joint")
+    joined = salted_join(joints, joint.drop("n"), "h", joint).where("doc_id <> a").select("a", F.col("doc_id").alias("b"), "pa", F.col("pos").alias("pb"))
+    matches_read, matches = matches, matches.drop("h").union(joined)
     # A copy's passage is its class's; only first documents are compared.
     gone = copies.select("doc_id")
-    pairs = matches.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("pa", "pb"))).alias("m"))
+    pairs = matches.groupBy("a", "b").agg(F.array_sort(F.collect_set(F.struct("pa", "pb"))).alias("m"))
     pairs = pairs.join(gone.select(F.col("doc_id").alias("a")), "a", "left_anti").join(gone.select(F.col("doc_id").alias("b")), "b", "left_anti")
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,6 +459,6 @@ def _found(docs: DataFrame, min_words: int, matched_share: float) -> DataFrame:
 
     fuzzy = reduce(DataFrame.union, rounds()).distinct()
     whole = copies.where(F.col("n") >= min_words).select("doc_id", F.lit(0).alias("start"), F.col("n").alias("end"), "source_id", F.lit(0).alias("source_start"), F.col("n").alias("source_end"), F.col("n").alias("matched"))
-    for table in (seen, first, found, words):
+    for table in (seen, first, matches_read, joints, joint, found, words):
         drop_written(table)
     return fuzzy.union(whole)

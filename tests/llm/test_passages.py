@@ -81,6 +81,46 @@ def test_bounds_do_not_depend_on_the_words_given(spark, monkeypatch):
         assert found(spark, texts) == whole
 
 
+def edited(p, kind):
+    out = []
+    for i, w in enumerate(p):
+        if kind == "drop and insert":
+            out += ([] if random.random() < 0.05 else [w]) + (word(1) if random.random() < 0.05 else [])
+        else:
+            out.append(*word(1)) if (i % kind == kind - 1 if isinstance(kind, int) else random.random() < float(kind)) else out.append(w)
+    return out
+
+
+def test_edited_passages_are_found(spark):
+    """Of passages of 60 to 160 words in each class of edits, at least 0.9 are found to 0.8 of their words."""
+    random.seed(13)
+    texts, planted = [], []
+    for kind in (8, 10, 12, "0.1", "0.12", "drop and insert"):
+        for _ in range(60):
+            p = word(random.randrange(60, 161))
+            q = edited(p, kind)
+            lead = random.randrange(30, 200)
+            texts += [word(random.randrange(200)) + p + word(random.randrange(200)), word(lead) + q + word(random.randrange(200))]
+            planted.append((kind, len(texts), lead, lead + len(q)))
+    got = found(spark, texts)
+    share = {}
+    for kind, d, lo, hi in planted:
+        have = {w for x in got if x[0] == d and x[3] == d - 1 for w in range(max(x[1], lo), min(x[2], hi))}
+        share.setdefault(kind, []).append(len(have) >= 0.8 * (hi - lo))
+    assert all(sum(v) >= 0.9 * len(v) for v in share.values()), {k: sum(v) / len(v) for k, v in share.items()}
+    # Nothing was planted between other documents.
+    assert all(x[0] - x[3] == 1 and x[0] % 2 == 0 for x in got)
+
+
+def test_passage_whose_halves_stand_in_other_documents(spark):
+    random.seed(14)
+    a, b = word(30), word(30)
+    texts = [word(20) + a + word(20), word(20) + b + word(20), word(10) + a + b + word(10), word(10) + a + word(5), word(7) + a + b + word(3)]
+    texts.append(word(4) + a + word(40) + b + word(9))
+    got = found(spark, texts)
+    assert got == [(5, 7, 67, 3, 10, 70)]
+
+
 def test_clashing_names_and_empty_table(spark):
     random.seed(10)
     text = " ".join(word(60))
