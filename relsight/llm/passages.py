@@ -338,21 +338,26 @@ def _found(docs: DataFrame, min_words: int, matched_share: float) -> DataFrame:
     seen = written(text.mapInArrow(seeds, "h long, doc_id long, pos int, key binary"), "seeds")
     info = written(seen.where("pos = -1").select("doc_id", "key", F.col("h").cast("int").alias("n")).groupBy("doc_id").agg(F.min(F.struct("key", "n")).alias("x")).select("doc_id", "x.*"), "info")
     firsts = info.groupBy("key").agg(F.min("doc_id").alias("source_id"), F.count("*").alias("copies"))
-    copies = info.join(firsts.where("copies > 1"), "key").where("doc_id <> source_id")
+    copies = written(info.join(firsts.where("copies > 1"), "key").where("doc_id <> source_id").select("doc_id", "source_id", "n"), "copies")
+    drop_written(info)
 
     rows = seen.where("pos >= 0").select("h", "doc_id", "pos")
     first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", F.col("f.doc_id").alias("a"), F.col("f.pos").alias("pa"), "n")
     first = written(first, "firsts")
-    matches = written(salted_join(rows, first.drop("n"), "h", first).where("doc_id <> a or pos <> pa").select("a", F.col("doc_id").alias("b"), "pa", F.col("pos").alias("pb"), "h"), "matches")
-    # Places where a document's neighbouring seeds lead elsewhere.
-    before = F.lag(F.struct("a", "pa", "pb", "h")).over(Window.partitionBy("b").orderBy("pb", "h"))
+    matches = salted_join(rows, first.drop("n"), "h", first).where("doc_id <> a or pos <> pa").select("a", F.col("doc_id").alias("b"), "pa", F.col("pos").alias("pb"))
+    # Where a document's neighbouring seeds lead elsewhere, their earliest occurrences name the junction.
+    before = F.lag(F.struct("a", "pa", "pb")).over(Window.partitionBy("b").orderBy("pb", "a"))
     parted = (F.col("a") != F.col("q.a")) | (F.abs(F.col("pb") - F.col("pa") - F.col("q.pb") + F.col("q.pa")) > GAP)
-    joints = matches.withColumn("q", before).where(parted & (F.col("pb") - F.col("q.pb") <= GAP)).select(F.xxhash64("q.h", "h").alias("h"), F.col("b").alias("doc_id"), F.col("pb").alias("pos"))
-    joints = written(joints, "joints")
+    joint = F.when(parted & (F.col("pb") - F.col("q.pb") <= GAP), F.xxhash64("q.a", "q.pa", "a", "pa"))
+    # Kept in order of documents, in which neighbouring matches are alike and take little room.
+    placed = written(matches.withColumn("q", before).select("a", "b", "pa", "pb", joint.alias("h")), "matches")
+    drop_written(seen)
+    drop_written(first)
+    joints = placed.where("h is not null").select("h", F.col("b").alias("doc_id"), F.col("pb").alias("pos"))
     joint = joints.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", F.col("f.doc_id").alias("a"), F.col("f.pos").alias("pa"), "n")
     joint = written(joint, "joint")
     joined = salted_join(joints, joint.drop("n"), "h", joint).where("doc_id <> a").select("a", F.col("doc_id").alias("b"), "pa", F.col("pos").alias("pb"))
-    matches_read, matches = matches, matches.drop("h").union(joined)
+    matches = placed.drop("h").union(joined)
     # A copy's passage is its class's; only first documents are compared.
     gone = copies.select("doc_id")
     pairs = matches.groupBy("a", "b").agg(F.array_sort(F.collect_set(F.struct("pa", "pb"))).alias("m"))
@@ -380,6 +385,8 @@ def _found(docs: DataFrame, min_words: int, matched_share: float) -> DataFrame:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     found = written(pairs.mapInArrow(chained, CHAINS), "chains")
+    drop_written(placed)
+    drop_written(joint)
 
     def word_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Half of each word's hash is enough to compare words in a known place.
@@ -459,6 +466,6 @@ def _found(docs: DataFrame, min_words: int, matched_share: float) -> DataFrame:
 
     fuzzy = reduce(DataFrame.union, rounds()).distinct()
     whole = copies.where(F.col("n") >= min_words).select("doc_id", F.lit(0).alias("start"), F.col("n").alias("end"), "source_id", F.lit(0).alias("source_start"), F.col("n").alias("source_end"), F.col("n").alias("matched"))
-    for table in (seen, first, matches_read, joints, joint, found, words):
+    for table in (found, words):
         drop_written(table)
     return fuzzy.union(whole)
