@@ -45,8 +45,8 @@ SPARSE = 6
 GAP, COST, DROP = 64, 0.1, 6
 #: Words that an extension skips on one side and the other, each of which costs as much as a mismatch.
 SKIPS = [(0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1), (0, 3), (3, 0)]
-#: Words around a chain that its first alignment sees.
-MARGIN = 1024
+#: Words around a chain that its first alignment sees; those that need more get four times as many each time.
+MARGIN = 128
 #: Chains of a pair that begin in one square of BLOCK words travel as one row; chains that a task aligns at once.
 BLOCK, ONCE = 512, 4096
 
@@ -231,36 +231,39 @@ def extended(words: np.ndarray, starts: list[np.ndarray], have: list[np.ndarray]
     left = np.arange(n)
     last = max(len(words) - 1, 0)
 
-    def tried(rows: np.ndarray, skip: tuple[int, int], probe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows that gain by going on after a skip, their gains, and how far and how well they match."""
+    def tried(rows: np.ndarray, skip: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """What rows gain by going on after a skip, and how far and how well they match."""
         at = [far[k][rows] + skip[k] for k in (0, 1)]
         given = [have[k][rows] - at[k] for k in (0, 1)]
         free = np.minimum(room[0][rows] - at[0], room[1][rows] - at[1])
         most = np.maximum(np.minimum(np.minimum(given[0], given[1]), free), 0)
         begin = [starts[k][rows] + way * at[k] for k in (0, 1)]
         ends = (free > most) & ((given[0] > most) | goes_on[0][rows]) & ((given[1] > most) | goes_on[1][rows])
-        if probe:
-            # At least three of the next five words are equal, else nothing can be gained soon.
-            step = np.arange(5)
-            go = np.where(step < most[:, None], way * step, 0)
-            same = (step < most[:, None]) & (words[np.clip(begin[0][:, None] + go, 0, last)] == words[np.clip(begin[1][:, None] + go, 0, last)])
-            more[rows[ends & (most < 5)]] = True
-            good = same.sum(axis=1) >= 3
-            rows, most, ends, begin = rows[good], most[good], ends[good], [b[good] for b in begin]
         go, m, unfallen = stretches(words, *begin, most, way)
         more[rows[unfallen & ends]] = True
         gain = 3 * m - 2 * go - 2 * max(skip)
-        return rows, gain, np.column_stack([go, m])
+        return gain, np.column_stack([go, m])
 
-    rows, _, found = tried(left, (0, 0), False)
-    for k in (0, 1):
-        far[k][rows] += found[:, 0]
-    matched[rows] += found[:, 1]
+    _, found = tried(left, (0, 0))
+    far, matched = [far[k] + found[:, 0] for k in (0, 1)], found[:, 1]
+    step = np.arange(8)
     while len(left):
+        # The next words of both texts; those past an end equal nothing.
+        ahead = []
+        for k in (0, 1):
+            given, free = have[k][left] - far[k][left], room[k][left] - far[k][left]
+            go = far[k][left][:, None] + step
+            some = words[np.clip(starts[k][left][:, None] + way * go, 0, last)].astype(np.int64)
+            ahead.append(np.where(step < np.minimum(given, free)[:, None], some, -1 - k))
+            more[left[(given < 8) & (free > given) & goes_on[k][left]]] = True
         best = np.zeros(n, np.int64)
         new = np.zeros((n, 3), np.int64)
         for skip in SKIPS:
-            rows, gain, found = tried(left, skip, True)
+            # Three of the five words after the skip are equal, else nothing is gained soon.
+            rows = left[(ahead[0][:, skip[0] : skip[0] + 5] == ahead[1][:, skip[1] : skip[1] + 5]).sum(axis=1) >= 3]
+            if not len(rows):
+                continue
+            gain, found = tried(rows, skip)
             better = gain > best[rows]
             rows, found = rows[better], found[better]
             best[rows] = gain[better]
