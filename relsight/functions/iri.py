@@ -27,12 +27,14 @@ NT_LINE = r"(?sU)^\s*(<[^>]*>|_:[^\s]+)\s+(<[^>]*>)\s+(.*)\s*\.\s*$"
 TYPED = r"(?U)\^\^<([^>]+)>\s*$"
 # Possessive, so that long literals don't deepen the matcher's stack.
 LANG = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"@([a-zA-Z0-9\-]+)\s*$'
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 XSD_STRING = "<http://www.w3.org/2001/XMLSchema#string>"
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def lookup(table: dict[str, str]) -> Callable[[Column], Column]:

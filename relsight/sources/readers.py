@@ -62,7 +62,8 @@ def read_edges(spark: SparkSession, path: str, multi_line: bool = False, seen: O
 
 
 def clean_edges(rows: DataFrame, seen: Observation | None = None) -> DataFrame:
-    rows = rows.select(*[strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("s", "p", "o")])
+    # Generated, so that later filters take what has been stripped once.
+    rows = rows.select(F.inline(F.array(F.struct(*[strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("s", "p", "o")]))))
     rows = observed(rows.withColumn("bad", F.expr("s = '' or p = '' or o = ''")), seen, "bad")
     return rows.where(~F.col("bad")).select(F.monotonically_increasing_id().alias("edge_id"), "s", "p", "o")
 
