@@ -8,7 +8,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -229,15 +228,9 @@ def _edge_rows(e: DataFrame) -> DataFrame:
 
 
 def _as_lines(df: DataFrame) -> DataFrame:
-    """CSV lines of a table, a header first in each partition."""
-    rows = df.select(F.to_csv(F.struct(*df.columns), {"escape": '"', "quoteAll": "true"}).alias("value"))
-    head = ",".join(df.columns)
-
-    def headed(batches):
-        yield pa.record_batch([pa.array([head])], names=["value"])
-        yield from batches
-
-    return rows.mapInArrow(headed, "value string")
+    """CSV lines of a table, all fields in quotes."""
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in df.columns]
+    return df.select(F.concat_ws(",", *quoted).alias("value"))
 
 
 def _noted(e: DataFrame) -> DataFrame:
@@ -267,7 +260,7 @@ def _node_files(n: DataFrame, path: str) -> None:
 
 _TRIMMED = f"{E} select trim(s) as s, trim(p) as p, trim(o) as o from e where trim(o) <> ''"
 _through("edges_csv_gz", EDGES, lambda e, path: _edge_rows(e).write.csv(path, header=True, escape='"', compression="gzip"), lambda spark, path: readers.read_edges(spark, path).drop("edge_id"), _TRIMMED)
-_through("edges_csv_xz", EDGES, lambda e, path: write_xz(_as_lines(_edge_rows(e)), path, 1 << 18), lambda spark, path: readers.read_edges(spark, f"{path}/*.xz").drop("edge_id"), _TRIMMED)
+_through("edges_csv_xz", EDGES, lambda e, path: write_xz(_as_lines(_edge_rows(e)), path, 1 << 18, ",".join(_edge_rows(e).columns)), lambda spark, path: readers.read_edges(spark, f"{path}/*.xz").drop("edge_id"), _TRIMMED)
 _BROKEN = lambda c: f"trim(case when length({c}) % 3 = 0 then {c} || chr(10) || '\"a\", b' || chr(10) || {c} else {c} end)"
 _through("edges_csv_line_breaks", EDGES, lambda e, path: _noted(e).write.csv(path, header=True, escape='"'), _parted, f"{E} select {_BROKEN('s')} as s, trim(p) as p, {_BROKEN('o')} as o from e where trim(o) <> ''")
 _through("nodes_csv", NODES, _node_files, lambda spark, path: readers.read_nodes(spark, readers.matching(spark, f"{path}/nodes-*.csv")), f"""with n as ({NODES}) select node_id, case when category = 'AAA' then 'vip' else category end as category from n
