@@ -9,10 +9,12 @@ import random
 import shutil
 import subprocess
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from relsight import __main__ as cli
+from relsight.functions.iri import WHITE, strip
 from relsight.sources import readers, tables, xz
 
 
@@ -112,3 +114,51 @@ def test_skipped_rows_are_counted_as_they_are_read(spark, tmp_path, capsys):
     cli.run(spark, ["rdf", "--input", str(tmp_path / "t.nt"), "--outdir", str(tmp_path / "out2")])
     assert "skipped 2 lines" in capsys.readouterr().err
     assert readers.triples(spark.read.text(str(tmp_path / "t.nt"))).agg(F.count("*")).first()[0] == 1
+
+
+def test_fields_are_parsed_once(spark, tmp_path):
+    """A line is parsed once, however many fields are read and tested, and splits far smaller than a file don't make as many tasks."""
+    (tmp_path / "e.csv").write_text("node_id_start,node_id_end,rel_type\n" + "".join(f'a{i},"b\n{i}",r\n' for i in range(3000)))
+    plan = readers.read_edges(spark, f"{tmp_path}/e.csv")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv(") == 1 and plan.count("trim(") == 3
+    name = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(name, "100")
+    try:
+        assert tables.scan(spark, [f"{tmp_path}/e.csv"], True).rdd.getNumPartitions() > 300
+        got = readers.read_edges(spark, f"{tmp_path}/e.csv", True)
+        assert got.count() == 3000 and got.rdd.getNumPartitions() < 60
+    finally:
+        spark.conf.unset(name)
+
+
+def test_white_space_is_unicode_s(spark):
+    every = spark.range(0x11000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "utf-32").alias("c"))
+    assert {r.c for r in every.where(F.col("c").rlike(r"(?U)^\s$")).collect()} == set(WHITE)
+    one = spark.createDataFrame([(f" {WHITE}a{WHITE}b\n{WHITE}",), (WHITE,), (None,)], "c string").select(strip(F.col("c")).alias("c"))
+    assert [r.c for r in one.collect()] == [f"a{WHITE}b", "", None]
+
+
+def test_states_of_many_lines_are_those_of_each(spark):
+    random.seed(3)
+    for _ in range(3000):
+        lines = ["".join(random.choice('a",  ') for _ in range(random.randrange(7))) if random.random() < 0.3 else random.choice(["a,b", '"a"', '"', 'x,"', '",y', "", '"a""b",c', 'x,"é']) for _ in range(random.randrange(1, 6))]
+        values = pa.array(["skipped", *lines]).slice(1)
+        ends = []
+        for state in (False, True):
+            want = []
+            for line in lines:
+                want.append(tables.inside_after(line, want[-1] if want else state))
+            assert tables.after(values, state).tolist() == want
+            ends.append(want[-1])
+        assert tables.both(values, (False, True)) == tuple(ends)
+
+
+def test_xz_files_begin_with_a_header(spark, tmp_path):
+    lines = spark.createDataFrame([(f'"order/{i}","part/{i * 7919 % 20000}"',) for i in range(6000)], "value string").coalesce(1)
+    xz.write_xz(lines, f"{tmp_path}/out", 1 << 17, "a,b")
+    (file,) = (tmp_path / "out").glob("*.xz")
+    text = lzma.decompress(file.read_bytes()).decode()
+    assert text.startswith('a,b\n"order/0"') and text.count("\n") == 6001
+    with xz.opened(str(file)) as found:
+        assert len(xz.blocks(found)) == 2
+    assert len(xz.compressed(text.encode())) <= 1.3 * len(lzma.compress(text.encode()))
