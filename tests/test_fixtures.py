@@ -5,6 +5,7 @@ import lzma
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,6 +286,42 @@ def test_stream_of_degrees(spark, tmp_path):
             assert near(degrees.per_predicate(spark, f"{tmp_path}/kept")) == near(want)
 
 
+def test_state_is_looked_into_by_blocks():
+    """Many ends of a key are few calls to the state, and totals are those of all batches."""
+
+    class Kept(dict):
+        calls = 0
+
+        def getValue(self, key):
+            Kept.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            Kept.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):
+            del self[key]
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    class Handle:
+        def getMapState(self, *_):
+            return Kept()
+
+    state, seen = degrees.Degrees(), []
+    state.init(Handle())
+    for batch in range(3):
+        ends = [f"={(i * i + batch) % 30_000}" for i in range(40_000)]
+        seen += ends
+        part = pd.DataFrame({"end": ends, "block": [hash(x) % degrees.BLOCKS for x in ends]})
+        (got,) = state.handleInputRows(("p", "s", 0), iter([part[:25_000], part[25_000:]]), None)
+        want = pd.Series(seen).value_counts()
+        assert got.iloc[0][["ends", "rows", "squares", "lo", "hi"]].tolist() == [len(want), len(seen), float((want**2).sum()), want.min(), want.max()]
+    assert Kept.calls < 3 * 2 * degrees.BLOCKS + 3 * 200
+
+
 def test_histogram_bins(spark):
     t = spark.range(1, 9).select(F.explode(F.sequence(F.lit(1), F.col("id"))).alias("s"), F.col("id").cast("string").alias("p"))
     assert sum(r.predicates for r in stats.histogram(t, None).collect()) == 8 and {r.bin for r in stats.histogram(t, None).collect()} == {0, 1, 2, 3}
