@@ -286,6 +286,22 @@ def test_stream_of_degrees(spark, tmp_path):
             assert near(degrees.per_predicate(spark, f"{tmp_path}/kept")) == near(want)
 
 
+def test_edges_are_shuffled_once_for_all_tags(spark, monkeypatch):
+    """The tagged edges of a report are a row an edge, not a row a tag, and two directions meet in one aggregation."""
+    made, kept = {}, validate.written
+    monkeypatch.setattr(validate, "written", lambda df, name, *apart: made.setdefault(name, kept(df, name, *apart)) if name == "tagged" else kept(df, name, *apart))
+    monkeypatch.setattr(validate, "drop_written", lambda df: None)
+    e = spark.createDataFrame([("r", i, i + 1, validate.PROPERTIES) for i in range(50)] + [("r", 0, 1, ["SYM", "SYM", None]), ("none", 0, 1, None)], "rel string, src long, dst long, brc array<string>")
+    got = {(r.relation, r.property): r.holds for r in validate.validate_all(e).collect()}
+    assert len(got) == 9 and made["tagged"].count() == 51
+    assert made["tagged"].where("src = 0 and rel = 'r'").first()[3:] == (1, 2, 1, 1, 1, 1, 1, 1, 1)
+    for tag in ("SYM", "ASM", "ANS"):
+        plan = validate._violations(e.selectExpr("rel", "src", "dst", "1L as m"), tag)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan
+    ends = spark.createDataFrame([("half", 1, None), ("both", 1, 2), ("both", 2, 1), ("loop", 3, 3)], "rel string, src long, dst long").withColumn("m", F.lit(1))
+    assert [sorted({r.rel for r in validate._violations(ends, tag).collect()}) for tag in ("SYM", "ASM", "ANS")] == [["half"], ["both", "loop"], ["both"]]
+
+
 def test_state_is_looked_into_by_blocks():
     """Many ends of a key are few calls to the state, and totals are those of all batches."""
 
