@@ -35,12 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relsight.llm.arrays import gram_hashes, hash_words, loosen, ragged, slices, squeeze
+from relsight.llm.arrays import gram_hashes, hash_words, ragged, slices
 from relsight.llm.shared import drop_written, salted_join, settings, written
 
 K, WINDOW, MIN_WORDS, MATCHED = 6, 16, 50, 0.8
 #: One of how many windows is a seed.
 SPARSE = 6
+#: Places of a seed in a slice that meet all others of the seed in one task; later ones, if any, are told its first place by a join.
+FEW = 16
 #: Words that a gap within a chain may span, cost of a word of gap in seed words, and how far an extension may fall.
 GAP, COST, DROP = 64, 0.1, 6
 #: Words that an extension skips on one side and the other, each of which costs as much as a mismatch.
@@ -55,9 +57,9 @@ def minimizers(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Hashes, documents and positions of the seeds of all documents of a slice."""
     grams = gram_hashes(words, K)
     counts = np.maximum(np.diff(rows) - K + 1, 0)
-    at = [np.zeros(0, np.int64)]
+    seed = np.zeros(len(grams), bool)
     for i in np.flatnonzero((counts > 0) & (counts < WINDOW)).tolist():
-        at.append(np.array([rows[i] + int(grams[rows[i] : rows[i] + counts[i]].argmin())]))
+        seed[rows[i] + int(grams[rows[i] : rows[i] + counts[i]].argmin())] = True
     if len(grams) >= WINDOW:
         low, least = grams, np.arange(len(grams))
         step = 1
@@ -68,14 +70,50 @@ def minimizers(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
             low = np.where(right, low[shift:], low[:-shift])
             least = np.where(right, least[shift:], least[:-shift])
             step += shift
-        at.append(np.unique(least[ragged(rows[:-1], np.maximum(counts - WINDOW + 1, 0))]))
+        seed[least[ragged(rows[:-1], np.maximum(counts - WINDOW + 1, 0))]] = True
     every = ragged(rows[:-1], counts)
-    at.append(every[grams[every] < np.uint64((1 << 64) // SPARSE)])
-    found = np.unique(np.concatenate(at))
+    seed[every[grams[every] < np.uint64((1 << 64) // SPARSE)]] = True
+    found = np.flatnonzero(seed)
     doc = np.searchsorted(rows, found, side="right") - 1
     return grams[found], doc, found - rows[doc]
 
 
+def crowded(grams: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """2 for each place of a seed in a slice past its FEW first, 1 for the last before those, else 0."""
+    order = np.lexsort((pos, ids, grams))
+    by = grams[order]
+    late = by[FEW:] == by[:-FEW]
+    out = np.zeros(len(by), np.int8)
+    out[order[FEW - 1 : -1]] = late
+    out[order[FEW:][late]] = 2
+    return out
+
+
+def first_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seeds in order of their hash: the match of each with its hash's first; with b null, the first where many = 1."""
+    names = ("h", "doc_id", "pos", "many")
+
+    def told(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if rows.size:
+            h, doc, pos, many = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
+            at = np.maximum.accumulate(np.where(np.concatenate([[True], h[1:] != h[:-1]]), np.arange(len(h)), 0))
+            a, first = doc[at], pos[at]
+            met, ones = np.flatnonzero((doc != a) | (pos != first)), np.flatnonzero(many == 1)
+            out = np.concatenate([met, ones])
+            none = np.arange(len(out)) >= len(met)
+            yield pa.record_batch([pa.array(a[out]), pa.array(first[out], pa.int32()), pa.array(doc[out], mask=none), pa.array(pos[out], pa.int32(), mask=none), pa.array(h[out], mask=~none)], names=["a", "pa", "b", "pb", "h"])
+
+    # A hash's places may go on in the next batch: they wait for it.
+    held = np.zeros((len(names), 0), np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            rows = np.concatenate([held, np.array([np.asarray(batch.column(c)) for c in names], np.int64)], axis=1)
+            done = int(np.searchsorted(rows[0], rows[0, -1]))
+            yield from told(rows[:, :done])
+            held = rows[:, done:].copy()
+    yield from told(held)
+
+
 def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     for batch in slices(batches, "text"):
         hashes, rows = hash_words(batch.column("text"))
@@ -198,22 +236,29 @@ def stretch(x: np.ndarray, y: np.ndarray) -> tuple[int, int, bool]:
 
 def stretches(words: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, way: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``stretch`` of many pairs at once: they begin at x and y, go on for n words at most, forwards or backwards (way)."""
-    step = np.arange(32)
-    inside = step < n[:, None]
-    go = np.where(inside, way * step, 0)
     last = max(len(words) - 1, 0)
-    same = inside & (words[np.clip(x[:, None] + go, 0, last)] == words[np.clip(y[:, None] + go, 0, last)])
-    # Words past an end count as mismatches: they only bring the fall that ends a pair.
-    score = np.cumsum(np.where(same, 1, -2), axis=1)
-    fell = np.maximum.accumulate(np.maximum(score, 0), axis=1) - score >= DROP
-    live = ~np.maximum.accumulate(fell, axis=1) & inside
-    score = np.where(live, score, -1)
-    top = score.argmax(axis=1)
-    some = score[np.arange(len(n)), top] > 0
-    far = np.where(some, top + 1, 0)
-    matched = np.where(some, np.cumsum(same, axis=1)[np.arange(len(n)), top], 0)
-    unfallen = ~(fell & inside).any(axis=1)
-    for i in np.flatnonzero(unfallen & (n > 32)).tolist():
+    far, matched, unfallen = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+    left = np.arange(len(n))
+    for width in (32, 256):
+        step = np.arange(width)
+        inside = step < n[left, None]
+        go = np.where(inside, way * step, 0)
+        same = inside & (words[np.clip(x[left, None] + go, 0, last)] == words[np.clip(y[left, None] + go, 0, last)])
+        # Words past an end count as mismatches: they only bring the fall that ends a pair.
+        score = np.cumsum(np.where(same, 1, -2), axis=1)
+        fell = np.maximum.accumulate(np.maximum(score, 0), axis=1) - score >= DROP
+        live = ~np.maximum.accumulate(fell, axis=1) & inside
+        score = np.where(live, score, -1)
+        top = score.argmax(axis=1)
+        one = np.arange(len(left))
+        some = score[one, top] > 0
+        far[left] = np.where(some, top + 1, 0)
+        matched[left] = np.where(some, np.cumsum(same, axis=1)[one, top], 0)
+        unfallen[left] = ~(fell & inside).any(axis=1)
+        left = left[unfallen[left] & (n[left] > width)]
+        if not len(left):
+            return far, matched, unfallen
+    for i in left.tolist():
         u, v = x[i] + way * np.arange(n[i]), y[i] + way * np.arange(n[i])
         far[i], matched[i], unfallen[i] = stretch(words[u], words[v])
     return far, matched, unfallen
@@ -322,7 +367,8 @@ def _found(docs: DataFrame, min_words: int, matched_share: float) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(h, doc_id, pos) of the seeds, and (words, doc_id, -1, key) of every document."""
+        """(h, doc_id, pos) of the seeds, and at last, so that either can be read without the other, (words, doc_id, -1, key) of every document."""
+        names, about = ["h", "doc_id", "pos", "many", "key"], []
         for batch in slices(batches, "text"):
             words, at = hash_words(batch.column("text"))
             ids = np.asarray(batch.column("doc_id"))
@@ -333,21 +379,24 @@ def _found(docs: DataFrame, min_words: int, matched_share: float) -> DataFrame:
                     best[k] = i
             h, doc, pos = minimizers(words, at)
             keep = np.isin(doc, np.fromiter(best.values(), np.int64, count=len(best)))
-            names = ["h", "doc_id", "pos", "key"]
-            yield pa.record_batch([pa.array(h[keep].view(np.int64)), pa.array(ids[doc[keep]]), pa.array(pos[keep].astype(np.int32)), pa.nulls(int(keep.sum()), pa.binary())], names=names)
-            yield pa.record_batch([pa.array(np.diff(at).astype(np.int64)), pa.array(ids), pa.array(np.full(len(ids), -1, np.int32)), pa.array(keys, pa.binary())], names=names)
+            h, owner, pos = h[keep], ids[doc[keep]], pos[keep]
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(owner), pa.array(pos.astype(np.int32)), pa.array(crowded(h, owner, pos)), pa.nulls(len(h), pa.binary())], names=names)
+            about.append(pa.record_batch([pa.array(np.diff(at).astype(np.int64)), pa.array(ids), pa.array(np.full(len(ids), -1, np.int32)), pa.nulls(len(ids), pa.int8()), pa.array(keys, pa.binary())], names=names))
+        yield from about
 
-    # One pass over the texts; the seeds are read twice from their table.
-    seen = written(text.mapInArrow(seeds, "h long, doc_id long, pos int, key binary"), "seeds")
+    seen = written(text.mapInArrow(seeds, "h long, doc_id long, pos int, many byte, key binary"), "seeds")
     info = written(seen.where("pos = -1").select("doc_id", "key", F.col("h").cast("int").alias("n")).groupBy("doc_id").agg(F.min(F.struct("key", "n")).alias("x")).select("doc_id", "x.*"), "info")
     firsts = info.groupBy("key").agg(F.min("doc_id").alias("source_id"), F.count("*").alias("copies"))
     copies = written(info.join(firsts.where("copies > 1"), "key").where("doc_id <> source_id").select("doc_id", "source_id", "n"), "copies")
     drop_written(info)
 
-    rows = seen.where("pos >= 0").select("h", "doc_id", "pos")
-    first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", F.col("f.doc_id").alias("a"), F.col("f.pos").alias("pa"), "n")
-    first = written(first, "firsts")
-    matches = salted_join(rows, first.drop("n"), "h", first).where("doc_id <> a or pos <> pa").select("a", F.col("doc_id").alias("b"), "pa", F.col("pos").alias("pb"))
+    # Seeds travel once: in order of their hash, each is told the first place. A slice sends at most FEW of a hash; the others meet its first place in a join.
+    few = seen.where("pos >= 0 and many < 2").select("h", "doc_id", "pos", "many").repartition("h").sortWithinPartitions("h")
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=20000):
+        met = written(few.mapInArrow(first_places, "a long, pa int, b long, pb int, h long"), "met")
+    late = salted_join(seen.where("many = 2").select("h", "doc_id", "pos"), met.where("b is null").select("h", "a", "pa").distinct(), "h")
+    late = late.where("doc_id <> a or pos <> pa").select("a", F.col("doc_id").alias("b"), "pa", F.col("pos").alias("pb"))
+    matches = met.where("b is not null").select("a", "b", "pa", "pb").union(late)
     # Where a document's neighbouring seeds lead elsewhere, their earliest occurrences name the junction.
     before = F.lag(F.struct("a", "pa", "pb")).over(Window.partitionBy("b").orderBy("pb", "a"))
     parted = (F.col("a") != F.col("q.a")) | (F.abs(F.col("pb") - F.col("pa") - F.col("q.pb") + F.col("q.pa")) > GAP)
@@ -355,7 +404,7 @@ def _found(docs: DataFrame, min_words: int, matched_share: float) -> DataFrame:
     # Kept in order of documents, in which neighbouring matches are alike and take little room.
     placed = written(matches.withColumn("q", before).select("a", "b", "pa", "pb", joint.alias("h")), "matches")
     drop_written(seen)
-    drop_written(first)
+    drop_written(met)
     joints = placed.where("h is not null").select("h", F.col("b").alias("doc_id"), F.col("pb").alias("pos"))
     joint = joints.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", F.col("f.doc_id").alias("a"), F.col("f.pos").alias("pa"), "n")
     joint = written(joint, "joint")
@@ -393,12 +442,11 @@ def _found(docs: DataFrame, min_words: int, matched_share: float) -> DataFrame:
 
     def word_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Half of each word's hash is enough to compare words in a known place.
-        for ids, found in texts(loosen(batches)):
+        for ids, found in texts(batches):
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([w.astype(np.uint32).tobytes() for w in found], pa.binary())], names=["doc_id", "w"])
 
-    small = text.mapInArrow(squeeze, "doc_id long, z binary")
     wanted = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
-    words = written(small.join(wanted, "doc_id", "left_semi").mapInArrow(word_arrays, "doc_id long, w binary").dropDuplicates(["doc_id"]), "words")
+    words = written(text.mapInArrow(word_arrays, "doc_id long, w binary").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "words")
 
     def near(some: DataFrame, margin: int) -> DataFrame:
         """Chains with their words and ``margin`` words more on each side; more_a and more_b tell where a text goes on beyond."""

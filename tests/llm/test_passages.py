@@ -1,6 +1,10 @@
 import random
 
-from relsight.llm import passages
+import numpy as np
+import pyarrow as pa
+import xxhash
+
+from relsight.llm import arrays, passages
 
 
 def found(spark, texts):
@@ -121,6 +125,70 @@ def test_passage_whose_halves_stand_in_other_documents(spark):
     assert got == [(5, 7, 67, 3, 10, 70)]
 
 
+def test_seeds_travel_once(spark):
+    """Of texts without repeats, fewer rows are shuffled than one and a half times their seeds."""
+    random.seed(15)
+    texts = [" ".join(word(800)) for _ in range(60)]
+    words, at = arrays.hash_words(pa.array(texts))
+    seeds = len(passages.minimizers(words, at)[0])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def shuffled():
+        sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        none = jvm.java.util.ArrayList()
+        stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    assert passages.passages(rows).count() == 0
+    assert seeds > 8000 and seeds <= shuffled() - before < 1.5 * seeds
+
+
+def test_first_places_against_a_dictionary(monkeypatch):
+    """Crowded hashes and others, over slices and batches that cut them: each place is told the first one, by either way."""
+    monkeypatch.setattr(passages, "FEW", 3)
+    rng = np.random.default_rng(16)
+    h, doc, pos = rng.zipf(1.3, 3000) % 500 - 250, rng.integers(0, 40, 3000), rng.integers(0, 10**6, 3000)
+    many = np.concatenate([passages.crowded(h[i : i + 500], doc[i : i + 500], pos[i : i + 500]) for i in range(0, 3000, 500)])
+    first = {}
+    for x in sorted(zip(h.tolist(), doc.tolist(), pos.tolist(), strict=True)):
+        first.setdefault(x[0], x[1:])
+    sent = np.flatnonzero(many < 2)
+    sent = sent[np.argsort(h[sent], kind="stable")]
+    batches = [pa.record_batch([pa.array(c[sent[i : i + 7]]) for c in (h, doc, pos, many)], names=["h", "doc_id", "pos", "many"]) for i in range(0, len(sent), 7)]
+    out = [r for b in passages.first_places(iter(batches)) for r in b.to_pylist()]
+    assert sorted((r["a"], r["pa"], r["b"], r["pb"]) for r in out if r["b"] is not None) == sorted((*first[k], d, p) for k, d, p in zip(h[sent].tolist(), doc[sent].tolist(), pos[sent].tolist(), strict=True) if (d, p) != first[k])
+    assert {(r["h"], r["a"], r["pa"]) for r in out if r["b"] is None} == {(k, *first[k]) for k in h[many == 2].tolist()}
+    assert (many == 2).any() and all(((h == k) & (many < 2)).sum() <= 18 for k in set(h.tolist()))
+
+
+def test_passage_that_crowds_some_slices(spark):
+    """A passage of most documents, over slices of one partition each: all name its earliest document."""
+    random.seed(17)
+    p = word(60)
+    texts = [(i, " ".join(word(5) + (p if i % 4 else []) + word(5))) for i in range(200)]
+    random.shuffle(texts)
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.start, r.end, r.source_id, r.source_start, r.source_end) for r in passages.passages(rows).collect())
+    assert got == [(i, 5, 65, 1, 5, 65) for i in range(2, 200) if i % 4]
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """The hashes are the library's, which is asked for words of 32 bytes or more only."""
+    random.seed(18)
+    words = [bytes(random.randrange(256) for _ in range(n % 70)) for n in range(3000)]
+    want = [xxhash.xxh64_intdigest(w) for w in words]
+    asked, library = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(arrays.xxhash, "xxh64_intdigest", lambda w: asked.append(w) or library(w))
+    assert arrays.word_hashes(pa.array(words, pa.large_binary())).tolist() == want
+    assert arrays.word_hashes(pa.array(words, pa.large_binary())[40:90]).tolist() == want[40:90]
+    assert arrays.word_hashes(pa.array([], pa.large_binary())).tolist() == []
+    assert all(len(w) >= 32 for w in asked)
+    arrays.hash_words(pa.array(["one two three"]))
+    assert all(len(w) >= 32 for w in asked)
+
+
 def test_clashing_names_and_empty_table(spark):
     random.seed(10)
     text = " ".join(word(60))
