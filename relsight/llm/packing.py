@@ -33,10 +33,10 @@ from relsight.llm.arrays import ragged, slices
 from relsight.llm.shared import drop_written, small_batches, written
 
 GROUP_ITEMS = 20_000
-#: Pre-tokens whose ids a task remembers before it starts afresh.
-REMEMBERED = 150_000
+#: Pre-tokens whose ids a task remembers before it starts afresh; with SLICE it sets what a worker holds beside the JVM.
+REMEMBERED = 80_000
 #: Text whose pre-tokens are told apart at once.
-SLICE = 4 << 20
+SLICE = 1 << 19
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

@@ -32,6 +32,8 @@ BUCKETS = 1 << 17
 GRAMS = (3, 4)
 #: Labelled rows that training reads at most.
 SAMPLE = 6000
+#: Text whose features are made at once.
+SLICE = 1 << 19
 
 
 @dataclass
@@ -128,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: i
 
     def trained(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
-        features = [x for batch in slices(iter(table.to_batches()), "text") for x in document_features(batch.column("text"))]
+        features = [x for batch in slices(iter(table.to_batches()), "text", SLICE) for x in document_features(batch.column("text"))]
         model = train(features, table["label"].to_numpy(), dim, epochs, rate, seed)
         return pa.table({"vectors": [model.vectors.tobytes()], "weights": [model.weights.tobytes()]})
 
@@ -146,7 +148,7 @@ def score(docs: DataFrame, model: Model, into: str = "quality_score") -> DataFra
     docs = docs.select(*names)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             table, rows = word_table(batch.column("text"), lower=False)
             codes = table.indices.to_numpy(zero_copy_only=False)
             owner, bucket = word_features(table.dictionary.to_pylist())
