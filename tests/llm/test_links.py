@@ -81,6 +81,60 @@ def test_jaccard_boilerplate_makes_no_large_cluster(spark, monkeypatch):
     assert max(clusters) <= 8
 
 
+def pair_rows(monkeypatch):
+    """Fills with the numbers of rows of each kind that the table of pairs has."""
+    kinds = {}
+    real = jaccard.written
+
+    def spied(df, name):
+        out = real(df, name)
+        if name == "pairs":
+            kinds.update({r[0]: r[1] for r in out.groupBy("kind").count().collect()})
+        return out
+
+    monkeypatch.setattr(jaccard, "written", spied)
+    return kinds
+
+
+def test_jaccard_copies_make_no_pairs(spark, monkeypatch):
+    """Copies in other tasks meet as one document, so pairs don't grow with the square of their number."""
+    kinds = pair_rows(monkeypatch)
+    rows = [(100 * c + i, " ".join(f"t{i}_{j}" for j in range(60))) for c in range(40) for i in range(20)]
+    rows += [(9000 + i, rows[i][1] + " tail") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40, "doc_id")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_join(df, share=1).collect()}
+    assert got == {d: d % 100 for d, _ in rows}
+    assert kinds.get(0, 0) + kinds.get(4, 0) <= 5 * 13 and kinds.get(1, 0) == 0
+
+
+def test_jaccard_near_copies_pair_once(spark, monkeypatch):
+    """Near copies with one first n-gram are paired in one column, not in each that they share."""
+    kinds = pair_rows(monkeypatch)
+    rows = [(i, " ".join([f"w{j}" for j in range(300)] + [f"end{i}"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id")
+    assert {r.component_id for r in jaccard.jaccard_join(df, share=1000).collect()} == {0}
+    assert 0 < kinds.get(0, 0) + kinds.get(4, 0) <= 40 * 39 // 2 * 3
+
+
+def test_jaccard_with_colliding_numbers(spark, monkeypatch):
+    """Sets that get one number by chance are still compared apart, and with each other."""
+    random.seed(16)
+    rows = []
+    for i in range(150):
+        t = [f"w{i % 30}_{j}" for j in range(60)]
+        for _ in range(random.randrange(5)):
+            t[random.randrange(len(t))] = f"x{random.randrange(9)}"
+        rows.append((i, " ".join(t)))
+    rows += [(200 + i, rows[i][1]) for i in range(0, 150, 9)]
+    real = jaccard.key_of
+    for most in (1, 40, 7 << jaccard.OWN):
+        monkeypatch.setattr(jaccard, "key_of", lambda s, head, most=most: (int.from_bytes(real(s, head)[8:], "big") % most).to_bytes(8, "big") + real(s, head)[8:])
+        monkeypatch.setattr(jaccard, "MOST_BITS", 64)
+        want, n = jaccard_of_all(rows)
+        got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), share=2).collect()
+        assert n and sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+
+
 def links_of_all(rows, least=0.93):
     good = [(i, np.array(e, float), label) for i, e, label in rows if label is not None and e and None not in e and np.isfinite(e).all() and any(e)]
     n = {i: 0 for i, _, _ in rows}
